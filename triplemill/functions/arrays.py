@@ -57,6 +57,30 @@ def numbered(items: Column) -> Column:
     )
 
 
+def bag_overlap(a: Column, b: Column) -> Column:
+    """Size of the bag intersection of two string arrays.
+
+    Each value both sides have counts once, and the further copies are compared
+    in the same way; those are few, so only they are numbered.
+    """
+
+    def further(ordered):
+        return F.filter(ordered, lambda x, i: F.get(ordered, i - 1) == x)
+
+    def rest(x, y):
+        return F.when(
+            (F.size(x) > 0) & (F.size(y) > 0),
+            F.size(F.array_intersect(numbered(x), numbered(y))),
+        ).otherwise(0)
+
+    def both(x, y):
+        return F.size(F.array_intersect(x, y)) + bind(
+            further(x), lambda u: bind(further(y), lambda v: rest(u, v))
+        )
+
+    return bind(F.sort_array(a), lambda x: bind(F.sort_array(b), lambda y: both(x, y)))
+
+
 def find_slice(items: Column, pattern: Column, start=0) -> Column:
     """0-based place of the first ``pattern`` in ``items`` at or after ``start``,
     NULL when there is none or either is empty."""
