@@ -85,15 +85,13 @@ def find_slice(items: Column, pattern: Column, start=0) -> Column:
     """0-based place of the first ``pattern`` in ``items`` at or after ``start``,
     NULL when there is none or either is empty."""
     start = F.lit(start) if isinstance(start, int) else start
-    last = F.size(items) - F.size(pattern)
-    hit = F.array_position(
-        F.transform(
-            F.sequence(start, last),
-            lambda i: F.slice(items, i + 1, F.size(pattern)) == pattern,
-        ),
-        True,
+    n = F.size(pattern)
+    last = F.size(items) - n
+    # The first element rules out most places before a slice is made.
+    hits = F.filter(
+        F.sequence(start, last),
+        lambda i: (F.get(items, i) == F.get(pattern, F.lit(0)))
+        & (F.slice(items, i + 1, n) == pattern),
     )
-    found = F.when(
-        (F.size(pattern) > 0) & (F.size(items) > 0) & (last >= start), hit
-    ).otherwise(F.lit(0))
-    return F.when(found > 0, (start + found - 1).cast("int"))
+    fits = (n > 0) & (F.size(items) > 0) & (last >= start)
+    return F.when(fits, F.get(hits, F.lit(0))).cast("int")
