@@ -1,5 +1,7 @@
 """Pairing, task building, splits and subset."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from checks.registry import d_compact, d_hash, d_strip, d_tokens, query
@@ -8,7 +10,8 @@ from triplemill.functions import rdf, text
 from triplemill.operators import pairing, ranking, subset, tasks
 from triplemill.plans.scratch import written
 
-MIN = 25  # keeps about a third of the entities of the views
+# Keeps about a third of the entities of the views from scale factor 0.01 on.
+MIN = int(os.environ.get("CHECK_MIN_TRIPLES", "25"))
 
 
 def raw(spark, sf):

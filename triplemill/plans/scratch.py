@@ -9,15 +9,15 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by the session; a temporary one only on a local master."""
-    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    """Folder the session names; a temporary one only on a local master."""
+    context = spark.sparkContext
+    named = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="triplemill-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="triplemill-"))
+    return context.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
