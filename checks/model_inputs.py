@@ -205,7 +205,7 @@ select p.d as draw, s.task, s.film as id from picked p join sized s on s.task =
 
 @query("weighted_mix_m2", MIX)
 def _(spark, sf):
-    rows = tasks.task_examples(pairs(spark, sf)).withColumnRenamed("film", "id")
+    rows = written(tasks.task_examples(pairs(spark, sf)).withColumnRenamed("film", "id"))
     return batching.weighted_mix(rows).select("draw", "task", "id")
 
 

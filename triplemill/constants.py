@@ -76,18 +76,10 @@ METEOR_ALPHA = 0.9
 METEOR_BETA = 3.0
 METEOR_GAMMA = 0.5
 
-# White space as str.split() and str.strip() of Python see it. Visible ASCII is
-# ruled out first, which makes the test fast on most characters.
-BLANKS = (
-    r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-BLANK = "[[^!-~]&&[" + BLANKS + "]]"
-NOT_BLANK = "[^" + BLANKS + "]"
+# White space as str.split() and str.strip() of Python see it: that of Unicode
+# and four separators.
+BLANK = r"(?U:[\s\x1c-\x1f])"
+NOT_BLANK = r"(?U:[^\s\x1c-\x1f])"
 
-# A word character, and neither a word character nor white space (Unicode).
-WORD_CHAR = r"[\p{IsAlphabetic}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}]"
-SYMBOL_CHAR = (
-    "[^" + WORD_CHAR[1:-1] + r"\t-\r \x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# Runs of word characters, and runs of other visible characters (Unicode).
+PRETOKEN = r"(?U:\w+|[^\w\s]+)"

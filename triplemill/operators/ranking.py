@@ -106,41 +106,33 @@ def gather(
     return ordinary.unionByName(joined)
 
 
-def hash_at_rank(df: DataFrame, hash_col: str, rank: int, small: int = 4096) -> str | None:
+def hash_at_rank(df: DataFrame, hash_col: str, rank: int, counts=None) -> str | None:
     """Value of the ``rank``-th smallest hash (from 0), None past the end.
 
     Narrowed down by counts per three more hex digits, so that only counts (at
     most 4,096 a round) and one value ever reach the driver.
     """
     prefix, left = "", rank
-    while len(prefix) < 30:
-        found = df.where(F.startswith(F.col(hash_col), F.lit(prefix)))
-        counts = sorted(
-            (r["b"], r["n"])
-            for r in found.groupBy(
-                F.substr(F.col(hash_col), F.lit(1), F.lit(len(prefix) + 3)).alias("b")
-            )
-            .agg(F.count("*").alias("n"))
-            .collect()
-        )
-        for bucket, n in counts:
+    while True:
+        for bucket, n in counts or prefix_counts(df, hash_col, prefix):
             if left < n:
-                prefix = bucket
                 break
             left -= n
         else:
             return None
-        if n <= small:
+        prefix, counts = bucket, None
+        if n <= 10_000 or len(prefix) >= 30:
             break
-    row = (
-        df.where(F.startswith(F.col(hash_col), F.lit(prefix)))
-        .select(hash_col)
-        .orderBy(hash_col)
-        .offset(left)
-        .limit(1)
-        .first()
-    )
-    return row[0]
+    inside = df.where(F.startswith(F.col(hash_col), F.lit(prefix))).select(hash_col)
+    return inside.orderBy(hash_col).offset(left).limit(1).first()[0]
+
+
+def prefix_counts(df: DataFrame, hash_col: str, prefix: str = "") -> list[tuple[str, int]]:
+    """Rows per next three digits of the hashes that begin with ``prefix``."""
+    bucket = F.substr(F.col(hash_col), F.lit(1), F.lit(len(prefix) + 3))
+    inside = df.where(F.startswith(F.col(hash_col), F.lit(prefix))) if prefix else df
+    rows = inside.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
+    return sorted((r["b"], r["n"]) for r in rows)
 
 
 def split_cuts(
@@ -148,10 +140,11 @@ def split_cuts(
 ) -> list[str | None]:
     """Hashes at which the split changes, for a table with one row per key."""
     hashed = df.select(seeded_hash(key, seed=seed).alias("h"))
-    total = hashed.count()
+    counts = prefix_counts(hashed, "h")
+    total = sum(n for _, n in counts)
     train = int(total * ratios[0])
     val = int(total * ratios[1])
-    return [hash_at_rank(hashed, "h", train), hash_at_rank(hashed, "h", train + val)]
+    return [hash_at_rank(hashed, "h", rank, counts) for rank in (train, train + val)]
 
 
 def split_of(key, cuts: list[str | None], seed: int = SPLIT_SEED):

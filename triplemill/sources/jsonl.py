@@ -58,7 +58,9 @@ def read_examples(spark: SparkSession, path, arrival: bool = True) -> DataFrame:
     df = read_jsonl(spark, path, EXAMPLES, arrival=True).withColumn(
         "_name", F.col("_metadata.file_path")
     )
-    out = with_defaults(df, F.col("seq.row").cast("string"), F.col("_name")).drop("_name")
+    # The low 33 bits count the rows of a file part.
+    line = F.col("seq.row").bitwiseAND((1 << 33) - 1).cast("string")
+    out = with_defaults(df, line, F.col("_name")).drop("_name")
     return out if arrival else out.drop("seq")
 
 
