@@ -191,6 +191,27 @@ def _(spark, sf):
     )
 
 
+@query("line_parts_f1", TRI + "select film, part, string_agg(f, ' ' order by p, o, seq, s) as line from (select *, ((row_number() over (partition by film order by p, o, seq, s) - 1) // 8)::bigint as part, concat('<SOT> <SUBJ> ', s, ' <PRED> ', p, ' <OBJ> ', o, ' <EOT>') as f from dis) group by film, part")
+def _(spark, sf):
+    return tasks.line_parts(pairing.distinct_triples(triples(spark, sf)), chunk=8)
+
+
+@query("random_triples_long_m1", TRI + f"select film, t.s as s, t.p as p, t.o as o from (select film, arg_min({{'s': s, 'p': p, 'o': o}}, {d_hash('film', 's', 'p', 'o')}) as t from dis group by film)")
+def _(spark, sf):
+    return tasks.random_triples(pairing.distinct_triples(triples(spark, sf)))
+
+
+@query("context_flags_w9", TRI + "select film, s, p, o, seq, pos, pos <= greatest(1, trunc(0.6::double * n)::int) as in_context from (select *, row_number() over (partition by film order by seq, p, o, s) as pos, count(*) over (partition by film) as n from dis) where n >= 2")
+def _(spark, sf):
+    return tasks.context_flags(pairing.distinct_triples(triples(spark, sf)))
+
+
+@query("continuation_parts_b4", TRI + ", fl as (select *, pos <= greatest(1, trunc(0.6::double * n)::int) as in_context from (select *, row_number() over (partition by film order by seq, p, o, s) as pos, count(*) over (partition by film) as n from dis) where n >= 2) select film, in_context, string_agg(concat('<SOT> <SUBJ> ', s, ' <PRED> ', p, ' <OBJ> ', o, ' <EOT>'), ' ' order by p, o, seq, s) as line from fl group by film, in_context")
+def _(spark, sf):
+    flagged = tasks.context_flags(pairing.distinct_triples(triples(spark, sf)))
+    return tasks.line_parts(flagged, ("film", "in_context")).drop("part")
+
+
 def _task_query(name, task):
     @query(name, TRI + f"select film, task, input, target from examples where task = '{task}'")
     def _(spark, sf):

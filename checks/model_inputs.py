@@ -121,6 +121,33 @@ def _(spark, sf):
     )
 
 
+# The same with the lengths only, which SQL can follow.
+LENGTHS = TRI + f""", docs as (select unnest([input, target]) as text from examples),
+words as (select word, count(*) as n from (select unnest(regexp_extract_all(text, '{WORD}+|{SYMBOL}+')) as word from docs) group by word),
+sides as (select film, task, 0 as side, input as text from examples union all
+  select film, task, 1, case when task = 'rdfcomp1' then '<SOT> ' || target else target end from examples),
+toks as (select film, task, side, unnest(regexp_extract_all(regexp_replace(text, '({SPECIAL})', ' \\1 ', 'g'), '{SPECIAL}|{WORD}+|{SYMBOL}+')) as word from sides),
+""" + LEARN[LEARN.index("st as ("):] + f""",
+parts as (select word, len(string_split(trim(sy), '  ')) as k from st where i = {MERGES}),
+counted as (select film, task, side, sum(case when word in ('{"', '".join(C.SPECIAL_TOKENS)}') then 1 else k end) as n from toks left join parts using (word) group by all)
+select film, task, (least(255, max(n) filter (side = 0)) + 1)::int as input_len, (least(255, coalesce(max(n) filter (side = 1), 0)) + 1)::int as label_len from counted group by film, task"""
+
+
+@query("encoded_lengths_p11_p14", LENGTHS.replace("with ", "with recursive ", 1))
+def _(spark, sf):
+    examples = written(tasks.task_examples(pairs(spark, sf)))
+    words = written(vocab.pretoken_counts(jsonl.corpus(examples)))
+    tokens, merges = vocab.learn_merges(words, max_merges=MERGES)
+    encoder = vocab.word_encoder(spark, tokens, merges)
+    coded = batching.encoded_examples(examples, encoder, tokens, 256)
+    return coded.select(
+        "film",
+        "task",
+        F.size("input_ids").alias("input_len"),
+        F.size("labels").alias("label_len"),
+    )
+
+
 # --- arrays of ids: token lengths stand for them ---------------------------
 
 

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from triplemill import constants as C
 from triplemill.functions.arrays import SEP, bind
-from triplemill.functions.rdf import linearize, mask_first, mask_object
+from triplemill.functions.rdf import fragment, linearize, mask_first, mask_object
 from triplemill.functions.text import strip, tokens
+from triplemill.operators.pairing import ARRIVAL
+from triplemill.operators.ranking import CHUNK, rank_within, seeded_hash
 
 
 def random_triple(triples, film, seed: int):
@@ -111,3 +113,41 @@ def task_examples(
             & (F.size(tokens(F.col("target"))) <= max_tokens)
         )
     return out
+
+
+# --- long form -------------------------------------------------------------
+# The same for triples in long form. No row grows with the entity, so these
+# also serve entities whose line would not fit into one value.
+
+
+def line_parts(triples: DataFrame, keys=("film",), chunk: int = CHUNK) -> DataFrame:
+    """Linearised triples per key as ordered parts of at most ``chunk`` triples.
+
+    The parts of a key, joined by a space, are its line.
+    """
+    keys = list(keys)
+    ranked = rank_within(triples, keys, ["p", "o", "seq", "s"], "_rank")
+    items = F.sort_array(F.collect_list(F.struct("_rank", "s", "p", "o")))
+    return (
+        ranked.withColumn("part", F.floor((F.col("_rank") - 1) / chunk))
+        .groupBy(*keys, "part")
+        .agg(F.array_join(F.transform(items, fragment), " ").alias("line"))
+    )
+
+
+def random_triples(triples: DataFrame, seed: int = C.SPLIT_SEED) -> DataFrame:
+    """One random triple per entity, the same as ``random_triple`` takes."""
+    keyed = F.struct(seeded_hash("film", "s", "p", "o", seed=seed).alias("h"), "s", "p", "o")
+    return triples.groupBy("film").agg(F.min(keyed).alias("t")).select("film", "t.s", "t.p", "t.o")
+
+
+def context_flags(triples: DataFrame) -> DataFrame:
+    """Triples with their place in arrival order and whether they belong to the
+    context of the continuation; entities with one triple are left out."""
+    sizes = triples.groupBy("film").agg(F.count("*").cast("int").alias("n"))
+    ranked = rank_within(triples, ["film"], ARRIVAL, "pos")
+    return (
+        ranked.join(sizes.where("n >= 2"), "film")
+        .withColumn("in_context", F.col("pos") <= cut_size(F.col("n")))
+        .drop("n")
+    )
