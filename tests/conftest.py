@@ -3,9 +3,6 @@ import sys
 
 import pytest
 
-# The smallest tables have only ten suppliers, so their entities are smaller.
-os.environ.setdefault("CHECK_MIN_TRIPLES", "12")
-
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from checks.run import session  # noqa: E402

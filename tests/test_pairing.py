@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from checks.build import pairs as pairs_of
 from checks.build import texts as texts_of
 from checks.build import triples as triples_of
+from triplemill.functions.rdf import linearize
 from triplemill.operators import pairing, ranking, tasks
 
 RAW = "film string, dir string, p string, o string, seq bigint"
@@ -179,6 +180,21 @@ def test_choice_is_uniform(spark):
     assert all(900 < r["count"] < 1100 for r in got.collect())
 
 
+def test_long_form_gives_the_same(spark, sf):
+    tri = pairing.distinct_triples(triples_of(spark, sf))
+    parts = tasks.line_parts(tri, chunk=4)
+    assert parts.groupBy("film").agg(F.max("part").alias("m")).where("m > 1").count() > 0
+    whole = parts.groupBy("film").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), " ").alias("line")
+    )
+    records = pairing.triples_by_film(triples_of(spark, sf))
+    assert rows(whole, "film") == rows(records.select("film", linearize(F.col("items")).alias("line")), "film")
+    picked = tasks.random_triple(F.col("items"), F.col("film"), 13)
+    assert rows(tasks.random_triples(tri), "film") == rows(
+        records.select("film", picked.alias("t")).select("film", "t.s", "t.p", "t.o"), "film"
+    )
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -180,6 +180,8 @@ def test_neighbourhood(spark):
     got = {tuple(x) for x in extract.neighbourhood(edges, film, [o + "genre"], "both").collect()}
     assert got == {("dbr:F", "out", "dbo:genre", "Drama"), ("dbr:F", "in", "dbo:genre", "dbr:P")}
     assert extract.neighbourhood(edges, film, [o + "genre"]).count() == 1
+    # short names stand for whole ones; genre is on the default list
+    assert extract.neighbourhood(edges, "dbo:Film").collect()[0]["p"] == "dbo:genre"
 
 
 def test_whitelist_reaches_the_scan(spark, sf):

@@ -9,9 +9,21 @@ from triplemill.operators.pairing import compact_columns
 from triplemill.operators.ranking import rank_within
 
 
+def spellings(names) -> list[str]:
+    """The names, and those in short form as whole IRIs, too. Edges can then be
+    filtered as they are stored, so that the filter reaches the scan."""
+    whole = [
+        prefix + name.removeprefix(short)
+        for name in names
+        for prefix, short in C.IRI_PREFIXES.items()
+        if name.startswith(short)
+    ]
+    return [*names, *whole]
+
+
 def members(edges: DataFrame, klass: str) -> DataFrame:
     """Entities of a class, each once, as ``film``."""
-    typed = edges.where((F.col("p") == C.RDF_TYPE) & (F.col("o") == klass))
+    typed = edges.where((F.col("p") == C.RDF_TYPE) & F.col("o").isin(*spellings([klass])))
     return typed.select(F.col("s").alias("film")).distinct()
 
 
@@ -19,7 +31,7 @@ def allowed(edges: DataFrame, predicates) -> DataFrame:
     """Edges with a predicate of a short list, or of a one-column table."""
     if isinstance(predicates, DataFrame):
         return edges.join(predicates.select("p"), "p", "left_semi")
-    return edges.where(F.col("p").isin(*predicates))
+    return edges.where(F.col("p").isin(*spellings(predicates)))
 
 
 def outgoing(edges: DataFrame, films: DataFrame, predicates) -> DataFrame:

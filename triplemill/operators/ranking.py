@@ -63,7 +63,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     limit = max(hot_rows, (top["rows"] or 0) // MAX_HOT_KEYS)
     if (top["most"] or 0) <= limit:
         return None
-    return sizes.where(F.col("_n") > limit).select(*keys)
+    return written(sizes.where(F.col("_n") > limit).select(*keys))
 
 
 def gather(
