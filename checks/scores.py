@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.build import TRI, pairs
+from checks.build import TRI
 from checks.registry import d_strip, d_tokens, query
 from checks.views import duck_with, spark_view, table
 from triplemill.functions import rdf, text
