@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triplemill.functions.arrays import SEP
 from triplemill.plans.scratch import written
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -38,9 +37,12 @@ def tag(value: Column) -> Column:
     return F.when(value.isNull(), "n").otherwise(F.concat(F.lit("v"), value.cast("string")))
 
 
-def seeded(*values: Column, seed: int) -> Column:
-    """Uniform text for an order that looks random but is the same in each run."""
-    return F.md5(F.concat_ws(SEP, F.lit(str(seed)), *[tag(v) for v in values]))
+def same_row(a: DataFrame, b: DataFrame, *names: str) -> Column:
+    """Condition that the columns agree, null with null."""
+    out = F.lit(True)
+    for name in names:
+        out = out & a[name].eqNullSafe(b[name])
+    return out
 
 
 # --- Arrow ----------------------------------------------------------------
@@ -88,11 +90,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, at: np.ndarray, blank=IS_BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each word; words do not run from one text into the next."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~IS_BLANK[raw]
+    word = ~blank[raw]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]

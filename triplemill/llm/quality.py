@@ -153,6 +153,8 @@ def with_groups(rows: DataFrame) -> DataFrame:
     small = sizes.where(F.col("n") < MIN_GROUP)
     pools = small.groupBy("lang").agg(F.sum("n").alias("pool"))
     own = F.concat_ws("\x01", "lang", "source")
+    # Few rows, written so that Spark joins them by their known size: the rows of
+    # a large source then stay where they are.
     named = sizes.join(pools, "lang", "left").select(
         "lang",
         "source",
@@ -161,7 +163,7 @@ def with_groups(rows: DataFrame) -> DataFrame:
         .otherwise("rest")
         .alias("grp"),
     )
-    return rows.join(named, ["lang", "source"], "left")
+    return rows.join(written(named), ["lang", "source"], "left")
 
 
 def quartiles(inner: DataFrame) -> DataFrame:
@@ -286,7 +288,7 @@ def robust_estimates(inner: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         now = written(concentrate(inner, now))
     best = Window.partitionBy("grp").orderBy("logdet", "start")
-    return (
+    return written(
         now.withColumn("place", F.row_number().over(best))
         .where("place = 1")
         .drop("place", "start", "logdet")
