@@ -264,3 +264,68 @@ def taken_words(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
         "target",
         F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
     )
+
+
+def mixed_texts(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, **settings
+) -> DataFrame:
+    """The mix with its texts: shard, place, key, source, block, round, words,
+    text (from the block's first word to its last, as it stands in the document).
+
+    Words of rows with the same id and source are counted on from row to row, in
+    the order of their texts."""
+    base, mix = mixture(docs, key, text, source, block=block, **settings)
+    wanted = mix.groupBy("sid", "doc").agg(
+        F.collect_list(F.struct("shard", "place", "block", "round", "words")).alias("wanted")
+    )
+    own = docs.select(
+        tag(F.col(source)).alias("its_sid"), F.col(key).alias("its_doc"), F.col(source).alias("source"), F.col(text).alias("text")
+    )
+    same = (F.col("sid") == F.col("its_sid")) & F.col("doc").eqNullSafe(F.col("its_doc"))
+    # One row a document unless ids repeat.
+    joined = (
+        own.join(wanted, same)
+        .groupBy("sid", "doc")
+        .agg(
+            F.first("source").alias("source"),
+            F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"),
+            F.first("wanted").alias("wanted"),
+        )
+        if _repeats(base, own)
+        else own.join(wanted, same)
+    ).select("doc", "source", "text", "wanted")
+    kinds = {c: joined.schema[c].dataType.simpleString() for c in ("doc", "source")}
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shard", "place", "block", "round", "words"]
+        for rows, raw, at in text_blocks(batches, "text"):
+            first, end = word_spans(raw, at)
+            begin = np.searchsorted(first, at)
+            row, numbers, texts = [], {n: [] for n in names}, []
+            for d, wanted in enumerate(rows.column(3)):
+                for w in wanted.as_py():
+                    low = begin[d] + w["block"] * block
+                    row.append(d)
+                    texts.append(raw[first[low] : end[low + w["words"] - 1]].tobytes().decode())
+                    for n in names:
+                        numbers[n].append(w[n])
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0).take(take),
+                    rows.column(1).take(take),
+                    *(pa.array(numbers[n], pa.int64()) for n in names),
+                    pa.array(texts, pa.string()),
+                ],
+                names=["doc", "source", *names, "text"],
+            )
+
+    schema = f"doc {kinds['doc']}, source {kinds['source']}, shard bigint, place bigint, block bigint, round bigint, words bigint, text string"
+    return joined.mapInArrow(pieces, schema).select(
+        "shard", "place", F.col("doc").alias(key), F.col("source").alias(source), "block", "round", "words", "text"
+    )
+
+
+def _repeats(base: DataFrame, own: DataFrame) -> bool:
+    """Whether some id and source has more than one row."""
+    return base.count() < own.count()

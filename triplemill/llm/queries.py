@@ -5,9 +5,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from triplemill.llm import quality
+from triplemill.llm import (
+    chat,
+    decontamination,
+    licenses,
+    line_dedup,
+    mixing,
+    quality,
+    simhash,
+    suffix_dedup,
+    tokens,
+    url_filter,
+)
 from triplemill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +36,52 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_license_scan")
+def _(spark, sf):
+    return licenses.scan(read(spark, sf, "documents"))
+
+
+@query("op2_simhash_near_dedup")
+def _(spark, sf):
+    return simhash.near_fingerprints(read(spark, sf, "documents"))
+
+
+@query("op3_url_filter")
+def _(spark, sf):
+    return url_filter.judged(read(spark, sf, "pages"))
+
+
+@query("op4_token_counts")
+def _(spark, sf):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.token_counts(read(spark, sf, "documents"), path)
+
+
 @query("op5_quality_rules")
 def _(spark, sf):
     return quality.judged(read(spark, sf, "documents")).drop("distance")
+
+
+@query("op6_suffix_dedup")
+def _(spark, sf):
+    return suffix_dedup.digests(read(spark, sf, "documents"))
+
+
+@query("op7_decontamination")
+def _(spark, sf):
+    return decontamination.contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query("op8_line_dedup")
+def _(spark, sf):
+    return line_dedup.digests(read(spark, sf, "documents"))
+
+
+@query("op9_mixing")
+def _(spark, sf):
+    return mixing.taken_words(read(spark, sf, "documents"))
+
+
+@query("op10_chat_formatting", chat.SQL)
+def _(spark, sf):
+    return chat.collapsed(read(spark, sf, "conversations"))
