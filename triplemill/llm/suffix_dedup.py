@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from triplemill.llm.anchors import SIZE, sampled
 from triplemill.llm.bwt import least_sharing
-from triplemill.llm.common import blocks, text_bytes
+from triplemill.llm.common import blocks, mix, word_hashes
 from triplemill.plans.scratch import written
 
 LENGTH = 50
@@ -53,7 +54,7 @@ REACH = LENGTH - SIZE
 BUCKET_BYTES = 32 << 20
 FLUSH = 2_000_000
 HOT = 4_096
-# Contexts merged at a time, if their samples have no more.
+# Contexts merged at a time, if no sample has more.
 MERGE = 8_192
 NO_ID = np.iinfo(np.int64).max
 
@@ -187,148 +188,279 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- 2: contexts ------------------------------------------------------------------
 
-ENTRY = "kind int, sample bigint, ctx binary, place int, low int, high int, id bigint, mark bigint, start bigint, stop bigint"
-NAMES = [part.split()[0] for part in ENTRY.split(", ")]
-TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
+
+class Entries:
+    """Contexts as columns: whose they are (id, mark), where they start there, their
+    bytes end to end, where the sample lies in them, and from where to where
+    strings start, counted from the sample, that are looked at."""
+
+    FIELDS = ("id", "mark", "start", "place", "low", "high", "size")
+
+    def __init__(self, raw: np.ndarray, **columns: np.ndarray):
+        self.raw = raw
+        for name in self.FIELDS:
+            setattr(self, name, columns[name])
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+
+    def __len__(self):
+        return len(self.id)
+
+    def pick(self, rows: np.ndarray, **changed: np.ndarray) -> Entries:
+        """Some rows; with ``begin``, their contexts cut from there, ``size`` long."""
+        begin = changed.pop("begin", np.zeros(len(rows), np.int64))
+        columns = {n: changed.get(n, getattr(self, n)[rows]) for n in self.FIELDS}
+        return Entries(gathered(self.raw, self.at[rows] + begin, columns["size"]), **columns)
+
+    def shared(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Hash of what the strings starting from ``low`` to ``high`` have in
+        common, told apart by these; 0 where the context has no such string."""
+        first = self.at[:-1] + self.place + high
+        end = self.at[:-1] + self.place + low + LENGTH
+        some = np.maximum(low, -self.place) <= np.minimum(high, self.size - LENGTH - self.place)
+        out = np.zeros(len(self), np.uint64)
+        salt = (low[some] * 64 + high[some]).astype(np.uint64)
+        out[some] = mix(word_hashes(self.raw, first[some], end[some]) ^ mix(salt)) | np.uint64(1)
+        return out
+
+    def codes(self) -> np.ndarray:
+        """A number for each different context."""
+        arrow = pa.Array.from_buffers(
+            pa.large_binary(), len(self), [None, pa.py_buffer(self.at.astype(np.int64)), pa.py_buffer(self.raw)]
+        )
+        return arrow.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+    def packed(self) -> bytes:
+        return packed(
+            self.id.view(np.uint64) - self.id.min().view(np.uint64),
+            self.id[:0].view(np.uint64) if not len(self) else np.array([self.id.min()]).view(np.uint64),
+            self.mark, self.start, self.place, -self.low, -self.high, self.size, self.raw,
+        )
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Entries:
+        ids, least, mark, start, place, low, high, size, raw = unpacked(data)
+        wide = lambda a: a.astype(np.int64)
+        return cls(
+            raw,
+            id=(ids.astype(np.uint64) + least.astype(np.uint64)).view(np.int64),
+            mark=wide(mark), start=wide(start), place=wide(place), low=-wide(low), high=-wide(high), size=wide(size),
+        )
+
+    @classmethod
+    def joined(cls, parts: list[Entries]) -> Entries:
+        columns = {n: np.concatenate([getattr(p, n) for p in parts]) for n in cls.FIELDS}
+        return cls(np.concatenate([p.raw for p in parts]), **columns)
+
+
+def gathered(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Pieces of an array, end to end."""
+    before = np.cumsum(size) - size
+    return raw[np.arange(int(size.sum())) + np.repeat(first - before, size)]
+
+
+def runs(id_, mark, start, stop):
+    """Stretches of the same document that touch, made one."""
+    if not len(id_):
+        return id_, mark, start, stop
+    order = np.lexsort([start, mark, id_])
+    id_, mark, start, stop = id_[order], mark[order], start[order], stop[order]
+    new = np.concatenate([[True], (id_[1:] != id_[:-1]) | (mark[1:] != mark[:-1])])
+    # The farthest stop so far within the document: documents are moved apart.
+    far = np.cumsum(new) * (int(stop.max()) + 1)
+    reach = np.maximum.accumulate(stop + far) - far
+    new[1:] |= start[1:] > reach[:-1]
+    begin = np.flatnonzero(new)
+    return id_[begin], mark[begin], start[begin], np.maximum.reduceat(stop, begin)
 
 
-def entries(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in NAMES]
+OUT = "kind int, bucket int, data binary, id bigint, mark bigint, start bigint, stop bigint"
+NAMES = [part.split()[0] for part in OUT.split(", ")]
+TYPES = [pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4]
+
+
+def given(stretches: tuple) -> pa.RecordBatch:
+    """Rows of kind 1: bytes to be removed."""
+    n = len(stretches[0])
+    columns = [np.ones(n, np.int32), np.zeros(n, np.int32), [b""] * n, *stretches]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], names=NAMES
     )
 
 
-def stretch(id_: int, mark: int, start: int, stop: int) -> tuple:
-    """Row of kind 1: bytes to be removed."""
-    return (1, 0, b"", 0, 0, 0, id_, mark, start, stop)
+def dealt(entries: Entries, buckets: int) -> pa.RecordBatch:
+    """Rows of kind 0: contexts by bucket of what their strings have in common."""
+    bucket = ((entries.shared(entries.low, entries.high) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort([entries.start, entries.mark, entries.id, bucket])
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    data = {
+        b: entries.pick(order[low:high]).packed() for b, (low, high) in enumerate(itertools.pairwise(cuts)) if high > low
+    }
+    n = len(data)
+    columns = [np.zeros(n, np.int32), list(data), list(data.values()), *[np.zeros(n, np.int64)] * 4]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], names=NAMES
+    )
 
 
-def entry(ctx: bytes, place: int, low: int, high: int, id_: int, mark: int, start: int) -> tuple:
-    """Row of kind 0: a context, where its sample lies in it, and where strings
-    start, counted from the sample, that are looked at. ``sample`` is a hash of
-    what all these strings have in common."""
-    shared = xxhash.xxh64_intdigest(ctx[place + high : place + low + LENGTH], -low) - 2**63
-    return (0, shared, ctx, place, low, high, id_, mark, start, start + len(ctx))
+def least_ids(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row the least id of its group."""
+    out = np.full(int(group.max(initial=-1)) + 1, NO_ID)
+    np.minimum.at(out, group, ids)
+    return out[group]
 
 
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Contexts of the places of each document (id, mark, text, places). Those
     that a smaller id has whole, among the rows met together, are given as
-    stretches, joined where they touch."""
-    first: dict[bytes, int] = {}
-    met: list[tuple] = []
+    stretches at once."""
+    parts: list[Entries] = []
 
     def flush():
-        out, last = [], None
-        for ctx, place, id_, mark, start in met:
-            if id_ == first[ctx]:
-                out.append(entry(ctx, place, -REACH, 0, id_, mark, start))
-            elif last and last[:2] == (id_, mark) and last[2] <= start <= last[3]:
-                last = (id_, mark, last[2], max(last[3], start + len(ctx)))
-            else:
-                if last:
-                    out.append(stretch(*last))
-                last = (id_, mark, start, start + len(ctx))
-        if last:
-            out.append(stretch(*last))
-        first.clear()
-        met.clear()
-        return entries(out)
+        entries = Entries.joined(parts)
+        parts.clear()
+        later = entries.id > least_ids(entries.codes(), entries.id)
+        first = entries.pick(np.flatnonzero(~later))
+        found = runs(*(x[later] for x in (entries.id, entries.mark, entries.start, entries.start + entries.size)))
+        return given(found), dealt(first, buckets)
 
-    for batch in batches:
-        raw, at = text_bytes(batch.column(2))
-        for id_, mark, places, (a, b) in zip(
-            batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), itertools.pairwise(at), strict=True
-        ):
-            text = raw[a:b].tobytes()
-            for place in sorted(set(places.as_py())):
-                start, stop = max(0, place - REACH), min(len(text), place + LENGTH)
-                if stop - start < LENGTH or place + SIZE > len(text):
-                    continue
-                ctx = text[start:stop]
-                first[ctx] = min(first.get(ctx, id_), id_)
-                met.append((ctx, place - start, id_, mark, start))
-            if len(met) >= FLUSH // 16:
-                yield flush()
-    if met:
-        yield flush()
+    for rows, raw, at in blocks(batches, "text"):
+        places = rows.column(3)
+        doc = np.repeat(np.arange(rows.num_rows), pc.list_value_length(places).to_numpy())
+        doc, place = np.unique(np.stack([doc, pc.list_flatten(places).to_numpy()]), axis=1)
+        size = np.diff(at)[doc]
+        start, stop = np.maximum(place - REACH, 0), np.minimum(place + LENGTH, size)
+        # A place comes from the id; another text of that id may be too short.
+        good = (stop - start >= LENGTH) & (place + SIZE <= size)
+        doc, place, start, stop = doc[good], place[good], start[good], stop[good]
+        if not len(doc):
+            continue
+        parts.append(
+            Entries(
+                gathered(raw, at[doc] + start, stop - start),
+                id=rows.column(0).to_numpy()[doc],
+                mark=rows.column(1).to_numpy()[doc],
+                start=start,
+                place=place - start,
+                low=np.full(len(doc), -REACH),
+                high=np.zeros(len(doc), np.int64),
+                size=stop - start,
+            )
+        )
+        if sum(map(len, parts)) >= FLUSH // 5:
+            yield from flush()
+    if parts:
+        yield from flush()
 
 
 # --- 3: merging ---------------------------------------------------------------------
 
 
-def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def halves(entries: Entries) -> list[Entries]:
     """Entries of frequent samples, each as two with half the strings."""
-    for batch in batches:
-        out = []
-        for _, _, ctx, place, low, high, id_, mark, start, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            middle = (low + high) // 2
-            for a, b in ((low, middle), (middle + 1, high)):
-                begin, end = max(0, place + a), min(len(ctx), place + b + LENGTH)
-                if end - begin >= LENGTH:
-                    out.append(entry(ctx[begin:end], place - begin, a, b, id_, mark, start + begin))
-        yield entries(out)
-
-
-def merge_entries(rows: dict[str, list]) -> list[tuple]:
-    """Stretches to be removed, from all entries of some samples."""
-    samples, ctxs, ids = rows["sample"], rows["ctx"], rows["id"]
-    first: dict[tuple, int] = {}
-    for key in zip(samples, ctxs, ids, strict=True):
-        first[key[:2]] = min(first.get(key[:2], key[2]), key[2])
-    several = {}
-    for sample, _ in first:
-        several[sample] = several.get(sample, 0) + 1
-    chosen = [key for key in first if several[key[0]] > 1]
-    covered: dict[tuple, list[int]] = {}
-    if chosen:
-        values = np.array([first[key] for key in chosen], np.int64)
-        text, offset, least = least_sharing([key[1] for key in chosen], values, LENGTH)
-        for t, o in zip(*(x[least < values[text]].tolist() for x in (text, offset)), strict=True):
-            covered.setdefault(chosen[t], []).append(o)
     out = []
-    for sample, ctx, id_, mark, start, stop in zip(
-        samples, ctxs, ids, rows["mark"], rows["start"], rows["stop"], strict=True
-    ):
-        if first[sample, ctx] < id_:
-            out.append(stretch(id_, mark, start, stop))
-            continue
-        low = high = -1
-        for o in sorted(covered.get((sample, ctx), ())):
-            if o > high:
-                if high >= 0:
-                    out.append(stretch(id_, mark, start + low, start + high))
-                low = o
-            high = o + LENGTH
-        if high >= 0:
-            out.append(stretch(id_, mark, start + low, start + high))
+    middle = (entries.low + entries.high) // 2
+    for low, high in ((entries.low, middle), (middle + 1, entries.high)):
+        begin = np.maximum(entries.place + low, 0)
+        end = np.minimum(entries.place + high + LENGTH, entries.size)
+        some = np.flatnonzero(end - begin >= LENGTH)
+        out.append(
+            entries.pick(
+                some, begin=begin[some], size=(end - begin)[some], start=(entries.start + begin)[some],
+                place=(entries.place - begin)[some], low=low[some], high=high[some],
+            )
+        )
     return out
 
 
-def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge whole samples, from entries sorted by sample, some at a time."""
-    held: list[pa.RecordBatch] = []
-    n = 0
+def may_share(entries: Entries, sample: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Entries of whose strings one can be in another group of the sample: strings
+    that start in the same quarter have at least 42 bytes in common."""
+    out = np.zeros(len(entries), bool)
+    wide = entries.high - entries.low + 1
+    for quarter in range(4):
+        low = entries.low + wide * quarter // 4
+        high = entries.low + wide * (quarter + 1) // 4 - 1
+        key = np.where(high >= low, entries.shared(low, np.maximum(low, high)), np.uint64(0))
+        some = np.flatnonzero(key)
+        key = mix(key[some]) ^ sample[some]
+        order = np.lexsort([group[some], key])
+        k, g = key[order], group[some][order]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
+        several = g[start] != g[np.append(start[1:], len(g)) - 1] if len(k) else np.zeros(0, bool)
+        out[some[order[np.repeat(several, np.diff(np.append(start, len(k))))]]] = True
+    return out
+
 
-    def done():
-        table = pa.Table.from_batches(held).to_pydict()
-        return entries(merge_entries(table))
+def merge_group(entries: Entries, group: np.ndarray, sample: np.ndarray) -> tuple:
+    """Stretches of entries (all the first of their group) that hold a string
+    which an entry with a smaller id has as well."""
+    some = np.flatnonzero(may_share(entries, sample, group))
+    found = []
+    order = some[np.lexsort([group[some], sample[some]])]
+    while len(order):
+        # Whole samples, about MERGE entries.
+        n = int(np.searchsorted(sample[order], sample[order[min(MERGE, len(order)) - 1]], side="right"))
+        now, order = order[:n], order[n:]
+        one = now[np.concatenate([[True], group[now][1:] != group[now][:-1]])]
+        texts = [entries.raw[entries.at[r] : entries.at[r + 1]].tobytes() for r in one.tolist()]
+        text, offset, least = least_sharing(texts, entries.id[one], LENGTH)
+        hit = least < entries.id[one][text]
+        text, offset = text[hit], offset[hit]
+        text, _, start, stop = runs(text, np.zeros_like(text), offset, offset + LENGTH)
+        # Each run for all entries of its group.
+        first = np.cumsum(np.concatenate([[True], group[now][1:] != group[now][:-1]])) - 1
+        low = np.searchsorted(text, first, side="left")
+        n_runs = np.searchsorted(text, first, side="right") - low
+        row = np.repeat(now, n_runs)
+        run = np.arange(len(row)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs) + np.repeat(low, n_runs)
+        found.append((entries.id[row], entries.mark[row], entries.start[row] + start[run], entries.start[row] + stop[run]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def merged_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """From packed contexts sorted by bucket: stretches to be removed, and for a
+    next round the halves of frequent samples. What is kept is the first entry of
+    each context of a bucket, but none of a frequent sample."""
+    parts: list[Entries] = []
+    frequent = np.zeros(0, np.uint64)
+    now, limit = None, 0
+
+    def settle(last: bool):
+        nonlocal parts, frequent, limit
+        entries = Entries.joined(parts)
+        sample = entries.shared(entries.low, entries.high)
+        _, group = np.unique(np.stack([sample, entries.codes().view(np.uint64)]), axis=1, return_inverse=True)
+        later = entries.id > least_ids(group, entries.id)
+        yield given(runs(*(x[later] for x in (entries.id, entries.mark, entries.start, entries.start + entries.size))))
+        keep = np.flatnonzero(~later)
+        names, count = np.unique(np.unique(np.stack([sample[keep], group[keep].astype(np.uint64)]), axis=1)[0], return_counts=True)
+        frequent = np.union1d(frequent, names[count > HOT])
+        split = np.isin(sample[keep], frequent) & (entries.low < entries.high)[keep]
+        for half in halves(entries.pick(keep[split])):
+            if len(half):
+                yield dealt(half, buckets)
+        keep = keep[~split]
+        rest = entries.pick(keep)
+        if last:
+            if len(rest):
+                yield given(runs(*merge_group(rest, group[keep], sample[keep])))
+            parts, frequent = [], frequent[:0]
+        else:
+            parts, limit = [rest], 2 * len(rest)
 
     for batch in batches:
-        keys = batch.column(1).to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
-        begin = 0
-        for a, b in itertools.pairwise(cuts):
-            if n + a - begin >= MERGE and (a > 0 or held[-1].column(1)[-1].as_py() != keys[0]):
-                if a > begin:
-                    held.append(batch.slice(begin, a - begin))
-                yield done()
-                held, n, begin = [], 0, a
-        held.append(batch.slice(begin))
-        n += len(keys) - begin
-    if n:
-        yield done()
+        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if bucket != now:
+                if parts:
+                    yield from settle(True)
+                now, limit = bucket, 0
+            parts.append(Entries.unpacked(data))
+            if sum(map(len, parts)) >= max(FLUSH // 5, limit):
+                yield from settle(False)
+    if parts:
+        yield from settle(True)
 
 
 def stretches(docs: DataFrame) -> DataFrame:
@@ -345,34 +477,48 @@ def stretches(docs: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(F.collect_list("place").alias("places"))
     )
-    found = written(
-        docs.join(places, "id").select("id", "mark", "text", "places").mapInArrow(contexts, ENTRY)
+    now = (
+        docs.join(places, "id")
+        .select("id", "mark", "text", "places")
+        .mapInArrow(lambda batches: contexts(batches, buckets), OUT)
     )
-    out = [found.where("kind = 1")]
-    now = found.where("kind = 0")
+    # Stretches met on the way pass through the shuffle to any bucket.
+    given_rows = []
     while True:
-        hot = written(now.groupBy("sample").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
-        some = not hot.isEmpty()
-        calm = now.join(hot, "sample", "left_anti") if some else now
-        out.append(
-            calm.select(NAMES).repartition("sample").sortWithinPartitions("sample").mapInArrow(merge_sorted, ENTRY)
+        now = written(
+            now.repartition(buckets, F.when(F.col("kind") == 0, F.col("bucket")).otherwise(F.col("id") % buckets))
+            .sortWithinPartitions("kind", "bucket")
+            .mapInArrow(lambda batches: one_round(batches, buckets), OUT)
         )
-        if not some:
+        given_rows.append(now.where("kind = 1"))
+        now = now.where("kind = 0")
+        if now.isEmpty():
             break
-        split = now.join(hot.select("sample"), "sample", "left_semi").select(NAMES)
-        single = split.where("low = high")
-        # Equal strings only: the least id needs no merge.
-        least = written(single.groupBy("sample", "ctx").agg(F.min("id").alias("least")))
-        out.append(
-            single.join(least, ["sample", "ctx"]).where("id > least").withColumn("kind", F.lit(1)).select(NAMES)
-        )
-        now = written(split.where("low < high").mapInArrow(halved, ENTRY))
-    every = out[0]
-    for more in out[1:]:
+    every = given_rows[0]
+    for more in given_rows[1:]:
         every = every.unionByName(more)
     return every.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
+def one_round(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pass on the stretches, which come last, and merge the contexts."""
+    over: list[pa.RecordBatch] = []
+
+    def open_ones():
+        for batch in batches:
+            n = int(np.count_nonzero(batch.column(0).to_numpy() == 0))
+            if n < batch.num_rows:
+                over.append(batch.slice(n))
+            if n:
+                yield batch.select(["bucket", "data"]).slice(0, n)
+            if n < batch.num_rows:
+                return
+
+    yield from merged_buckets(open_ones(), buckets)
+    yield from over
+    yield from batches
+
+
 # --- 4: texts ------------------------------------------------------------------------
 
 
@@ -394,7 +540,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """One row per document: key, n_bytes, n_removed, n_spans, kept (bytes)."""
     rows = docs.select(
         F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(2**32 - 1)).alias("mark"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     spans = stretches(rows)
