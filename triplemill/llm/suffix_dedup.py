@@ -55,7 +55,7 @@ BUCKET_BYTES = 32 << 20
 FLUSH = 2_000_000
 HOT = 4_096
 # Contexts merged at a time, if no sample has more.
-MERGE = 8_192
+MERGE = 1_024
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -253,9 +253,17 @@ class Entries:
 
 
 def gathered(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Pieces of an array, end to end."""
-    before = np.cumsum(size) - size
-    return raw[np.arange(int(size.sum())) + np.repeat(first - before, size)]
+    """Pieces of an array, end to end; some at a time, for the places of their
+    bytes are many times their size."""
+    out = np.empty(int(size.sum()), raw.dtype)
+    done = 0
+    for low in range(0, len(size), 16_384):
+        n = size[low : low + 16_384]
+        before = np.cumsum(n) - n
+        total = int(n.sum())
+        out[done : done + total] = raw[np.arange(total) + np.repeat(first[low : low + 16_384] - before, n)]
+        done += total
+    return out
 
 
 def runs(id_, mark, start, stop):
@@ -346,7 +354,7 @@ def contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
                 size=stop - start,
             )
         )
-        if sum(map(len, parts)) >= FLUSH // 5:
+        if sum(map(len, parts)) >= FLUSH // 16:
             yield from flush()
     if parts:
         yield from flush()
@@ -372,31 +380,43 @@ def halves(entries: Entries) -> list[Entries]:
     return out
 
 
-def may_share(entries: Entries, sample: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Entries of whose strings one can be in another group of the sample: strings
-    that start in the same quarter have at least 42 bytes in common."""
-    out = np.zeros(len(entries), bool)
+def may_share(entries: Entries, sample: np.ndarray, group: np.ndarray) -> Entries:
+    """Entries of whose strings one can be in another group of the sample, cut to
+    these: strings that start in the same eighth share at least 46 bytes. With
+    ``row``, where they are in the entries."""
+    low_of, high_of = entries.high + 1, entries.low - 1
     wide = entries.high - entries.low + 1
-    for quarter in range(4):
-        low = entries.low + wide * quarter // 4
-        high = entries.low + wide * (quarter + 1) // 4 - 1
+    for part in range(8):
+        low = entries.low + wide * part // 8
+        high = entries.low + wide * (part + 1) // 8 - 1
         key = np.where(high >= low, entries.shared(low, np.maximum(low, high)), np.uint64(0))
         some = np.flatnonzero(key)
+        if not len(some):
+            continue
         key = mix(key[some]) ^ sample[some]
         order = np.lexsort([group[some], key])
         k, g = key[order], group[some][order]
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
-        several = g[start] != g[np.append(start[1:], len(g)) - 1] if len(k) else np.zeros(0, bool)
-        out[some[order[np.repeat(several, np.diff(np.append(start, len(k))))]]] = True
-    return out
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        ends = np.append(start[1:], len(k))
+        hit = some[order[np.repeat(g[start] != g[ends - 1], ends - start)]]
+        low_of[hit] = np.minimum(low_of[hit], low[hit])
+        high_of[hit] = np.maximum(high_of[hit], high[hit])
+    row = np.flatnonzero(high_of >= low_of)
+    low, high = low_of[row], high_of[row]
+    begin = np.maximum(entries.place[row] + low, 0)
+    size = np.minimum(entries.place[row] + high + LENGTH, entries.size[row]) - begin
+    cut = entries.pick(row, begin=begin, size=size, start=entries.start[row] + begin, place=entries.place[row] - begin, low=low, high=high)
+    cut.row = row
+    return cut
 
 
 def merge_group(entries: Entries, group: np.ndarray, sample: np.ndarray) -> tuple:
     """Stretches of entries (all the first of their group) that hold a string
     which an entry with a smaller id has as well."""
-    some = np.flatnonzero(may_share(entries, sample, group))
+    entries = may_share(entries, sample, group)
+    group, sample = group[entries.row], sample[entries.row]
     found = []
-    order = some[np.lexsort([group[some], sample[some]])]
+    order = np.lexsort([group, sample])
     while len(order):
         # Whole samples, about MERGE entries.
         n = int(np.searchsorted(sample[order], sample[order[min(MERGE, len(order)) - 1]], side="right"))
@@ -457,7 +477,7 @@ def merged_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
                     yield from settle(True)
                 now, limit = bucket, 0
             parts.append(Entries.unpacked(data))
-            if sum(map(len, parts)) >= max(FLUSH // 5, limit):
+            if sum(map(len, parts)) >= max(FLUSH // 16, limit):
                 yield from settle(False)
     if parts:
         yield from settle(True)
