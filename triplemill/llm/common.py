@@ -133,9 +133,9 @@ def word_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarr
     """64-bit hash of each word's bytes, of some words at a time."""
     if not len(first):
         return np.zeros(0, np.uint64)
-    if len(first) > 65_536:
-        cuts = range(0, len(first), 65_536)
-        return np.concatenate([word_hashes(raw, first[c : c + 65_536], end[c : c + 65_536]) for c in cuts])
+    if len(first) > 16_384:
+        cuts = range(0, len(first), 16_384)
+        return np.concatenate([word_hashes(raw, first[c : c + 16_384], end[c : c + 16_384]) for c in cuts])
     size = end - first
     inside = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
     place = np.arange(len(inside)) + inside

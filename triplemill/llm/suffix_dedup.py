@@ -51,8 +51,8 @@ from triplemill.plans.scratch import written
 LENGTH = 50
 REACH = LENGTH - SIZE
 # Text per bucket of samples, and samples that a task packs at a time.
-BUCKET_BYTES = 32 << 20
-FLUSH = 2_000_000
+BUCKET_BYTES = 12 << 20
+FLUSH = 1_000_000
 HOT = 4_096
 # Contexts merged at a time, if no sample has more.
 MERGE = 1_024
@@ -483,6 +483,25 @@ def merged_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         yield from settle(True)
 
 
+def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, mark, data) with the text compressed, for the way through a shuffle."""
+    for rows, raw, at in blocks(batches, "text"):
+        data = [zstandard.compress(raw[a:b].tobytes(), 3) for a, b in itertools.pairwise(at)]
+        yield pa.RecordBatch.from_arrays(
+            [rows.column(0), rows.column(1), pa.array(data, pa.binary())], names=["id", "mark", "data"]
+        )
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The third column as text again, a few rows at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            some = batch.slice(low, 256)
+            texts = [zstandard.decompress(d.as_py()) for d in some.column(2)]
+            columns = [*some.columns[:2], pa.array(texts, pa.large_binary()), *some.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "text", *some.schema.names[3:]])
+
+
 def stretches(docs: DataFrame) -> DataFrame:
     """``id, mark, spans`` of the bytes to be removed, from ``id, mark, text``."""
     text_size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -498,9 +517,10 @@ def stretches(docs: DataFrame) -> DataFrame:
         .agg(F.collect_list("place").alias("places"))
     )
     now = (
-        docs.join(places, "id")
-        .select("id", "mark", "text", "places")
-        .mapInArrow(lambda batches: contexts(batches, buckets), OUT)
+        docs.mapInArrow(pressed, "id bigint, mark bigint, data binary")
+        .join(places, "id")
+        .select("id", "mark", "data", "places")
+        .mapInArrow(lambda batches: contexts(opened(batches), buckets), OUT)
     )
     # Stretches met on the way pass through the shuffle to any bucket.
     given_rows = []
@@ -567,13 +587,14 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     kind = docs.schema[key].dataType.simpleString()
 
     def finish(batches):
-        for batch in batches:
-            ids, texts, own = (batch.column(i) for i in range(3))
+        for batch in opened(batches):
+            ids, _, texts, own = batch.columns
+            texts = texts.to_pylist()
             done = [
-                cut(t.as_py().encode(), [(s["start"], s["stop"]) for s in w.as_py() or ()])
+                cut(t, [(s["start"], s["stop"]) for s in w.as_py() or ()])
                 for t, w in zip(texts, own, strict=True)
             ]
-            size = [len(t.as_py().encode()) for t in texts]
+            size = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids,
@@ -586,8 +607,9 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             )
 
     done = (
-        rows.join(spans, ["id", "mark"], "left")
-        .select("id", "text", "spans")
+        rows.mapInArrow(pressed, "id bigint, mark bigint, data binary")
+        .join(spans, ["id", "mark"], "left")
+        .select("id", "mark", "data", "spans")
         .mapInArrow(finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     )
     return done.select(
