@@ -163,7 +163,7 @@ def with_groups(rows: DataFrame) -> DataFrame:
         .otherwise("rest")
         .alias("grp"),
     )
-    return rows.join(written(named), ["lang", "source"], "left")
+    return rows.join(written(named.coalesce(1)), ["lang", "source"], "left")
 
 
 def quartiles(inner: DataFrame) -> DataFrame:
@@ -284,14 +284,15 @@ def robust_estimates(inner: DataFrame) -> DataFrame:
     everything = estimate(
         inner.groupBy("grp").agg(*moments()).withColumn("start", F.lit(1))
     ).drop("logdet")
-    now = written(quartiles(inner).unionByName(everything))
+    now = written(quartiles(inner).unionByName(everything).coalesce(1))
     for _ in range(STEPS):
-        now = written(concentrate(inner, now))
+        now = written(concentrate(inner, now).coalesce(1))
     best = Window.partitionBy("grp").orderBy("logdet", "start")
     return written(
         now.withColumn("place", F.row_number().over(best))
         .where("place = 1")
         .drop("place", "start", "logdet")
+        .coalesce(1)
     )
 
 
