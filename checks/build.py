@@ -3,18 +3,13 @@
 from pyspark.sql import functions as F
 
 from checks.registry import d_compact, d_hash, d_strip, d_tokens, query
-from checks.views import duck_with, spark_view, table
+from checks.views import duck_with, spark_view
 from triplemill.functions import rdf, text
 from triplemill.operators import pairing, ranking, subset, tasks
 from triplemill.plans.scratch import written
 
-# Fewest triples of a kept entity: some entities have fewer at every scale. The
-# smallest tables have ten suppliers only, and so fewer triples per entity.
-MIN = "(select case when count(*) > 10 then 25 else 12 end from supplier)"
-
-
-def least(spark, sf):
-    return 25 if table(spark, sf, "supplier").count() > 10 else 12
+# Fewest triples of a kept entity, the same at every scale.
+MIN = 12
 
 
 def raw(spark, sf):
@@ -30,7 +25,7 @@ def texts(spark, sf):
 
 
 def pairs(spark, sf):
-    return pairing.pair_records(triples(spark, sf), texts(spark, sf), least(spark, sf))
+    return pairing.pair_records(triples(spark, sf), texts(spark, sf), MIN)
 
 
 def split_pairs(spark, sf):
@@ -96,18 +91,18 @@ def _(spark, sf):
 
 @query("pair_join_j1", TRI + "select film, n::int as n_triples, text, outcome from flags")
 def _(spark, sf):
-    return pairing.pair_flags(triples(spark, sf), texts(spark, sf), least(spark, sf))
+    return pairing.pair_flags(triples(spark, sf), texts(spark, sf), MIN)
 
 
 @query("pairing_audit_a3", TRI + "select count(*) filter (outcome = 'kept') as kept, count(*) filter (outcome = 'no_text') as no_text, count(*) filter (outcome = 'few_triples') as few_triples from flags")
 def _(spark, sf):
-    return pairing.pairing_audit(pairing.pair_flags(triples(spark, sf), texts(spark, sf), least(spark, sf)))
+    return pairing.pairing_audit(pairing.pair_flags(triples(spark, sf), texts(spark, sf), MIN))
 
 
 @query("kept_triples_p7", TRI + "select d.film, s, p, o, seq, k.n::int as n_triples from dis d join kept k on d.film = k.film")
 def _(spark, sf):
     tri = triples(spark, sf)
-    return pairing.kept_triples(tri, pairing.pair_flags(tri, texts(spark, sf), least(spark, sf)))
+    return pairing.kept_triples(tri, pairing.pair_flags(tri, texts(spark, sf), MIN))
 
 
 @query("grouped_triples_a1", TRI + "select film, string_agg(concat_ws('|', s, p, o), ';' order by seq, p, o, s) as triples, count(*)::int as n from dis group by film")
@@ -326,7 +321,7 @@ def _(spark, sf):
 
 @query("size_order_o2", TRI + "select film, n::int as n_triples, (row_number() over (order by n, film))::bigint as place from flags")
 def _(spark, sf):
-    flags = pairing.pair_flags(triples(spark, sf), texts(spark, sf), least(spark, sf))
+    flags = pairing.pair_flags(triples(spark, sf), texts(spark, sf), MIN)
     rows = subset.by_size(flags.select("film", "n_triples"))
     return ranking.rank_within(rows, [], ["n_triples", "film"], "place")
 

@@ -140,10 +140,10 @@ def _(spark, sf):
     return extract.allowed(edges(spark, sf), ALLOWED)
 
 
-@query("predicate_table_p3", EDGES + "select s, p, o from edges where p in (select p from edges group by p having count(*) > 10000)")
+@query("predicate_table_p3", EDGES + "select s, p, o from edges where p in (select p from edges group by p having count(*) * 10 > (select count(*) from edges))")
 def _(spark, sf):
     rows = edges(spark, sf)
-    frequent = rows.groupBy("p").agg(F.count("*").alias("n")).where("n > 10000")
+    frequent = rows.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") * 10 > rows.count())
     return extract.allowed(rows, frequent).select("s", "p", "o")
 
 
@@ -266,10 +266,15 @@ def _(spark, sf):
     return extract.abstract_in(abstracts(spark, sf), "en")
 
 
-@query("text_fallback_j5", COLLECT + f", {ABS} select film, text from (select s.film, coalesce(nullif(c.text, ''), nullif(a.abstract, '')) as text from seen s left join (select film, text from raw_texts where seq = 0) c on s.film = c.film left join abst a on s.film = a.film) where text is not null")
+@query("text_fallback_j5", COLLECT + f", {ABS} select film, text from (select s.film, coalesce(nullif(c.text, ''), nullif(a.abstract, '')) as text from seen s left join (select film, text from (select film, text, row_number() over (partition by film order by seq desc, text desc) as rn from raw_texts where coalesce(text, '') <> '') lt where rn = 1) c on s.film = c.film left join abst a on s.film = a.film) where text is not null")
 def _(spark, sf):
     films = extract.first_seen(raw(spark, sf))
-    own = spark_view(spark, sf, "raw_texts").where("seq = 0")
+    own = (
+        spark_view(spark, sf, "raw_texts")
+        .where("coalesce(text, '') <> ''")
+        .groupBy("film")
+        .agg(F.max_by("text", F.struct("seq", "text")).alias("text"))
+    )
     return extract.with_fallback(films, own, extract.abstract_in(abstracts(spark, sf), "en"))
 
 

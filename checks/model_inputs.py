@@ -267,7 +267,7 @@ def _(spark, sf):
 # --- batches ---------------------------------------------------------------
 
 BATCH = TURNS + f""",
-c as (select *, list_transform({d_tokens('text')}, lambda w: length(w)) as x, list_transform({d_tokens('text')}, lambda w: length(w) + 1)[1:40] as y from turns),
+c as (select *, list_transform({d_tokens('text')}, lambda w: length(w)) as x, list_transform({d_tokens('text')}, lambda w: length(w) + 1) as y from turns),
 sp as (select *, list_filter(generate_series(0, len(y) - 1), lambda i: y[i + 1] = 8) as st from c),
 b as (select *, (row_number() over (partition by role order by seq) - 1) as rn from sp),
 m as (select role, (rn // 16)::bigint as batch_id, (rn % 16)::int as row_in_batch, id, x, y, st, max(len(x)) over w as mx, max(len(y)) over w as my, max(len(st)) over w as ms from b window w as (partition by role, rn // 16))
@@ -287,7 +287,7 @@ def _(spark, sf):
         "role",
         "seq",
         F.transform(words, F.length).alias("input_ids"),
-        F.slice(F.transform(words, lambda w: F.length(w) + 1), 1, 40).alias("labels"),
+        F.transform(words, lambda w: F.length(w) + 1).alias("labels"),
     )
     hits = F.filter(
         F.transform(

@@ -189,3 +189,46 @@ def test_whitelist_reaches_the_scan(spark, sf):
     plan = extract.allowed(tri, ["A", "R"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(l_returnflag, [A,R])]" in plan
     assert pairing.ARRIVAL[0] == "seq"
+
+
+def test_last_append_wins_and_a_missing_cache_is_empty(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert jsonl.read_cache(spark, path).count() == 0
+    for text in ("old", "newer", "newest"):
+        rows = spark.createDataFrame([("a", text), ("b", text)], "film string, text string")
+        jsonl.write_jsonl(rows.repartition(2, "film"), path, append=True)
+    assert sorted(tuple(r) for r in jsonl.read_cache(spark, path).collect()) == [("a", "newest"), ("b", "newest")]
+
+
+def test_line_numbers_do_not_depend_on_the_reading_tasks(spark, tmp_path):
+    path = tmp_path / "text2rdf.train.jsonl"
+    path.write_text("".join(f'{{"input": "{"x" * 20}", "target": "{i}"}}\n' for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = jsonl.read_examples(spark, str(path)).select("id", "target").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 3000 and all(r["id"] == r["target"] for r in rows)
+
+
+def test_manifest_lists_empty_splits(spark):
+    import json
+
+    from triplemill.operators import subset
+
+    chosen = spark.createDataFrame([("train", "f")], "split string, film string")
+    counts = subset.subset_counts(spark.createDataFrame([], "task string, split string"))
+    text = json.loads(subset.manifest_json(chosen, counts, "from/here").first()[0])
+    assert text["per_split"] == {"train": ["f"], "val": [], "test": []}
+    assert text["total_films"] == 1 and text["source_processed_dir"] == "from/here"
+
+
+def test_a_weighted_task_without_examples_is_an_error(spark):
+    import pytest
+
+    from triplemill.operators import batching
+
+    one = spark.createDataFrame([("1", "text2rdf")], "id string, task string")
+    with pytest.raises(ValueError, match="without examples"):
+        batching.weighted_mix(one)

@@ -10,9 +10,6 @@ from triplemill.plans.scratch import written
 # A key with more rows than this is hot; it is cut into pieces of CHUNK rows.
 HOT_ROWS = 200_000
 CHUNK = 50_000
-# The list of hot keys is broadcast, so it is kept below this length by
-# raising the threshold with the table: rows / MAX_HOT_KEYS at least.
-MAX_HOT_KEYS = 100_000
 
 
 def seeded_hash(*cols, seed: int):
@@ -53,17 +50,12 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], name="rank") -
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more rows than the threshold, or None when there are none.
-
-    The result has at most MAX_HOT_KEYS rows: the threshold is never below
-    ``rows / MAX_HOT_KEYS``.
-    """
+    """Keys with more rows than the threshold, or None when there are none."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    top = sizes.agg(F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
-    limit = max(hot_rows, (top["rows"] or 0) // MAX_HOT_KEYS)
-    if (top["most"] or 0) <= limit:
+    top = sizes.agg(F.max("_n").alias("most")).first()
+    if (top["most"] or 0) <= hot_rows:
         return None
-    return written(sizes.where(F.col("_n") > limit).select(*keys))
+    return written(sizes.where(F.col("_n") > hot_rows).select(*keys))
 
 
 def gather(
@@ -85,12 +77,12 @@ def gather(
     if hot is None:
         return df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
     ordinary = (
-        df.join(F.broadcast(hot), keys, "left_anti")
+        df.join(hot, keys, "left_anti")
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(item)).alias("items"))
     )
     pieces = (
-        rank_within(df.join(F.broadcast(hot), keys, "left_semi"), keys, order, "_rank")
+        rank_within(df.join(hot, keys, "left_semi"), keys, order, "_rank")
         .withColumn("_chunk", F.floor((F.col("_rank") - 1) / chunk))
         .groupBy(*keys, "_chunk")
         .agg(F.sort_array(F.collect_list(item)).alias("items"))

@@ -161,8 +161,14 @@ def subset_counts(examples: DataFrame, tasks=C.TASKS) -> DataFrame:
 
 
 def manifest_json(chosen: DataFrame, counts: DataFrame, source: str) -> DataFrame:
-    """Manifest of a subset as one JSON text, as long as the subset."""
-    films = chosen.groupBy("split").agg(F.sort_array(F.collect_list("film")).alias("films"))
+    """Manifest of a subset as one JSON text, as long as the subset; a split
+    without entities has an empty list."""
+    grid = chosen.sparkSession.createDataFrame([(s,) for s in C.SPLITS], "split string")
+    films = (
+        grid.join(chosen, "split", "left")
+        .groupBy("split")
+        .agg(F.sort_array(F.collect_list("film")).alias("films"))
+    )
     per_split = films.agg(
         F.map_from_arrays(F.collect_list("split"), F.collect_list("films")).alias("per_split"),
         F.sum(F.size("films")).alias("total_films"),

@@ -1,6 +1,7 @@
 """Whole jobs: from raw records to datasets, subsets, vocabularies, reports."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from triplemill import constants as C
 from triplemill.operators import extract, pairing, ranking, report, subset, tasks, vocab
@@ -49,13 +50,16 @@ def read_tasks(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
-def build_subset(pairs: DataFrame, examples: DataFrame, out: str, total=subset.SUBSET_SIZE):
-    """Write the examples of an even subset and its manifest."""
+def build_subset(
+    pairs: DataFrame, examples: DataFrame, out: str, total=subset.SUBSET_SIZE, source: str = ""
+):
+    """Write the examples of an even subset and its manifest, which names the
+    ``source`` the subset was made from."""
     chosen = written(subset.select_subset(pairs.select("film", "split", "n_triples"), total))
     kept = written(subset.subset_examples(examples, chosen))
     jsonl.write_tasks(kept, f"{out}/tasks")
     counts = subset.subset_counts(kept)
-    manifest = subset.manifest_json(chosen, counts, out)
+    manifest = subset.manifest_json(chosen, counts, source)
     manifest.write.mode("overwrite").text(f"{out}/manifest")
     return chosen
 
@@ -95,7 +99,9 @@ def collect_texts(
     films = written(extract.first_seen(raw_triples, most))
     cache = written(jsonl.read_cache(spark, cache_path))
     todo = extract.to_fetch(films, cache)
-    found = written(extract.requested(responses, todo).select("film", "text"))
+    # Repeated responses count once.
+    answers = extract.requested(responses, todo).groupBy("film").agg(F.max("text").alias("text"))
+    found = written(answers)
     jsonl.write_jsonl(found, cache_path, append=True)
     jsonl.write_jsonl(extract.failed(todo, found, responses), f"{out}/failures")
     merged = extract.merge_texts(cache, found)

@@ -1,9 +1,11 @@
 """JSON-lines sources and sinks (plain or compressed by file suffix)."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplemill.functions.text import infer_task, present
+from triplemill.operators.ranking import rank_within
 
 RAW_TRIPLES = "film string, dir string, p string, o string"
 RAW_TEXTS = "film string, text string"
@@ -15,8 +17,8 @@ FAILURES = "film string, title string, status int, url string"
 def read_jsonl(spark: SparkSession, path, schema: str, arrival: bool = False) -> DataFrame:
     """Read records; blank lines are skipped, a malformed line is an error.
 
-    ``arrival`` adds ``seq``, which orders records as the files hold them: by
-    file, then by place in it.
+    ``arrival`` adds ``seq``, which orders records as they came: by the time the
+    file was written, then by file and place in it.
     """
     return _read(spark, path, schema, "FAILFAST", arrival)
 
@@ -33,6 +35,7 @@ def _read(spark, path, schema, mode, arrival):
     return df.withColumn(
         "seq",
         F.struct(
+            F.col("_metadata.file_modification_time").alias("time"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
@@ -58,9 +61,10 @@ def read_examples(spark: SparkSession, path, arrival: bool = True) -> DataFrame:
     df = read_jsonl(spark, path, EXAMPLES, arrival=True).withColumn(
         "_name", F.col("_metadata.file_path")
     )
-    # The low 33 bits count the rows of a file part.
-    line = F.col("seq.row").bitwiseAND((1 << 33) - 1).cast("string")
-    out = with_defaults(df, line, F.col("_name")).drop("_name")
+    # Lines are counted per file, however many tasks read it.
+    df = rank_within(df, ["_name"], ["seq"], "_line")
+    line = (F.col("_line") - 1).cast("string")
+    out = with_defaults(df, line, F.col("_name")).drop("_name", "_line")
     return out if arrival else out.drop("seq")
 
 
@@ -97,8 +101,15 @@ def read_corpus(spark: SparkSession, pattern) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path) -> DataFrame:
-    """Last usable text per entity of a cache that may hold broken lines."""
-    return last_cached(read_tolerant(spark, path, RAW_TEXTS, arrival=True))
+    """Last usable text per entity of a cache that may hold broken lines; a cache
+    that is not there yet is empty."""
+    try:
+        records = read_tolerant(spark, path, RAW_TEXTS, arrival=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RAW_TEXTS)
+    return last_cached(records)
 
 
 def last_cached(records: DataFrame) -> DataFrame:
