@@ -17,6 +17,7 @@ from triplemill.sources import jsonl
 WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
 SYMBOL = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SPECIAL = "|".join(C.SPECIAL_TOKENS)
+# As far as SQL can follow; the whole vocabulary is learned by the queries without SQL.
 MERGES = 30
 
 
@@ -90,6 +91,13 @@ def _(spark, sf):
     return vocab.token_table(spark, learned(spark, sf)[0])
 
 
+@query("vocabulary_full_a15")
+def _(spark, sf):
+    # Of the real size, or until no pair is frequent enough.
+    words = written(vocab.pretoken_counts(documents(spark, sf)))
+    return vocab.merge_table(spark, vocab.learn_merges(words)[1])
+
+
 @query("encode_f11", TOKENS + f""",
 cut as (select word, string_split(trim(sy), '  ') as parts from st where i = {MERGES}),
 coded as (select word, string_agg(id::varchar, ' ' order by k) as ids, count(*) as m from (select word, unnest(parts) as t, generate_subscripts(parts, 1) as k from cut) join names using (t) group by word),
@@ -108,7 +116,7 @@ def _(spark, sf):
     # Learned on the corpus of all examples, as in training.
     examples = written(tasks.task_examples(split_pairs(spark, sf)))
     words = written(vocab.pretoken_counts(jsonl.corpus(examples)))
-    tokens, merges = vocab.learn_merges(words, max_merges=MERGES)
+    tokens, merges = vocab.learn_merges(words)
     encoder = vocab.word_encoder(spark, tokens, merges)
     coded = batching.encoded_examples(examples, encoder, tokens, 256, with_spans=True)
     return coded.select(

@@ -1,6 +1,8 @@
 """Vocabulary and encoding, also against the public tokenizers library."""
 
+import itertools
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +41,54 @@ def test_overlapping_copies(spark):
     assert vocab.learn_merges(words, 100, 2, special=[])[1][0] == ("a", "a", 12)
 
 
+def test_a_symbol_made_twice(spark):
+    # 'abc' comes from a+bc and from ab+c; after the second way it is counted anew.
+    words = words_of(spark, {"abcx": 9, "ab": 30, "zabc": 7, "bc": 20, "abcy": 8})
+    assert vocab.learn_merges(words, 100, 2, special=[])[1] == [
+        ("a", "b", 54), ("ab", "c", 24), ("b", "c", 20), ("abc", "x", 9), ("abc", "y", 8), ("z", "abc", 7)
+    ]
+
+
+@pytest.mark.parametrize("look_ahead, most_symbols", [(1, 10), (5, 40), (40, 300), (300, 10**6)])
+def test_width_of_a_round_changes_nothing(spark, look_ahead, most_symbols):
+    texts = ["the other then there this those aaaa aaa baaab banana", "mississippi is his kiss the thesis ababab"]
+    words = vocab.pretoken_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = vocab.learn_merges(words, 90, 1, [], 25, look_ahead, most_symbols)[1]
+    assert got == plain_merges(words, 25)
+
+
+def plain_merges(words, most):
+    """One merge at a time, all pairs counted again each time."""
+    spelling = [(tuple(r["word"]), r["n"]) for r in words.collect()]
+    place, out = {c: ord(c) for word, _ in spelling for c in word}, []
+    while len(out) < most:
+        counts = Counter()
+        for word, n in spelling:
+            for pair in itertools.pairwise(word):
+                counts[pair] += n
+        if not counts:
+            break
+        a, b = min(counts, key=lambda p: (-counts[p], place[p[0]], place[p[1]]))
+        out.append((a, b, counts[a, b]))
+        place.setdefault(a + b, 0x110000 + len(place))
+        # A private mark keeps symbols apart, so that one pattern does the merge.
+        joined = [("\0" + "\0".join(word).replace("\0", "\0\0") + "\0", n) for word, n in spelling]
+        joined = [(w.replace(f"\0{a}\0\0{b}\0", f"\0{a}{b}\0"), n) for w, n in joined]
+        spelling = [(tuple(w.strip("\0").split("\0\0")), n) for w, n in joined]
+    return out
+
+
+def test_full_size_as_the_library(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    tok = Tokenizer(BPE(unk_token=C.UNKNOWN))
+    tok.pre_tokenizer = Whitespace()
+    trainer = BpeTrainer(vocab_size=4000, min_frequency=C.MIN_FREQUENCY, special_tokens=list(C.SPECIAL_TOKENS), show_progress=False)
+    tok.train_from_iterator([r["text"] for r in docs.collect()], trainer)
+    tokens, merges = vocab.learn_merges(vocab.pretoken_counts(docs), 4000)
+    assert [(a, b) for a, b, _ in merges] == [tuple(m) for m in json.loads(tok.to_str())["model"]["merges"]]
+    assert {t: i for i, t in enumerate(tokens)} == tok.get_vocab()
+
+
 def test_word_order_of_merges():
     ranks = {("a", "b"): 0, ("b", "c"): 1, ("ab", "c"): 2, ("a", "a"): 3}
     assert vocab._word_pieces("abcaa", ranks) == ["abc", "aa"]
