@@ -112,6 +112,8 @@ def test_build(spark, built):
     examples = jobs.read_tasks(spark, out)
     counts = {r["task"]: r["count"] for r in examples.groupBy("task").count().collect()}
     assert counts == dict.fromkeys(("text2rdf", "rdf2text", "rdfcomp1", "rdfcomp2"), n)
+    audit = spark.read.json(f"{out}/audit").first()
+    assert audit["kept"] == n and audit["no_text"] + audit["few_triples"] > 0
     # an entity is in one split only
     assert examples.groupBy("film").agg(F.count_distinct("split").alias("k")).where("k > 1").count() == 0
     lists = jsonl.read_jsonl(spark, f"{out}/splits", "film string, split string")

@@ -47,10 +47,12 @@ def last_texts(texts: DataFrame) -> DataFrame:
     )
 
 
-def pair_flags(triples: DataFrame, texts: DataFrame, min_triples=MIN_TRIPLES) -> DataFrame:
+def pair_flags(
+    triples: DataFrame, texts: DataFrame, min_triples=MIN_TRIPLES, deduplicate=True
+) -> DataFrame:
     """One row per entity that has triples: count, text and what becomes of it."""
     sizes = (
-        distinct_triples(triples)
+        (distinct_triples(triples) if deduplicate else triples)
         .groupBy("film")
         .agg(F.count("*").cast("int").alias("n_triples"))
     )

@@ -21,7 +21,8 @@ def build_dataset(
     max_tokens: int | None = None,
     emit_tasks: bool = True,
 ) -> DataFrame:
-    """Write pairs, split lists and task examples under ``out``.
+    """Write pairs, the audit of the pairing, split lists and task examples
+    under ``out``.
 
     The pairs are made once and kept as a table; the split is a comparison of
     hashes with two cuts, so nothing is joined to apply it.
@@ -33,6 +34,8 @@ def build_dataset(
     pairs = written(
         pairing.pair_records(triples, raw_texts, min_triples, deduplicate=deduplicate)
     )
+    flags = pairing.pair_flags(triples, raw_texts, min_triples, deduplicate)
+    pairing.pairing_audit(flags).write.mode("overwrite").json(f"{out}/audit")
     cuts = ranking.split_cuts(pairs, ratios=ratios, seed=seed)
     pairs = pairs.withColumn("split", ranking.split_of("film", cuts, seed))
     jsonl.write_pairs(pairs, f"{out}/pairs")
