@@ -149,3 +149,15 @@ def test_vocabulary_tables(spark, learned):
     tokens, merges = learned
     back = vocab.read_vocabulary(vocab.token_table(spark, tokens), vocab.merge_table(spark, merges))
     assert back == (tokens, merges)
+
+
+def test_nothing_to_merge(spark):
+    empty = spark.createDataFrame([], "word string, n bigint")
+    assert vocab.learn_merges(empty, 100, 1, ["<pad>"]) == (["<pad>"], [])
+    assert vocab.learn_merges(words_of(spark, {"a": 3, "": 2}), 100, 1, ["<pad>"]) == (["<pad>", "a"], [])
+
+
+def test_a_very_long_word(spark):
+    words = words_of(spark, {"ab": 3, "c" * 3000: 1})
+    merges = vocab.learn_merges(words, 100, 1, [], max_merges=2, most_symbols=50)[1]
+    assert merges == [("c", "c", 2999), ("cc", "cc", 1499)]
