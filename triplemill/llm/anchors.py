@@ -41,14 +41,14 @@ def sampled(raw: np.ndarray, at: np.ndarray, window: int, size: int = SIZE):
     n = len(raw) - window + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    # Least of 2^k neighbours, then of two overlapping ones: (value, place).
-    place, width = np.arange(len(h), dtype=np.int32), 1
+    # Hash and place in one number: the least is the least hash, leftmost. Least
+    # of 2^k neighbours, then of two overlapping ones.
+    low32 = np.uint64(2**32 - 1)
+    least, width = (h & ~low32) | np.arange(len(h), dtype=np.uint64), 1
     while width * 2 <= span:
-        a, b = place[: len(place) - width], place[width:]
-        place = np.where(h[b] < h[a], b, a)
+        least = np.minimum(least[:-width], least[width:])
         width *= 2
-    a, b = place[:n], place[span - width : span - width + n]
-    place = np.where(h[b] < h[a], b, a)
+    place = np.minimum(least[:n], least[span - width : span - width + n]) & low32
     # Windows that run into the next text do not count.
     inside = np.ones(n, bool)
     for end in at[1:-1]:

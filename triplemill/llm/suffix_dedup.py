@@ -53,6 +53,9 @@ REACH = LENGTH - SIZE
 # Text per bucket of samples, and samples that a task packs at a time.
 BUCKET_BYTES = 12 << 20
 FLUSH = 1_000_000
+# What is kept of a sample's hash. A bucket has under a million samples, so few
+# others look the same, and those are told apart by their contexts.
+KEY = np.dtype("<u4")
 HOT = 4_096
 # Contexts merged at a time, if no sample has more.
 MERGE = 1_024
@@ -78,29 +81,25 @@ def rows_of_samples(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
 
     def flush():
         k, i, p = np.concatenate(keys), np.concatenate(ids), np.concatenate(places)
-        order = np.lexsort([p, i, k])
-        k, i, p = k[order], i[order], p[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        run = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(k))
-        several = i[starts] != i[ends - 1]
+        if (i[1:] < i[:-1]).any():
+            by_id = np.argsort(i, kind="stable")
+            k, i, p = k[by_id], i[by_id], p[by_id]
+        hit, note = of_several(k, i)
         out = []
-        hit = several[run]
         # Places that repeat, in any bucket; by id, so that they pack well.
-        for part in np.array_split(np.lexsort([p[hit], i[hit]]), buckets):
+        for part in np.array_split(np.flatnonzero(hit), buckets):
             if len(part):
-                out.append((int(xxhash.xxh32_intdigest(p[hit][part[:1]].tobytes()) % buckets), 1, deltas(i[hit][part], p[hit][part])))
-        note = starts[several]
-        k, i, p = (np.concatenate([x[~hit], y]) for x, y in ((k, k[note]), (i, np.full(len(note), -1)), (p, p[note])))
-        bucket = ((k >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort([p, i, bucket])
-        k, i, p, bucket = k[order], i[order], p[order], bucket[order]
+                out.append((int(xxhash.xxh32_intdigest(p[part[:1]].tobytes()) % buckets), 1, deltas(i[part], p[part])))
+        noted = np.zeros(len(note), np.int64)
+        k, i, p = (np.concatenate([y, x[~hit]]) for x, y in ((k, k[note]), (i, noted - 1), (p, noted)))
+        bucket = ((k >> np.uint64(40)) % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+        order = np.argsort(bucket, kind="stable")
+        k, i, p, bucket = k[order].astype(KEY), i[order], p[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         for b, (low, high) in enumerate(itertools.pairwise(cuts)):
             if high > low:
-                low48 = k[low:high].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                out.append((b, 0, deltas(i[low:high], p[low:high], np.ascontiguousarray(low48))))
+                own = k[low:high].view(np.uint8).reshape(-1, KEY.itemsize)
+                out.append((b, 0, deltas(i[low:high], p[low:high], own)))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)],
             names=["bucket", "kind", "data"],
@@ -122,6 +121,20 @@ def rows_of_samples(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
         yield flush()
 
 
+def of_several(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which samples more than one document has, and one row of each such sample.
+    A note has id -1, so it makes any document's sample a repeated one."""
+    order = np.argsort(keys)
+    k, i = keys[order], ids[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    starts = np.flatnonzero(new)
+    least = np.minimum.reduceat(i, starts)
+    several = (least != np.maximum.reduceat(i, starts)) | (least == -1)
+    hit = np.empty(len(k), bool)
+    hit[order] = several[np.cumsum(new) - 1]
+    return hit, order[starts[several]]
+
+
 def deltas(ids: np.ndarray, places: np.ndarray, *others: np.ndarray) -> bytes:
     """Ids in order, as their steps."""
     return packed(ids[:1].view(np.uint64), np.diff(ids).view(np.uint64), places, *others)
@@ -149,16 +162,8 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal held, waiting
         parts = [held, *waiting] if held is not None else waiting
         k, i, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort([i, k])
-        k, i, p = k[order], i[order], p[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        run, starts = np.cumsum(new) - 1, np.flatnonzero(new)
-        ends = np.append(starts[1:], len(k))
-        # A note has id -1, so it makes any document's sample a repeated one.
-        several = (i[starts] != i[ends - 1]) | (i[starts] == -1)
-        hit = several[run]
+        hit, note = of_several(k, i)
         give = hit & (i != -1)
-        note = starts[several]
         held = tuple(
             np.concatenate([x[~hit], y])
             for x, y in ((k, k[note]), (i, np.full(len(note), -1)), (p, np.zeros(len(note), np.int64)))
@@ -175,10 +180,8 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == 1:
                 yield out(*undone(data))
                 continue
-            ids, places, low48 = undone(data)
-            wide = np.zeros((len(low48), 8), np.uint8)
-            wide[:, :6] = low48
-            waiting.append((wide.view("<u8").ravel().astype(np.uint64), ids, places))
+            ids, places, own = undone(data)
+            waiting.append((own.view(KEY).ravel(), ids, places))
             size = sum(len(w[0]) for w in waiting)
             if size >= max(FLUSH // 2, 0 if held is None else len(held[0])) and (found := settle()):
                 yield found
