@@ -330,6 +330,18 @@ def _(spark, sf):
     return rounded(cells.select("split", "task", "t.loss", "t.num_samples", "avg_loss"), "loss", "avg_loss")
 
 
+@query("report_metrics_s11", BY_TASK + " select split, task, task as inner_task, metric, round(value, 6)::double as value from scores")
+def _(spark, sf):
+    rows = every(spark, sf)
+    batches = rows.select("split", "task", F.length("ref").alias("loss"), F.lit(1).alias("n"))
+    whole = report.report_json(report.evaluation(rows, batches))
+    shape = "struct<splits:map<string,struct<tasks:map<string,struct<metrics:map<string,map<string,double>>>>>>>"
+    splits = whole.select(F.explode(F.from_json("report", shape)["splits"]).alias("split", "v"))
+    cells = splits.select("split", F.explode("v.tasks").alias("task", "t"))
+    inner = cells.select("split", "task", F.explode("t.metrics").alias("inner_task", "m"))
+    return rounded(inner.select("split", "task", "inner_task", F.explode("m").alias("metric", "value")), "value")
+
+
 # --- alignment -------------------------------------------------------------
 
 

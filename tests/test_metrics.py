@@ -1,5 +1,6 @@
 """Scores with exact values, and against plain Python."""
 
+import json
 import math
 import random
 from collections import Counter
@@ -230,3 +231,28 @@ def test_row_scores_need_no_shuffle_of_texts(spark, sf):
 
     plan = metrics.metrics_by_task(pred_ref(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1  # of the sums
+
+
+def test_report_tells_data_set_from_task(spark):
+    """A data set of mixed tags: losses by data set, metrics by the tag inside."""
+    rows = spark.createDataFrame(
+        [
+            ("val", "all", "text2rdf", "1", "<SOT> <SUBJ> a <PRED> b <OBJ> c <EOT>", "<SOT> <SUBJ> a <PRED> b <OBJ> c <EOT>"),
+            ("val", "all", "rdfcomp1", "2", "x", "y"),
+            ("val", "all", "rdfcomp1", "3", "y", "y"),
+            ("val", "one", "rdfcomp1", "4", "y", "y"),
+        ],
+        "split string, dataset string, task string, id string, pred string, ref string",
+    )
+    log = spark.createDataFrame(
+        [("val", "all", 2.0, 3), ("val", "one", 1.0, 1), ("val", "bare", 4.0, 2)],
+        "split string, task string, loss double, n int",
+    )
+    rep = report.evaluation(rows, log, "dataset")
+    got = {r["key"]: r["value"] for r in report.flatten_report(rep).collect()}
+    assert got["val/all/text2rdf/f1"] == 100 and got["val/all/text2rdf/samples"] == 1
+    assert got["val/all/rdfcomp1/accuracy"] == 50 and got["val/one/rdfcomp1/accuracy"] == 100
+    assert got["val/all/loss"] == 2 and "val/text2rdf/loss" not in got
+    tasks = json.loads(report.report_json(rep).first()[0])["splits"]["val"]["tasks"]
+    assert tasks["all"]["metrics"]["rdfcomp1"] == {"accuracy": 50.0, "samples": 2.0}
+    assert tasks["bare"]["metrics"] == {"bare": {"samples": 2.0}}

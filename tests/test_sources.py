@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,10 +45,13 @@ def test_last_cached_text_wins(spark, tmp_path):
 
 
 def test_arrival_order(spark, tmp_path):
-    for name in "ba":
-        put(tmp_path / f"{name}.jsonl", [json.dumps({"film": f"{name}{i}", "text": "t" * 50}) for i in range(20)])
+    # By time first, then by name.
+    for name, time in (("c", 1000), ("b", 2000), ("a", 2000)):
+        path = tmp_path / f"{name}.jsonl"
+        put(path, [json.dumps({"film": f"{name}{i}", "text": "t" * 50}) for i in range(20)])
+        os.utime(path, (time, time))
     rows = jsonl.read_jsonl(spark, str(tmp_path), jsonl.RAW_TEXTS, arrival=True).orderBy("seq").collect()
-    assert [r["film"] for r in rows] == [f"{n}{i}" for n in "ab" for i in range(20)]
+    assert [r["film"] for r in rows] == [f"{n}{i}" for n in "cab" for i in range(20)]
 
 
 def test_nulls_are_written(spark, tmp_path):

@@ -1,6 +1,5 @@
 """Shares of the splits and even picks."""
 
-import math
 import random
 
 import pytest
@@ -14,28 +13,6 @@ def sizes_of(spark, sizes):
     return spark.createDataFrame(list(zip(SPLITS, sizes)), "split string, size bigint")
 
 
-def plain_shares(sizes, total):
-    """The rule by hand: whole parts, then leftovers, then the minimums."""
-    size = dict(zip(SPLITS, sizes))
-    films = sum(sizes)
-    total = min(total, films)
-    filled = [s for s in SPLITS if size[s]]
-    exact = {s: total * size[s] / films for s in filled}
-    take = dict.fromkeys(SPLITS, 0)
-    for s in filled:
-        low = 1 if total >= len(filled) else 0
-        take[s] = min(size[s], max(low, math.floor(exact[s])))
-    rest = {s: exact[s] - take[s] for s in filled}
-    diff = total - sum(take.values())
-    order = sorted(filled, key=lambda s: (rest[s], s), reverse=diff > 0)
-    for s in order:
-        if diff > 0 and size[s] > take[s]:
-            take[s], diff = take[s] + 1, diff - 1
-        elif diff < 0 and take[s] > 0:
-            take[s], diff = take[s] - 1, diff + 1
-    return subset.rebalance(take, size, total)
-
-
 def test_twenty_of_many(spark):
     assert subset.subset_shares(sizes_of(spark, (800, 100, 100)), 20) == {"train": 12, "val": 4, "test": 4}
 
@@ -54,11 +31,11 @@ def test_twenty_of_many(spark):
 )
 def test_shares(spark, sizes, total, want):
     got = subset.subset_shares(sizes_of(spark, sizes), total)
-    assert got == plain_shares(sizes, total)
     assert tuple(got[s] for s in SPLITS) == want
 
 
 def test_shares_by_chance(spark):
+    """What must hold of any shares, whatever the way they are found."""
     rng = random.Random(9)
     for _ in range(12):
         sizes = [rng.choice([0, 1, 2, 5, 30, 300]) for _ in SPLITS]
@@ -66,9 +43,12 @@ def test_shares_by_chance(spark):
         if not sum(sizes):
             continue
         got = subset.subset_shares(sizes_of(spark, sizes), total)
-        assert got == plain_shares(sizes, total), (sizes, total)
+        assert all(0 <= got[s] <= n for s, n in zip(SPLITS, sizes)), (sizes, total)
         # train may get its one entity on top
         assert sum(got.values()) - min(total, sum(sizes)) in (0, 1)
+        if total >= 12:
+            least = {s: min(n, 1 if s == "train" else 4) for s, n in zip(SPLITS, sizes)}
+            assert all(got[s] >= least[s] for s in SPLITS), (sizes, total)
 
 
 def test_no_entities(spark):

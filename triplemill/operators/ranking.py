@@ -20,32 +20,37 @@ def seeded_hash(*cols, seed: int):
 def rank_within(df: DataFrame, keys: list[str], order: list[str], name="rank") -> DataFrame:
     """Row number (from 1) within ``keys`` by ``order``, for keys of any size.
 
-    Rows are laid out in ranges of ``keys + order``, so a large group spans
-    several partitions. Each row is numbered within its part of the group and
-    shifted by the size of the parts before it.
+    Rows are laid out in sorted ranges of ``keys + order``, so a large group
+    spans several partitions, and numbered there. Where a group's part begins
+    and how many rows the parts before it have turn that number into the rank.
     """
     laid = written(
-        df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    # The upper bits of the number are the partition.
+    laid = laid.withColumn("_part", F.shiftright("_at", 33))
+    pieces = laid.groupBy(*keys, "_part").agg(
+        F.count("*").alias("_n"), F.min("_at").alias("_first")
     )
-    pieces = laid.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     # One row per key and partition: no window here is longer than the number
     # of partitions.
     before = (
         Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     ).orderBy("_part")
-    offsets = pieces.select(
-        *keys,
-        "_part",
-        (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
-    ).where("_before > 0")
-    local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    shifts = pieces.select(
+        *(F.col(k).alias(f"_its_{k}") for k in keys),
+        F.col("_part").alias("_its_part"),
+        (F.sum("_n").over(before) - F.col("_n") - F.col("_first") + 1).alias("_shift"),
+    )
+    same = F.col("_part") == F.col("_its_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_its_{k}"))
     return (
-        laid.withColumn("_local", local)
-        .join(offsets, [*keys, "_part"], "left")
-        .withColumn(
-            name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint")
-        )
-        .drop("_part", "_local", "_before")
+        laid.join(shifts, same)
+        .withColumn(name, (F.col("_at") + F.col("_shift")).cast("bigint"))
+        .drop("_at", "_part", "_shift", "_its_part", *(f"_its_{k}" for k in keys))
     )
 
 

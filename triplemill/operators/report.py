@@ -93,8 +93,8 @@ def flatten_report(rows: DataFrame) -> DataFrame:
 
 
 def report_json(rows: DataFrame) -> DataFrame:
-    """The report as one nested JSON text. Its size is that of the metric
-    names, tasks and splits, not of the data."""
+    """The report as one nested JSON text, of the tasks that have losses. Its
+    size is that of the metric names, tasks and splits, not of the data."""
     is_total = F.col("task").isNull()
     is_task = F.col("task").isNotNull() & F.col("inner").isNull()
     inner = (
@@ -112,6 +112,16 @@ def report_json(rows: DataFrame) -> DataFrame:
             F.max(F.when(F.col("metric") == "num_samples", F.col("value"))).cast("bigint").alias("num_samples"),
         )
         .join(inner, ["split", "task"], "left")
+        # A task without scored rows still says how many it has.
+        .withColumn(
+            "metrics",
+            F.coalesce(
+                "metrics",
+                F.create_map(
+                    "task", F.create_map(F.lit("samples"), F.col("num_samples").cast("double"))
+                ),
+            ),
+        )
         .groupBy("split")
         .agg(
             F.map_from_arrays(
@@ -137,7 +147,15 @@ def report_json(rows: DataFrame) -> DataFrame:
     return whole.select(F.to_json(F.struct("splits")).alias("report"))
 
 
-def evaluation(rows: DataFrame, batches: DataFrame) -> DataFrame:
-    """Report of ``(split, task, id, pred, ref)`` and a log of batch losses."""
-    scores = metrics_by_task(cleaned(rows)).withColumn("inner", F.col("task"))
+def evaluation(rows: DataFrame, batches: DataFrame, dataset: str = "task") -> DataFrame:
+    """Report of ``(split, task, id, pred, ref)`` and a log of batch losses.
+
+    ``dataset`` names the column that says for which configured task a row was
+    read. The outer level of the report and the losses go by it; metrics go by
+    the ``task`` each row is tagged with, within its data set.
+    """
+    tagged = cleaned(rows).withColumn("_dataset", F.col(dataset))
+    scores = metrics_by_task(tagged, ("split", "_dataset", "task")).select(
+        "split", F.col("_dataset").alias("task"), F.col("task").alias("inner"), "metric", "value"
+    )
     return report_rows(scores, task_losses(batches))

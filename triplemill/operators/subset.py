@@ -114,15 +114,15 @@ def by_size(index: DataFrame) -> DataFrame:
 
 def evenly_spaced(index: DataFrame, shares: dict[str, int]) -> DataFrame:
     """Pick the given number per split, evenly along ``(n_triples, film)``."""
-    ranked = rank_within(
-        by_size(index).select("split", "film", "n_triples"),
-        ["split"],
-        ["n_triples", "film"],
-        "_rank",
+    rows = by_size(index).select("split", "film", "n_triples")
+    # One count per wanted split reaches the driver.
+    wanted_rows = rows.where(F.col("split").isin(*(s for s, k in shares.items() if k > 0)))
+    sizes = wanted_rows.groupBy("split").agg(F.count("*").alias("n")).collect()
+    ranked = rank_within(wanted_rows, ["split"], ["n_triples", "film"], "_rank")
+    wanted = index.sparkSession.createDataFrame(
+        [(r["split"], shares[r["split"]], r["n"]) for r in sizes],
+        "split string, k int, _total bigint",
     )
-    totals = ranked.groupBy("split").agg(F.max("_rank").alias("_total"))
-    spark = index.sparkSession
-    wanted = spark.createDataFrame(list(shares.items()), "split string, k int")
     # A handful of positions per split: the subset is as large as was asked for.
     step = F.rint(F.col("i") * (F.col("_total") - 1) / F.nullif(F.col("k") - 1, F.lit(0)))
     place = (
@@ -131,9 +131,7 @@ def evenly_spaced(index: DataFrame, shares: dict[str, int]) -> DataFrame:
         .otherwise(step)
     )
     places = (
-        wanted.where("k > 0")
-        .join(totals, "split")
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.least("k", "_total").cast("int") - 1)))
+        wanted.withColumn("i", F.explode(F.sequence(F.lit(0), F.least("k", "_total").cast("int") - 1)))
         .select("split", (place + 1).cast("bigint").alias("_rank"))
     )
     return ranked.join(places, ["split", "_rank"]).select("split", "film", "n_triples")
