@@ -497,6 +497,46 @@ def test_line_chunks_resynchronise():
     assert len(plain & shifted) >= len(plain) - 1
 
 
+def plain_runs(texts):
+    """Lines that a run of 2 and more, extended as far as it goes, or a long line
+    shares with an earlier place: compared place by place."""
+    spots = [(d, i) for d, lines in enumerate(texts) for i in range(len(lines))]
+    gone = set()
+    for d, i in spots:
+        for e, j in spots:
+            if (e, j) >= (d, i):
+                break
+            n = 0
+            while texts[d][i + n : i + n + 1] and texts[d][i + n : i + n + 1] == texts[e][j + n : j + n + 1]:
+                n += 1
+            if n > 1 or n and len(texts[d][i].split()) > line_dedup.LONG:
+                gone |= {(d, i + k) for k in range(n)}
+    return ["\n".join(x for i, x in enumerate(lines) if (d, i) not in gone) for d, lines in enumerate(texts)]
+
+
+def test_line_dedup_removes_whole_runs(spark):
+    """Passages of two lines up, and one long line, go wholly wherever they stand."""
+    rng = random.Random(3)
+    shared = [[f"s{k} {i}" for i in range(2 + k % 5)] for k in range(8)] + [["long " * 51 + "x"], ["short " * 50]]
+    texts = []
+    for d in range(50):
+        own = [[f"own {d} {i}" for i in range(rng.randrange(4))], [f"end {d}"]]
+        texts.append(sum([own[0], rng.choice(shared), own[1], rng.choice(shared)], []))
+    texts += [texts[0], ["a"] * 4, ["b", "c"], ["z", "b"], ["b", "c", "z", "b"]]
+    rows = [(d, "\n".join(lines)) for d, lines in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = dict(texts_of(line_dedup.deduplicated(df, pieces=line_dedup.runs)))
+    assert [got[d] for d in range(len(texts))] == plain_runs(texts)
+    kept = {x for t in got.values() for x in t.split("\n")}
+    assert {x for lines in texts for x in lines} == kept - {""}
+    sums = {r["doc_id"]: r["kept_sha256"] for r in line_dedup.digests(df).collect()}
+    assert sums == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in got.items()}
+    blank = [(1, "a\n\nb\nc"), (2, "x\na\n\nb\ny"), (3, "p\n\nq"), (4, "r\n\ns")]
+    df = spark.createDataFrame(blank, "doc_id bigint, text string")
+    got = dict(texts_of(line_dedup.deduplicated(df, pieces=line_dedup.runs)))
+    assert got == {1: "a\n\nb\nc", 2: "x\ny", 3: "p\n\nq", 4: "r\n\ns"}
+
+
 # --- 9 ----------------------------------------------------------------------------
 
 

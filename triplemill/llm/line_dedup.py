@@ -1,18 +1,26 @@
-"""Passages of several lines that repeat anywhere, cut where their content says.
-
-A hash that rolls over the hashes of ``ROLL`` lines ends a chunk after each line
-where it is divisible by ``MEAN``. So a boundary depends on the lines before it
-only, and a passage that moved, or stands among other lines, falls into the same
-chunks again after its first boundary. Of chunks of two or more lines that are
-equal, the first (least id, then place) stays and the others are removed.
-
-Chunks are met by a 128-bit hash, of narrow rows that are added up before they
+"""Passages of lines that repeat anywhere, removed but for their first place.
+
+A passage is a run of two or more lines that hold words, with the blank lines
+between them, or one line of more than ``LONG`` words; shorter single lines stay.
+It is found by its pieces (``runs``): every line with the next one, and every long
+line alone. A run of lines is shared exactly if all its pieces are, so the lines
+that go are those of every run, in its full length, that an earlier place has
+(least id, then place), whatever stands around it: no boundary has to agree. By
+the same order each line that goes stays somewhere. Where a line repeats within
+its own run (a, a, a), the first stays.
+
+Pieces are met by a 128-bit hash, of narrow rows that are added up before they
 are shuffled; what repeats is then compared byte by byte: per hash the least and
 the greatest text are taken (also added up before the shuffle), and a hash that
 stands for different texts is left alone. Texts are shuffled once, to be joined
-with the places of their repeated chunks. A chunk that is very frequent is looked
+with the places of their repeated pieces. A piece that is very frequent is looked
 up apart.
 
+``found`` cuts content-defined chunks instead, each line in one piece: a hash that
+rolls over the hashes of ``ROLL`` lines ends a chunk after each line where it is
+divisible by ``MEAN``. That needs fewer rows, but meets a passage only where a
+whole chunk lies in it; no query uses it.
+
 A null text has no lines and stays null; a document of which everything goes
 stays with an empty text; rows with equal id and text are one document, all of
 them stay or lose the same; an empty table gives an empty result. Other columns
@@ -21,7 +29,7 @@ are carried along unread.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -34,6 +42,10 @@ from triplemill.plans.scratch import written
 
 ROLL = 2
 MEAN = 4
+LONG = 50  # words; a line of more is a passage by itself
+
+# First line, end and bytes of each piece of a text, in order.
+Pieces = Callable[[str | None], Iterator[tuple[int, int, bytes]]]
 
 
 def chunks(lines: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -55,16 +67,32 @@ def found(text: str | None) -> Iterator[tuple[int, int, bytes]]:
             yield a, b, b"\n".join(lines[a:b])
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """``key, mark, begin, h`` of each chunk of ``key, mark, text``."""
+def runs(text: str | None) -> Iterator[tuple[int, int, bytes]]:
+    """Each line that holds words with the next one, and alone if it is long."""
+    lines = (text or "").encode().split(b"\n")
+    before = -1
+    for i, line in enumerate(lines):
+        n = len(line.split())
+        if not n:
+            continue
+        if before >= 0:
+            yield before, i + 1, b"\n".join(lines[before : i + 1])
+        if n > LONG:
+            yield i, i + 1, line
+        before = i
+
+
+def places(docs: DataFrame, pieces: Pieces = found) -> DataFrame:
+    """``key, mark, begin, h`` of each piece of ``key, mark, text``; ``begin`` is
+    its number in the text."""
 
     def cut(batches):
         for batch in batches:
             row, begin, hashes = [], [], []
             for i, text in enumerate(batch.column(2)):
-                for a, _, piece in found(text.as_py()):
+                for k, (_, _, piece) in enumerate(pieces(text.as_py())):
                     row.append(i)
-                    begin.append(a)
+                    begin.append(k)
                     hashes.append(xxhash.xxh3_128_digest(piece))
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -82,33 +110,34 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def place() -> Column:
-    """What sorts the chunks of all documents, a null id last."""
+    """What sorts the pieces of all documents, a null id last."""
     return F.struct(F.col("key").isNull().alias("none"), "key", "mark", "begin")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Per document the places of chunks that repeat: ``key, mark, places`` with
-    structs of first line, hash, and whether it is a later one."""
-    at = written(places(docs).distinct())
+def repeats(docs: DataFrame, pieces: Pieces = found) -> DataFrame:
+    """Per document the places of pieces that repeat: ``key, mark, places`` with
+    structs of number, hash, and whether it is a later one."""
+    at = written(places(docs, pieces))
     first = written(
         at.groupBy("h").agg(F.count("*").alias("n"), F.min(place()).alias("first")).where("n > 1")
     )
     later = look_up(at, first, "h", "n").withColumn("later", place() != F.col("first"))
-    # As long as the document has chunks.
+    # As long as the document has pieces; repeated rows give a place more than once.
     return later.groupBy("key", "mark").agg(
-        F.collect_list(F.struct("begin", "h", "later")).alias("places")
+        F.collect_set(F.struct("begin", "h", "later")).alias("places")
     )
 
 
-def unlike(rows: DataFrame) -> list[bytes]:
+def unlike(rows: DataFrame, pieces: Pieces = found) -> list[bytes]:
     """Hashes that stand for different texts. None in practice: the chance is
-    the square of the number of chunks in 2^128."""
+    the square of the number of pieces in 2^128."""
 
-    def pieces(batches):
+    def repeated(batches):
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 starts = {p["begin"]: p["h"] for p in wanted.as_py()}
-                met = [(starts[a], piece) for a, _, piece in found(text.as_py()) if a in starts]
+                own = enumerate(pieces(text.as_py()))
+                met = [(starts[k], piece) for k, (_, _, piece) in own if k in starts]
                 if met:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x, pa.binary()) for x in zip(*met, strict=True)], names=["h", "piece"]
@@ -117,7 +146,7 @@ def unlike(rows: DataFrame) -> list[bytes]:
     compared = (
         rows.select("text", "places")
         .where("places is not null")
-        .mapInArrow(pieces, "h binary, piece binary")
+        .mapInArrow(repeated, "h binary, piece binary")
         .groupBy("h")
         .agg(F.min("piece").alias("a"), F.max("piece").alias("b"))
     )
@@ -125,10 +154,15 @@ def unlike(rows: DataFrame) -> list[bytes]:
 
 
 def deduplicated(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", report: str | None = None
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    report: str | None = None,
+    pieces: Pieces = found,
 ) -> DataFrame:
-    """All rows and columns, the text without repeated chunks; if asked for, a
-    column ``report``, a struct of n_lines, n_removed (lines) and n_chunks (removed)."""
+    """All rows and columns, the text without repeated pieces; if asked for, a
+    column ``report``, a struct of n_lines, n_removed (lines) and n_chunks (stretches
+    of lines removed)."""
     others = [c for c in docs.columns if c not in (key, text)]
     held = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("string")
     rows = docs.select(
@@ -137,12 +171,12 @@ def deduplicated(
         F.col(text).alias("text"),
         held.alias("others"),
     )
-    wanted = repeats(rows.select("key", "mark", "text")).withColumnsRenamed(
+    wanted = repeats(rows.select("key", "mark", "text"), pieces).withColumnsRenamed(
         {"key": "its_key", "mark": "its_mark"}
     )
     same = F.col("key").eqNullSafe(F.col("its_key")) & (F.col("mark") == F.col("its_mark"))
     joined = written(rows.join(wanted, same, "left").drop("its_key", "its_mark", "mark"))
-    left_alone = set(unlike(joined))
+    left_alone = set(unlike(joined, pieces))
 
     @F.udf("struct<text: string, n_lines: bigint, n_removed: bigint, n_chunks: bigint>", useArrow=True)
     def without(text, wanted):
@@ -152,13 +186,13 @@ def deduplicated(
         cut = {p["begin"] for p in wanted or () if p["later"] and bytes(p["h"]) not in left_alone}
         if not cut:
             return text, len(lines), 0, 0
-        keep, n = [], 0
-        for a, b in chunks([line.encode() for line in lines]):
-            if a in cut:
-                n += b - a
-            else:
-                keep += lines[a:b]
-        return "\n".join(keep), len(lines), n, len(cut)
+        gone = [False] * len(lines)
+        for k, (a, b, _) in enumerate(pieces(text)):
+            if k in cut:
+                gone[a:b] = [True] * (b - a)
+        keep = [line for line, off in zip(lines, gone, strict=True) if not off]
+        n_chunks = sum(off and not before for before, off in zip([False, *gone], gone))
+        return "\n".join(keep), len(lines), sum(gone), n_chunks
 
     done = joined.withColumn("done", without("text", "places"))
     back = [
@@ -174,7 +208,7 @@ def deduplicated(
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_lines, n_removed, n_chunks, kept_sha256."""
-    done = deduplicated(docs.select(key, text), key, text, report="report")
+    done = deduplicated(docs.select(key, text), key, text, "report", runs)
     return done.select(
         key, "report.*", F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("kept_sha256")
     )
