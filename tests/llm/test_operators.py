@@ -174,6 +174,59 @@ def test_near_texts_of_high_similarity(spark):
     assert sum(r["component_id"] == r["doc_id"] // 2 * 2 for r in got) >= 78
 
 
+def plain_similar(sets, least=0.8):
+    """Least member of each set's component of similar ones."""
+    label = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return label
+
+
+def plain_set(text, size=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def test_near_texts_are_verified(spark, monkeypatch):
+    """Texts of 0.7 stay apart, also when dealt in blocks; repeats of a shingle do not count."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(12):
+        words = [f"v{i} {rng.randrange(5000)}" for _ in range(100)]
+        for changes in (0, 1, 7, 8, 9, 30):
+            copy = list(words)
+            for at in rng.sample(range(5, 95), changes):
+                copy[at] = f"changed{i} {rng.random()}"
+            texts.append(" ".join(copy))
+    line = " ".join(f"same{i}" for i in range(12)) + " "
+    texts += [line * 40 + " ".join(f"{side}{i}" for i in range(60)) for side in "ab"]
+    texts += ["", "", texts[0], "one two"]
+    sets = [plain_set(t) for t in texts]
+    want = plain_similar(sets)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert len(set(want)) < len(want) - 12
+    for n in (simhash.TEXTS, 2):
+        monkeypatch.setattr(simhash, "TEXTS", n)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(df).collect()}
+        # No pair below the limit is joined, whatever the anchors gather.
+        assert all(want[i] == want[c] for i, c in got.items())
+        assert sum(got[i] == want[i] for i in got) >= 0.95 * len(texts)
+
+
+def test_similar_sets():
+    rng = random.Random(9)
+    for _ in range(60):
+        sets = [set(rng.sample(range(14), rng.randrange(15))) for _ in range(rng.randrange(2, 20))]
+        sets = [x for k, x in enumerate(sets) if x not in sets[:k]]
+        label = list(range(len(sets)))
+        for a, b in simhash.similar([np.array(sorted(x), np.uint64) for x in sets], 0.8):
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        assert label == plain_similar(sets)
+
+
 def test_components(spark):
     chain = [(f"{i:03d}", f"{i + 1:03d}") for i in range(60)]
     star = [("a", f"x{i}") for i in range(50)]

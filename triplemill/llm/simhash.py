@@ -15,10 +15,16 @@ all homes, so a comparison partner is rare unless it is close.
 ``near_texts`` (256 bits, Jaccard similarity of 0.8 and more of 5-word shingles)
 needs many differing bits, about 15 in 100, so no single anchor would do: each of
 11 blocks of 23 bits gives a place of its own, with an excess of 1, and a pair
-is missed only if it is farther apart in all blocks.
+is missed only if it is farther apart in all blocks. These links only gather
+texts; within what they gather, the sets of shingles themselves are compared, and
+only texts with a similarity of 0.8 and more are linked. A gathering of more than
+``TEXTS`` texts or ``BYTES`` bytes is dealt into blocks, and each two blocks are
+compared in one task. Components are made of those links, so two texts of one
+component are linked by steps of 0.8, not always directly.
 
-Equal fingerprints are one row before anything is compared, so copies cost
-nothing. Links of an anchor are handed on as a spanning forest, not as pairs.
+Equal fingerprints (equal sets of shingles in ``near_texts``) are one row before
+anything is compared, so copies cost nothing. Links of an anchor are handed on as
+a spanning forest, not as pairs.
 
 A null text is empty; a text without words has fingerprint zero, which is linked
 like any other; a text with fewer words than a shingle is one shingle; repeated
@@ -79,7 +85,10 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprint(text: bytes, size: int, lanes: int) -> list[int]:
     """``lanes`` numbers of 64 bits; the first is that of the hashes themselves,
     the others are of the hashes mixed anew."""
-    hashes = shingle_hashes(text, size)
+    return lanes_from(shingle_hashes(text, size), lanes)
+
+
+def lanes_from(hashes: np.ndarray, lanes: int) -> list[int]:
     out = [majority(hashes)]
     for lane in range(1, lanes):
         out.append(majority(mix(hashes ^ np.uint64(0xD6E8FEB86659FD93 * lane % 2**64))))
@@ -258,7 +267,11 @@ def grouped(prints: DataFrame, distinct: DataFrame, links: DataFrame, key: str)
 LANES = 4
 BLOCKS = 11
 # Of 256: 0.8 of Jaccard similarity makes 39 bits differ, give or take 6.
-MOST = 47
+MOST = 56
+LEAST = 0.8
+# Texts, and their bytes, that a block of a large gathering has on the average.
+TEXTS = 1024
+BYTES = 8 << 20
 
 
 def block(prints: np.ndarray, b: int) -> np.ndarray:
@@ -361,10 +374,130 @@ def links_256(prints: DataFrame, most: int = MOST, excess: int = 1) -> DataFrame
     )
 
 
+def set_prints(rows: DataFrame, size: int) -> DataFrame:
+    """``key, mark, f, bytes`` of ``key, mark, text``; ``f`` is the fingerprint of
+    the set of shingles, 16 hex digits a lane, and then a 128-bit hash of the set."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, at in blocks(batches, "text"):
+            prints = []
+            for a, b in itertools.pairwise(at):
+                hashes = np.unique(shingle_hashes(raw[a:b].tobytes(), size))
+                prints.append(
+                    "".join(f"{x:016x}" for x in lanes_from(hashes, LANES))
+                    + xxhash.xxh3_128_hexdigest(hashes.tobytes())
+                )
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(prints, pa.string()), pa.array(np.diff(at), pa.int64())],
+                names=["key", "mark", "f", "bytes"],
+            )
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(make, f"key {kind}, mark bigint, f string, bytes bigint")
+
+
+def similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Few pairs of a Jaccard similarity of ``least`` and more that connect all
+    the sets connected by such pairs."""
+    size = np.array([len(x) for x in sets])
+    filled = np.flatnonzero(size)
+    if len(filled) < 2:
+        return []
+    ids = np.unique(np.concatenate([sets[k] for k in filled]), return_inverse=True)[1]
+    begin = np.concatenate([[0], np.cumsum(size[filled])])
+    label, out, mine = np.arange(len(filled)), [], np.zeros(ids.max() + 1, bool)
+    for k, own in enumerate(size[filled]):
+        mine[ids[begin[k] : begin[k + 1]]] = True
+        both = np.add.reduceat(mine[ids], begin[:-1], dtype=np.int64)
+        mine[ids[begin[k] : begin[k + 1]]] = False
+        union = own + size[filled] - both
+        near = (both >= least * union - 1e-9) & (label != label[k])
+        for other in np.flatnonzero(near):
+            if label[other] != label[k]:
+                out.append((int(filled[k]), int(filled[other])))
+                label[label == label[other]] = label[k]
+        if (label == label[0]).all():
+            break
+    return out
+
+
+def verified(rows: DataFrame, members: DataFrame, size: int, least: float) -> DataFrame:
+    """Links ``a, b`` that connect the ``members`` (f, key, mark, root, parts) of
+    one root whose texts, in ``rows``, are connected by similar ones."""
+    own = members.select(
+        F.col("key").alias("its_key"),
+        F.col("mark").alias("its_mark"),
+        "f",
+        "root",
+        "parts",
+        F.pmod(F.xxhash64("f"), "parts").alias("i"),
+    )
+    same = F.col("key").eqNullSafe(F.col("its_key")) & (F.col("mark") == F.col("its_mark"))
+    texts = rows.join(own, same).select("f", "text", "root", "parts", "i").dropDuplicates(["f"])
+    others = F.filter(
+        F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
+        lambda j: (F.col("parts") == 1) | (j != F.col("i")),
+    )
+    dealt = texts.withColumn("j", F.explode(others)).select(
+        F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("place"), "f", "text"
+    )
+
+    def compare(batches):
+        for group in by_key(batches):
+            if group.num_rows < 2:
+                continue
+            names = group.column(1).to_pylist()
+            sets = [
+                np.unique(shingle_hashes((t.as_py() or "").encode(), size)) for t in group.column(2)
+            ]
+            met = similar(sets, least)
+            if met:
+                sides = [pa.array([names[k] for k in side], pa.string()) for side in zip(*met, strict=True)]
+                yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+
+    return (
+        dealt.repartition("place")
+        .sortWithinPartitions("place")
+        .mapInArrow(compare, "a string, b string")
+        .distinct()
+    )
+
+
 def near_texts(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, most: int = MOST
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    size: int = 5,
+    most: int = MOST,
+    least: float = LEAST,
 ) -> DataFrame:
     """One row per document: key, fingerprint (256 bits), component_id."""
-    prints = written(fingerprints(docs, key, text, size, LANES))
-    distinct = written(prints.groupBy("f").agg(F.min("key").alias("least"), F.count("*").alias("n")))
-    return grouped(prints, distinct, links_256(distinct.select("f"), most), key)
+    rows = docs.select(
+        F.col(key).alias("key"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"),
+        F.col(text).alias("text"),
+    )
+    prints = written(set_prints(rows, size))
+    distinct = written(
+        prints.groupBy("f").agg(
+            F.min("key").alias("least"),
+            F.count("*").alias("n"),
+            F.min(F.struct("key", "mark")).alias("one"),
+            F.max("bytes").alias("bytes"),
+        )
+    )
+    nodes = distinct.withColumn("node", F.substring("f", 1, 16 * LANES))
+    close = components(links_256(nodes.select(F.col("node").alias("f")).distinct(), most))
+    gathered = written(
+        nodes.join(close, "node", "left").select(
+            "f", "one.key", "one.mark", "bytes", F.coalesce("root", "node").alias("root")
+        )
+    )
+    parts = F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("bytes") / BYTES), F.lit(1))
+    sizes = written(
+        gathered.groupBy("root").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1")
+    )
+    links = written(verified(rows, look_up(gathered, sizes, "root", "n"), size, least))
+    return grouped(prints, distinct, links, key).withColumn(
+        "fingerprint", F.substring("fingerprint", 1, 16 * LANES)
+    )
