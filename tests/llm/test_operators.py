@@ -382,6 +382,39 @@ def test_quality_estimates_against_numpy(spark):
     assert d[:900].max() / quality.CONSISTENT < quality.CUTOFF < d[900:].min() / quality.CONSISTENT
 
 
+def test_quality_outliers_in_one_statistic(spark):
+    """Each statistic alone rejects a document that passes the base rules; nearly
+    all plain documents are kept."""
+    rng = random.Random(10)
+
+    def plain(n=20, size=10):
+        words = ["".join(rng.choices("abcdefghij", k=rng.randrange(4, 9))) for _ in range(n * size)]
+        return [words[i : i + size] for i in range(0, n * size, size)]
+
+    text = lambda lines: "\n".join(map(" ".join, lines))
+    normal = [text(plain()) for _ in range(600)]
+    short = plain(32, 2)
+    twice = plain(10, 9)
+    once = [plain(1, 10)[0] for _ in range(20)]
+    repeated = twice[0][:6] * 10 + sum(twice, [])
+    planted = {
+        "length": text([[w * 3 for w in line] for line in plain()]),
+        "symbols": text([[*line[:-1], "#####"] for line in plain()]),
+        # Half of the lines are copies, though few words repeat.
+        "lines": text([["ab"]] * 20 + once + [["cd"]] * 2),
+        "words": text([repeated[i : i + 7] for i in range(0, len(repeated), 7)]),
+        "capitals": text([[w.upper() if k % 2 else w for k, w in enumerate(line)] for line in plain()]),
+        "short lines": text(short),
+    }
+    rows = [(i, t, "en", "s") for i, t in enumerate([*normal, *planted.values()])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judged(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert sum(got[i]["kept"] for i in range(600)) >= 594
+    kept = {name: got[600 + k]["kept"] for k, name in enumerate(planted)}
+    assert kept == dict.fromkeys(planted, False) | {"short lines": True}
+
+
 # --- 6 ----------------------------------------------------------------------------
 
 

@@ -14,8 +14,9 @@ its group by the Mahalanobis distance is rejected.
   is; the intervals up to the quantile are then added up.
 * Every step starts twice: from medians and quartiles, and from all documents.
   The start that ends with the smaller determinant is taken.
-* Variances get a floor per statistic, without which a statistic that is zero
-  for most documents would make any other value an outlier.
+* Variances get a floor per statistic, the error of measuring it in a short
+  document. Without one, a statistic that is zero for most documents would make any
+  other value an outlier. Each statistic alone can reject a document.
 * Groups under ``MIN_GROUP`` documents are pooled by language, and what is still
   smaller in one remainder.
 
@@ -44,16 +45,19 @@ STEPS = 4
 UNIT = 256
 # Standard deviations that are added to each statistic's own, in its units:
 # log of the mean word length, and square roots of the shares of symbols,
-# repeated lines, repeated words and capitals.
-FLOORS = (0.08, 0.04, 0.12, 0.12, 0.06)
+# repeated lines, repeated words and capitals. The root of a share of n has an
+# error of 0.5 / sqrt(n), the log of a mean word length about as much: taken for
+# 100 words, 500 characters, 25 lines, and 100 words that repeat three at a time.
+FLOORS = (0.05, 0.022, 0.1, 0.087, 0.022)
 P = len(FLOORS)
 X = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 # share / P(chi2 with P+2 degrees < its SHARE quantile for P degrees): makes the
 # covariance of the inner SHARE that of the whole, for five normal statistics.
 CONSISTENT = 1.412
-# Distances squared beyond this are outliers (chi2 with 5 degrees: 1 in 10^9).
-CUTOFF = 50.0
+# Distances squared beyond this are outliers: the 0.999 quantile of chi2 with 5
+# degrees, so 1 of 1,000 normal documents is rejected wrongly, with floors fewer.
+CUTOFF = 20.515
 
 
 def counted(docs: DataFrame) -> DataFrame:
