@@ -93,6 +93,33 @@ def test_license_scan(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_licenses_are_told_apart():
+    """Every template is found as itself; notices that differ in a name, version or
+    condition, and whole texts, are not taken for each other."""
+    known = licenses.Templates(licenses.TEMPLATES, licenses.LEAST)
+    assert all(places for phrases in known.phrases for places in phrases)
+
+    def names(text):
+        words = known.numbers(licenses._hashes("some words before " + text + " and some after"))
+        return {known.names[t] for t, *_ in known.found(words)}
+
+    for name, text in licenses.TEMPLATES.items():
+        got = names(text)
+        assert name in got, (name, got)
+        kind = "notice" if name.endswith("notice") else "header" if name.endswith("header") else ""
+        if kind == "notice":
+            assert got == {name}, (name, got)
+        elif kind == "header":
+            assert {n for n in got if n.endswith(kind)} == {name}, (name, got)
+        else:
+            assert {n for n in got if not n.endswith(("notice", "header"))} == {name}, (name, got)
+    assert names("Released under the Apache License") == set()
+    assert names("Licensed under CC BY-NC 3.0") == set()
+    assert names("Licensed under CC BY-SA 4.0") == {"CC-BY-SA-4.0-notice"}
+    assert names("x. ALL RIGHTS\nRESERVED") == {"all-rights-reserved-notice"}
+    assert names("This work is licensed under the GNU General Public License, version 4.") == set()
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(2)
     for _ in range(300):

@@ -5,13 +5,17 @@ A template is aligned with a stretch of a document like this: what agrees at bot
 ends is matched; of the rest, words that occur once in both are anchors; the
 longest increasing sequence of anchors is matched, and the gaps between them are
 aligned in the same way. The share of the template's words that are matched is
-its coverage; ``LEAST`` and more is reported.
+its coverage; ``LEAST`` and more is reported. Notices and licences that differ in a
+few words only are told apart by the phrases in ``NEEDED``: each must be matched
+without a gap at one of its places in the template.
 
 Which stretches are aligned follows from counts and loses nothing above the
 threshold within a stretch of ``WIDE`` template lengths: the words of a document
 that occur in the template at all, each as often as there at most, must be enough
 for the coverage, in the whole document first and then in a sliding window. So
-nearly all documents are passed by without an alignment. Documents are taken
+nearly all documents are passed by without an alignment. Of the windows of a long
+template, those that begin within a 200th of its length are aligned as one, wider
+by that much. Documents are taken
 whole and are not shuffled; the templates are a fixed small list.
 
 Null and empty texts hold nothing; a licence that a document holds more than once
@@ -22,6 +26,7 @@ reported each; an empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import bisect
+import pkgutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +44,20 @@ TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "MIT-notice": "Released under the MIT License.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
+    "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "all-rights-reserved-notice": "All rights reserved.",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
@@ -75,7 +93,33 @@ and/or other materials provided with the distribution.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
 WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
-DISCLAIMED.""",
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software without
+specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -93,6 +137,92 @@ This program is distributed in the hope that it will be useful,
 but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
 GNU General Public License for more details.""",
+    "GPL-2.0-header": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 2 of the License, or
+(at your option) any later version.
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU General Public License for more details.""",
+    "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU Affero General Public License for more details.""",
+    "LGPL-3.0-header": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU Lesser General Public License for more details.""",
+    "LGPL-2.1-header": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 2.1 of the License, or
+(at your option) any later version.
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU Lesser General Public License for more details.""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
+}
+# Whole texts, from the files beside this one.
+WHOLE = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"]
+TEMPLATES |= {
+    name: pkgutil.get_data(__name__, f"license_texts/{name}.txt").decode() for name in WHOLE
+}
+
+# Phrases that tell a template from those like it.
+NEEDED = {
+    "Apache-2.0-notice": ["apache", "version 2 0"],
+    "Apache-2.0-header": ["apache", "version 2 0"],
+    "MIT-notice": ["mit"],
+    "MPL-2.0-notice": ["mozilla public license", "2 0"],
+    "MPL-2.0-header": ["mozilla public license", "2 0"],
+    "BSD-2-Clause-notice": ["bsd 2 clause"],
+    "BSD-3-Clause-notice": ["bsd 3 clause"],
+    "BSD-2-Clause": ["provided with the distribution this software"],
+    "BSD-3-Clause": ["endorse or promote products"],
+    "GPL-3.0": ["use with the gnu affero general public license"],
+    **{f"CC-{c}-4.0-notice": [f"cc {c} 4 0"] for c in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")},
+    **{
+        f"{name}-{form}": [f"gnu {kind}general public license", f"version {version}"]
+        for form in ("notice", "header")
+        for name, kind, version in (
+            ("GPL-2.0", "", "2"),
+            ("GPL-3.0", "", "3"),
+            ("LGPL-2.1", "lesser ", "2 1"),
+            ("LGPL-3.0", "lesser ", "3"),
+            ("AGPL-3.0", "affero ", "3"),
+        )
+    },
 }
 
 NO_WORD = np.ones(256, bool)
@@ -154,19 +284,31 @@ def _once(words: list[int], low: int, high: int) -> dict[int, int]:
     return {w: p for w, p in seen.items() if p >= 0}
 
 
+def _hashes(text: str) -> np.ndarray:
+    raw = LOWER[np.frombuffer(text.encode(), np.uint8)]
+    return word_hashes(raw, *word_spans(raw, np.array([0, len(raw)]), NO_WORD))
+
+
+def _places(words: np.ndarray, phrase: np.ndarray) -> list[tuple[int, int]]:
+    n = len(phrase)
+    return [(i, i + n) for i in range(len(words) - n + 1) if (words[i : i + n] == phrase).all()]
+
+
 class Templates:
     """Templates over one list of their words."""
 
     def __init__(self, texts: dict[str, str], least: float):
-        self.names, hashes = list(texts), []
-        for text in texts.values():
-            raw = LOWER[np.frombuffer(text.encode(), np.uint8)]
-            at = np.array([0, len(raw)])
-            hashes.append(word_hashes(raw, *word_spans(raw, at, NO_WORD)))
+        self.names = list(texts)
+        hashes = [_hashes(text) for text in texts.values()]
         self.words = np.unique(np.concatenate(hashes))
         self.lists = [np.searchsorted(self.words, h) for h in hashes]
         self.counts = np.stack([np.bincount(x, minlength=len(self.words)) for x in self.lists])
         self.need = [int(np.ceil(least * len(x) - 1e-9)) for x in self.lists]
+        # Places of each needed phrase, as ranges of template words.
+        self.phrases = [
+            [_places(h, _hashes(phrase)) for phrase in NEEDED.get(name, [])]
+            for name, h in zip(self.names, hashes, strict=True)
+        ]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word in the templates, or -1."""
@@ -200,14 +342,28 @@ class Templates:
             total -= have[word] < limit[word]
         return out
 
+    def has_phrases(self, t: int, pairs: list[tuple[int, int]]) -> bool:
+        """Whether each needed phrase is matched without a gap at one of its places."""
+        met = {j: i for i, j in pairs}
+        return all(
+            any(
+                low in met and all(met.get(j) == met[low] + j - low for j in range(low, high))
+                for low, high in phrase
+            )
+            for phrase in self.phrases[t]
+        )
+
     def places(self, t: int, words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         template, need = self.lists[t], self.need[t]
         wide = int(np.ceil(len(template) * WIDE))
-        begins = self.rich(t, words, wide)
+        step, last = max(1, len(template) // 200), -len(words) - wide
         best, own = [], template.tolist()
-        for begin in begins:
-            pairs = aligned(words[begin : begin + wide].tolist(), own)
-            if len(pairs) >= need:
+        for begin in self.rich(t, words, wide):
+            if begin < last + step:
+                continue
+            last = begin
+            pairs = aligned(words[begin : begin + wide + step - 1].tolist(), own)
+            if len(pairs) >= need and self.has_phrases(t, pairs):
                 best.append((-len(pairs), begin + pairs[0][0], begin + pairs[-1][0] + 1))
         taken: list[tuple[int, int]] = []
         for n, low, high in sorted(set(best)):
