@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from triplemill.llm import (
     chat,
     decontamination,
+    importance,
     licenses,
     line_dedup,
     mixing,
@@ -85,3 +86,8 @@ def _(spark, sf):
 @query("op10_chat_formatting", chat.SQL)
 def _(spark, sf):
     return chat.collapsed(read(spark, sf, "conversations"))
+
+
+@query("op13_importance_resampling", importance.SQL)
+def _(spark, sf):
+    return importance.resampled(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
