@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from triplemill.llm import (
     chat,
     decontamination,
+    hard_negatives,
     importance,
     licenses,
     line_dedup,
@@ -88,6 +89,11 @@ def _(spark, sf):
     return chat.collapsed(read(spark, sf, "conversations"))
 
 
+@query("op12_hard_negatives", hard_negatives.SQL)
+def _(spark, sf):
+    return hard_negatives.hard_negatives(read(spark, sf, "embeddings"))
+
+
 @query("op13_importance_resampling", importance.SQL)
 def _(spark, sf):
     return importance.resampled(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
