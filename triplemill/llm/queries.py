@@ -20,6 +20,7 @@ from triplemill.llm import (
     simhash,
     suffix_dedup,
     tokens,
+    toxicity,
     url_filter,
 )
 from triplemill.llm.common import read
@@ -89,6 +90,11 @@ def _(spark, sf):
     return chat.collapsed(read(spark, sf, "conversations"))
 
 
+@query("op11_toxicity")
+def _(spark, sf):
+    return toxicity.scored(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 @query("op12_hard_negatives", hard_negatives.SQL)
 def _(spark, sf):
     return hard_negatives.hard_negatives(read(spark, sf, "embeddings"))
