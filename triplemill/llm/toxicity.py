@@ -16,7 +16,8 @@ that part its output is brought to the scale of probabilities by the same risk.
 score is the mean of their logits, as a probability, and one linear function.
 
 The samples are bounded: ``MOST_POSITIVE`` confirmed and ``MOST_UNLABELLED`` other
-documents at most (expected number), taken by hash. Every document is scored, whole.
+documents (expected numbers at most), taken by hash; rows that repeat count once.
+Every document is scored, whole.
 
 Labels are read only for documents whose crc32(key as text) mod 4 is not ``HELD``.
 A label row with a null key or label is left out; a document is confirmed when any
@@ -143,20 +144,26 @@ def samples(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     taught = labels.where("key is not null and toxic is not null").where(~held_out(F.col("key")))
     taught = taught.groupBy("key").agg(F.max("toxic").alias("toxic"))
     sizes = taught.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
-    confirmed = taught.where("toxic = 1").select("key")
-    share = min(1.0, MOST_POSITIVE / max(1, sizes["toxic"]))
     known = rows.where(~held_out(F.col("key")))
-    # The keys of the sample, bounded; the texts stay where they are.
-    keys = confirmed.where(by_hash(share, "key"))
-    positive = known.join(keys, "key", "left_semi")
-    of_all = min(1.0, MOST_UNLABELLED / max(1, known.count()))
-    unlabelled = known.where(by_hash(of_all, "key", "text"))
-    both = positive.withColumn("positive", F.lit(True)).unionByName(
-        unlabelled.withColumn("positive", F.lit(False))
-    )
+    # As many keys as the sample may have go to every task; the texts stay in place.
+    first = taught.where("toxic = 1").orderBy(F.xxhash64("key", F.lit(7)), "key").limit(MOST_POSITIVE)
+    keys = F.broadcast(written(first.select("key")))
+
+    def taken(of: DataFrame, most: int, column: str) -> DataFrame:
+        return of.where(by_hash(min(1.0, most / max(1, of.select(column).count())), "key", "text"))
+
+    positive = taken(known.join(keys, "key", "left_semi"), MOST_POSITIVE, "key")
+    unlabelled = taken(known, MOST_UNLABELLED, "key")
     fold = F.pmod(F.xxhash64("key", "text", F.lit(23)), F.lit(MEMBERS)).cast("int")
+    both = (
+        positive.withColumn("positive", F.lit(True))
+        .unionByName(unlabelled.withColumn("positive", F.lit(False)))
+        .withColumns({"fold": fold, "h": F.xxhash64("key", "text")})
+        # Rows repeated very often are one each.
+        .dropDuplicates(["positive", "key", "h"])
+    )
     prior = sizes["toxic"] / sizes["n"] if sizes["n"] else 0.0
-    return written(both.withColumn("fold", fold)), prior
+    return written(both), prior
 
 
 def telling(sample: DataFrame) -> np.ndarray:
@@ -339,7 +346,7 @@ def learned(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             )
 
     small = written(
-        sample.select("text", "positive", "fold", F.xxhash64("key", "text").alias("h")).mapInArrow(
+        sample.select("text", "positive", "fold", "h").mapInArrow(
             reduce, "positive boolean, fold int, h bigint, slots array<int>, values array<float>"
         )
     )
