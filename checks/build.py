@@ -94,11 +94,22 @@ def _(spark, sf):
     return pairing.pair_flags(triples(spark, sf), texts(spark, sf), MIN)
 
 
-@query("pairing_audit_a3", TRI + "select count(*) filter (outcome = 'kept') as kept, count(*) filter (outcome = 'no_text') as no_text, count(*) filter (outcome = 'few_triples') as few_triples from flags")
+AUDIT = TRI + "select count(*) filter (outcome = 'kept') as kept, count(*) filter (outcome = 'no_text') as no_text, count(*) filter (outcome = 'few_triples') as few_triples from flags"
+
+
+@query("pairing_audit_a3", AUDIT)
 def _(spark, sf):
     return pairing.pairing_audit(pairing.pair_flags(triples(spark, sf), texts(spark, sf), MIN))
 
 
+@query("observed_audit_a3_j1", AUDIT)
+def _(spark, sf):
+    # As in a build: the pairs are written, and the audit is seen on the way.
+    made, audit = pairing.audited_records(triples(spark, sf), texts(spark, sf), MIN)
+    written(made)
+    return audit()
+
+
 @query("kept_triples_p7", TRI + "select d.film, s, p, o, seq, k.n::int as n_triples from dis d join kept k on d.film = k.film")
 def _(spark, sf):
     tri = triples(spark, sf)

@@ -8,6 +8,8 @@ from checks.build import texts as texts_of
 from checks.build import triples as triples_of
 from triplemill.functions.rdf import linearize
 from triplemill.operators import pairing, ranking, tasks
+from triplemill.operators.keyfilter import KeyFilter
+from triplemill.plans.scratch import written
 
 RAW = "film string, dir string, p string, o string, seq bigint"
 TEXT = "film string, text string, seq bigint"
@@ -203,3 +205,59 @@ def test_pairing_shuffles_triples_once(spark, sf):
     grouped = plan(pairing.triples_by_film(triples_of(spark, sf)))
     assert grouped.count("Exchange") == 1
     assert "SinglePartition" not in plan(tasks.task_examples(pairs_of(spark, sf)))
+
+
+def test_triples_without_text_are_not_shuffled(spark, sf):
+    """One exchange of triples, and only of those whose entity may have a text."""
+    tri, txt = triples_of(spark, sf), texts_of(spark, sf).where("film rlike '[0-4]$'")
+    wanted, hot, left_out = pairing.wanted_triples(tri, txt)
+    with_text = tri.join(txt.select("film").distinct(), "film", "left_semi")
+    assert hot is None and with_text.count() <= wanted.count() < 0.8 * tri.count()
+    assert with_text.exceptAll(wanted).count() == 0
+    films = tri.select("film").distinct()
+    assert left_out == films.count() - wanted.select("film").distinct().count() > 0
+    grouped = plan(pairing._by_film(wanted, hot, 50, True))
+    assert grouped.count("Exchange hashpartitioning") == 1 and "BroadcastExchange" in grouped
+    assert grouped.count("BroadcastHashJoin") == 1
+
+
+def test_audit_is_observed_in_one_pass(spark, sf):
+    tri, txt = triples_of(spark, sf), texts_of(spark, sf).where("film rlike '[0-4]$'")
+    want = pairing.pairing_audit(pairing.pair_flags(tri, txt, 25)).first()
+    for hot_rows in (10**6, 28):
+        made, audit = pairing.audited_records(tri, txt, 25, hot_rows)
+        if hot_rows > 28:
+            # Triples, and texts: nothing is shuffled twice for the audit.
+            assert plan(made).count("Exchange hashpartitioning") == 2
+        kept = written(made)
+        assert audit().first() == want and want["no_text"] > 0
+        assert rows(kept, "film") == rows(pairing.pair_records(tri, txt, 25), "film")
+
+
+def test_audit_of_odd_entities(spark):
+    raw = spark.createDataFrame(
+        [(f, "out", "p", str(i), i) for f, n in (("a", 3), ("b", 2), ("c", 1), (None, 4), ("", 1)) for i in range(n)], RAW
+    )
+    for texts in ([("a", "t", 0), ("b", "t", 0), ("z", "t", 0), (None, "t", 0), ("c", " ", 1)], []):
+        table = spark.createDataFrame(texts, TEXT)
+        tri = pairing.directed(raw)
+        made, audit = pairing.audited_records(tri, table, 3)
+        assert written(made).count() == len(texts[:1])
+        assert audit().first() == pairing.pairing_audit(pairing.pair_flags(tri, table, 3)).first()
+    made, audit = pairing.audited_records(tri.limit(0), table, 3)
+    assert written(made).count() == 0 and tuple(audit().first()) == (0, 0, 0)
+
+
+def test_key_filter(spark):
+    """Never holds a key back; lets few others through unless it is far too small."""
+    keys = spark.range(0, 200_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    keys = keys.unionByName(spark.createDataFrame([(None,), ("",)], "key string"))
+    rows = spark.range(0, 400_000).select(F.concat(F.lit("k"), "id").alias("key"), "id").unionByName(
+        spark.createDataFrame([(None, 0), ("", 1)], "key string, id bigint")
+    )
+    for most_blocks, let_through in ((16_384, 0.08), (7, 1.0)):
+        found = KeyFilter(keys, "key", most_blocks).marked(rows, "key", "may")
+        n = {(r["own"], r["may"]): r["count"] for r in found.groupBy((F.col("id") < 200_000).alias("own"), "may").count().collect()}
+        assert (True, False) not in n and n[True, True] == 200_002
+        assert n.get((False, True), 0) <= let_through * 200_000
+    assert KeyFilter(keys.limit(0), "key").marked(rows, "key", "may").where("may").count() == 0

@@ -1,14 +1,19 @@
 """Pair the triples of an entity with its text."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from triplemill.constants import MIN_TRIPLES
 from triplemill.functions.rdf import compact_iri
 from triplemill.functions.text import present, strip
+from triplemill.operators.keyfilter import KeyFilter
 from triplemill.operators.ranking import CHUNK, HOT_ROWS, gather, hot_keys
+from triplemill.plans.scratch import written
 
 ARRIVAL = ["seq", "p", "o", "s"]
+OUTCOMES = ("kept", "no_text", "few_triples")
 
 
 def compact_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -66,12 +71,7 @@ def pair_flags(
 
 def pairing_audit(flags: DataFrame) -> DataFrame:
     """Entities kept, dropped without text, and dropped with too few triples."""
-    return flags.agg(
-        *(
-            F.count_if(F.col("outcome") == name).alias(name)
-            for name in ("kept", "no_text", "few_triples")
-        )
-    )
+    return flags.agg(*(F.count_if(F.col("outcome") == name).alias(name) for name in OUTCOMES))
 
 
 def kept_triples(triples: DataFrame, flags: DataFrame) -> DataFrame:
@@ -88,7 +88,10 @@ def triples_by_film(
     One shuffle on the entity serves the de-duplication, the collection and a
     later join by entity. Entities too large for that go another way.
     """
-    hot = hot_keys(triples, ["film"], hot_rows)
+    return _by_film(triples, hot_keys(triples, ["film"], hot_rows), chunk, deduplicate)
+
+
+def _by_film(triples: DataFrame, hot: DataFrame | None, chunk: int, deduplicate: bool) -> DataFrame:
     if hot is None:
         rows = triples.repartition("film")
         if deduplicate:
@@ -98,6 +101,40 @@ def triples_by_film(
     return gather(rows, ["film"], ARRIVAL, ARRIVAL, hot, chunk)
 
 
+def wanted_triples(
+    triples: DataFrame, texts: DataFrame, hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """Triples of entities that may have a text, their hot entities, and how many
+    entities are left out.
+
+    A filter of the texts' keys is broadcast, so triples without a text are neither
+    shuffled nor collected. One pass over the entity column, added up before its
+    shuffle, finds the hot entities and counts those without a text.
+    """
+    marked = KeyFilter(texts.select("film"), "film").marked(triples, "film", "_may")
+    sizes = marked.groupBy("film").agg(F.count("*").alias("_n"), F.max("_may").alias("_may"))
+    found = sizes.agg(
+        F.max(F.when(F.col("_may"), F.col("_n"))).alias("most"),
+        F.count_if(~F.col("_may")).alias("left_out"),
+    ).first()
+    hot = None
+    if (found["most"] or 0) > hot_rows:
+        hot = written(sizes.where(F.col("_may") & (F.col("_n") > hot_rows)).select("film"))
+    return marked.where("_may").drop("_may"), hot, found["left_out"]
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "film",
+        "text",
+        F.transform(
+            "items",
+            lambda t: F.struct(t["s"].alias("s"), t["p"].alias("p"), t["o"].alias("o")),
+        ).alias("triples"),
+        F.size("items").alias("n_triples"),
+    )
+
+
 def pair_records(
     triples: DataFrame,
     texts: DataFrame,
@@ -107,15 +144,44 @@ def pair_records(
     deduplicate: bool = True,
 ) -> DataFrame:
     """Canonical pairs: ``film, text, triples, n_triples``."""
-    grouped = triples_by_film(triples, hot_rows, chunk, deduplicate).where(
-        F.size("items") >= min_triples
+    wanted, hot, _ = wanted_triples(triples, texts, hot_rows)
+    grouped = _by_film(wanted, hot, chunk, deduplicate).where(F.size("items") >= min_triples)
+    return _records(grouped.join(last_texts(texts), "film"))
+
+
+def audited_records(
+    triples: DataFrame,
+    texts: DataFrame,
+    min_triples: int = MIN_TRIPLES,
+    hot_rows: int = HOT_ROWS,
+    chunk: int = CHUNK,
+    deduplicate: bool = True,
+) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The same pairs, and a function that gives the audit of the pairing once
+    they have been written.
+
+    The outcomes are observed in the very rows that are written, in the tasks of
+    the writing stage, each of which counts once; the triples are not read, shuffled
+    or de-duplicated for them again.
+    """
+    wanted, hot, left_out = wanted_triples(triples, texts, hot_rows)
+    outcome = (
+        F.when(F.col("text").isNull(), "no_text")
+        .when(F.size("items") < min_triples, "few_triples")
+        .otherwise("kept")
     )
-    return grouped.join(last_texts(texts), "film").select(
-        "film",
-        "text",
-        F.transform(
-            "items",
-            lambda t: F.struct(t["s"].alias("s"), t["p"].alias("p"), t["o"].alias("o")),
-        ).alias("triples"),
-        F.size("items").alias("n_triples"),
+    seen = Observation()
+    every = (
+        _by_film(wanted, hot, chunk, deduplicate)
+        .join(last_texts(texts), "film", "left")
+        .withColumn("outcome", outcome)
+        .observe(seen, *(F.count_if(F.col("outcome") == name).alias(name) for name in OUTCOMES))
     )
+
+    def audit() -> DataFrame:
+        counts = seen.get
+        counts["no_text"] += left_out
+        schema = ", ".join(f"{name} bigint" for name in OUTCOMES)
+        return triples.sparkSession.createDataFrame([[counts[name] for name in OUTCOMES]], schema)
+
+    return _records(every.where("outcome = 'kept'")), audit

@@ -24,18 +24,17 @@ def build_dataset(
     """Write pairs, the audit of the pairing, split lists and task examples
     under ``out``.
 
-    The pairs are made once and kept as a table; the split is a comparison of
-    hashes with two cuts, so nothing is joined to apply it.
+    The pairs are made once and kept as a table, and the audit is observed on the
+    way; the split is a comparison of hashes with two cuts, so nothing is joined to
+    apply it.
     """
     if normalize_prefixes:
         raw_triples = pairing.compact_columns(raw_triples, "film", "p", "o")
         raw_texts = pairing.compact_columns(raw_texts, "film")
     triples = pairing.directed(raw_triples)
-    pairs = written(
-        pairing.pair_records(triples, raw_texts, min_triples, deduplicate=deduplicate)
-    )
-    flags = pairing.pair_flags(triples, raw_texts, min_triples, deduplicate)
-    pairing.pairing_audit(flags).write.mode("overwrite").json(f"{out}/audit")
+    made, audit = pairing.audited_records(triples, raw_texts, min_triples, deduplicate=deduplicate)
+    pairs = written(made)
+    audit().write.mode("overwrite").json(f"{out}/audit")
     cuts = ranking.split_cuts(pairs, ratios=ratios, seed=seed)
     pairs = pairs.withColumn("split", ranking.split_of("film", cuts, seed))
     jsonl.write_pairs(pairs, f"{out}/pairs")
