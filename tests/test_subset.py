@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triplemill.constants import SPLITS
-from triplemill.operators import subset
+from triplemill.operators import ranking, subset
 
 
 def sizes_of(spark, sizes):
@@ -84,3 +84,47 @@ def test_index_keeps_the_last_record(spark):
         "film string, seq int, n_triples int, split string",
     )
     assert [tuple(r) for r in subset.pair_index(df).collect()] == [("a", 5, "train")]
+
+
+@pytest.mark.parametrize("range_rows", [10**6, 400, 7])
+def test_ranks_are_found_without_sorting_all(spark, range_rows):
+    """Rows at given ranks, and first rows, are those of a window over everything."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 10 < 6, "a").when(F.col("id") % 10 < 9, "b").alias("k"),
+        (F.hash("id") % 5).alias("x"),
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("f"), "id")).alias("y"),
+    )
+    ranked = df.withColumn("r", F.expr("row_number() over (partition by k order by x, y)")).collect()
+    by_rank = {(r["k"], r["r"]): (r["x"], r["y"]) for r in ranked}
+    ranges = ranking.Ranges(df, ["k"], ["x", "y"], range_rows)
+    wanted = {("a",): [1, 900, 1800], ("b",): [900, 5, 901], (None,): [7], ("z",): [1]}
+    got = {(r["k"], r["r"]): (r["x"], r["y"]) for r in ranges.at(wanted, "r").where("k is not null").collect()}
+    keys = {(k[0], r) for k, some in wanted.items() for r in some if k[0] and (k[0], r) in by_rank}
+    assert got.keys() == keys and all(got[k] == by_rank[k] for k in keys)
+    first = ranges.first(450, "r").collect()
+    assert {(r["k"], r["r"]) for r in first} == {k for k in by_rank if k[1] <= 450}
+    assert all((r["x"], r["y"]) == by_rank[r["k"], r["r"]] for r in first)
+
+
+def test_only_ranges_with_a_pick_are_sorted(spark):
+    df = spark.range(20_000).select(F.lit("a").alias("k"), F.col("id").alias("x"))
+    ranges = ranking.Ranges(df, ["k"], ["x"], 100)
+    parts = ranges.sizes[("a",)]
+    assert len(parts) > 100 and sum(n for *_, n in parts) == 20_000
+    got = ranges.at({("a",): [1, 10_000, 20_000]})
+    assert sorted(r["x"] for r in got.collect()) == [0, 9_999, 19_999]
+    low = ranges.first(150)
+    assert "SinglePartition" not in low._jdf.queryExecution().executedPlan().toString()
+    assert low.count() == 150
+
+
+def test_ranks_of_an_empty_table(spark):
+    none = spark.range(0).select(F.lit("a").alias("k"), "id")
+    assert ranking.Ranges(none, ["k"], ["id"]).at({("a",): [1]}).count() == 0
+    assert ranking.Ranges(none, ["k"], ["id"]).first(3).count() == 0
+
+
+def test_even_spacing():
+    assert subset.spaced(3, 5) == [1, 2, 3] and subset.spaced(9, 1) == [5] and subset.spaced(0, 2) == []
+    assert subset.spaced(11, 3) == [1, 6, 11] and subset.spaced(10, 4) == [1, 4, 7, 10]
+    assert subset.spaced(6, 3) == [1, 3, 6]

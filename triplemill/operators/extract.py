@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from triplemill import constants as C
 from triplemill.functions.text import iri_title, language_matches, present, strip
 from triplemill.operators.pairing import compact_columns
-from triplemill.operators.ranking import rank_within
+from triplemill.operators.ranking import Ranges
 
 
 def spellings(names) -> list[str]:
@@ -66,10 +66,8 @@ def pages(
     rows: DataFrame, order: list[str], limit_total: int, batch_size: int, per=("dir",)
 ) -> DataFrame:
     """First ``limit_total`` rows of each direction with their page number."""
-    ranked = rank_within(rows, list(per), order, "rank")
-    return ranked.where(F.col("rank") <= limit_total).withColumn(
-        "page", F.floor((F.col("rank") - 1) / batch_size)
-    )
+    ranked = Ranges(rows, list(per), order).first(limit_total, "rank")
+    return ranked.withColumn("page", F.floor((F.col("rank") - 1) / batch_size))
 
 
 def first_seen(rows: DataFrame, most: int | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
 """Ranks and ordered groups that stay whole when one key holds most rows."""
 
-from pyspark.sql import DataFrame, Window
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplemill.constants import SPLIT_RATIOS, SPLIT_SEED, SPLITS
-from triplemill.functions.arrays import SEP
+from triplemill.functions.arrays import SEP, bind
 from triplemill.plans.scratch import written
 
 # A key with more rows than this is hot; it is cut into pieces of CHUNK rows.
@@ -54,6 +56,117 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], name="rank") -
     )
 
 
+# Rows of a range that is sorted to find ranks in it, and how many ranges there are
+# at most; a range's ends are made from this many sampled rows.
+RANGE_ROWS = 500_000
+MOST_RANGES = 1_024
+SAMPLED = 20
+COARSE = 32
+
+
+class Ranges:
+    """Order statistics without sorting the table.
+
+    A bounded sample cuts the order of ``keys + order`` into ranges, and one pass
+    counts the rows of each key in each range. These counts, which reach the
+    driver, tell the range that holds a rank; only such ranges are sorted. The
+    sample decides how much work that is, not the result. ``keys`` must have few
+    values; nulls come first.
+    """
+
+    def __init__(
+        self, df: DataFrame, keys: list[str], order: list[str], range_rows: int = RANGE_ROWS
+    ):
+        self.keys, self.order = keys, order
+        columns = [*keys, *order]
+        total = df.count()
+        n = min(MOST_RANGES, total // range_rows + 1)
+        cuts = self._cuts(df.select(*columns), total, n) if n > 1 else []
+        schema = df.select(*columns).schema
+        row = F.struct(*columns)
+
+        def literal(cut) -> Column:
+            return F.struct(
+                *(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, schema, strict=True))
+            )
+
+        # Coarse cuts first, then those between two of them.
+        coarse = [literal(c) for c in cuts[COARSE - 1 :: COARSE]]
+        fine = F.array(*(literal(c) for c in cuts))
+
+        def passed(some: Column, value: Column) -> Column:
+            return F.size(F.filter(some, lambda c: c <= value))
+
+        def number(value: Column) -> Column:
+            if not cuts:
+                return F.lit(0)
+            first = passed(F.array(*coarse), value) * COARSE if coarse else F.lit(0)
+            return bind(
+                first, lambda k: k + passed(F.slice(fine, k + 1, F.lit(COARSE)), value)
+            )
+
+        self.rows = df.withColumn("_range", bind(row, number))
+        counted = self.rows.groupBy(*keys, "_range").agg(F.count("*").alias("n")).collect()
+        self.sizes: dict[tuple, list[tuple[int, int, int]]] = defaultdict(list)
+        before: dict[tuple, int] = defaultdict(int)
+        for r in sorted(counted, key=lambda r: r["_range"]):
+            key = tuple(r[k] for k in keys)
+            self.sizes[key].append((r["_range"], before[key], r["n"]))
+            before[key] += r["n"]
+
+    @staticmethod
+    def _cuts(rows: DataFrame, total: int, n: int) -> list:
+        wanted = n * SAMPLED
+        sample = rows.sample(min(1.0, wanted / total), 1).orderBy(*rows.columns).collect()
+        step = max(1, len(sample) // n)
+        return sample[step::step][: n - 1]
+
+    def _ranked(self, parts: list[tuple], name: str) -> DataFrame:
+        """Rows of the given ``(*key, range, rows before)`` with their rank."""
+        df = self.rows
+        fields = [df.schema[k] for k in self.keys]
+        schema = ", ".join(
+            [*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_range int, _before bigint"]
+        )
+        wanted = df.sparkSession.createDataFrame(parts, schema)
+        inside = Window.partitionBy(*self.keys, "_range").orderBy(*self.order)
+        same = df["_range"] == wanted["_range"]
+        for k in self.keys:
+            same = same & df[k].eqNullSafe(wanted[k])
+        return (
+            df.join(wanted, same)
+            .select(*(df[c] for c in df.columns), "_before")
+            .withColumn(name, F.col("_before") + F.row_number().over(inside))
+            .drop("_range", "_before")
+        )
+
+    def at(self, ranks: dict[tuple, list[int]], name: str = "rank") -> DataFrame:
+        """The rows that have the given ranks (from 1) within their keys."""
+        parts, places = [], []
+        for key, some in ranks.items():
+            todo = sorted(set(some))
+            places += [(*key, r) for r in todo]
+            for number, before, n in self.sizes.get(key, []):
+                if any(before < r <= before + n for r in todo):
+                    parts.append((*key, number, before))
+        ranked = self._ranked(parts, name)
+        fields = [ranked.schema[k] for k in self.keys]
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` bigint"])
+        wanted = ranked.sparkSession.createDataFrame(places, schema)
+        return ranked.join(wanted, [*self.keys, name], "left_semi")
+
+    def first(self, most: int, name: str = "rank") -> DataFrame:
+        """The first ``most`` rows of each key with their ranks; no range behind
+        them is sorted."""
+        parts = [
+            (*key, number, before)
+            for key, sizes in self.sizes.items()
+            for number, before, _ in sizes
+            if before < most
+        ]
+        return self._ranked(parts, name).where(F.col(name) <= most)
+
+
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Keys with more rows than the threshold, or None when there are none."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from triplemill import constants as C
 from triplemill.functions.text import present
-from triplemill.operators.ranking import rank_within
+from triplemill.operators.ranking import Ranges
 
 SUBSET_SIZE = 20
 HELD_OUT_MIN = 4
@@ -112,29 +112,26 @@ def by_size(index: DataFrame) -> DataFrame:
     )
 
 
+def spaced(total: int, k: int) -> list[int]:
+    """Ranks (from 1) of ``k`` evenly spaced rows of ``total``."""
+    if total <= k:
+        return list(range(1, total + 1))
+    if k == 1:
+        return [total // 2 + 1]
+    return [round(i * (total - 1) / (k - 1)) + 1 for i in range(k)]
+
+
 def evenly_spaced(index: DataFrame, shares: dict[str, int]) -> DataFrame:
-    """Pick the given number per split, evenly along ``(n_triples, film)``."""
+    """Pick the given number per split, evenly along ``(n_triples, film)``.
+
+    Only ranges that hold a pick are sorted, and nothing but their keys is moved.
+    """
     rows = by_size(index).select("split", "film", "n_triples")
-    # One count per wanted split reaches the driver.
-    wanted_rows = rows.where(F.col("split").isin(*(s for s, k in shares.items() if k > 0)))
-    sizes = wanted_rows.groupBy("split").agg(F.count("*").alias("n")).collect()
-    ranked = rank_within(wanted_rows, ["split"], ["n_triples", "film"], "_rank")
-    wanted = index.sparkSession.createDataFrame(
-        [(r["split"], shares[r["split"]], r["n"]) for r in sizes],
-        "split string, k int, _total bigint",
-    )
-    # A handful of positions per split: the subset is as large as was asked for.
-    step = F.rint(F.col("i") * (F.col("_total") - 1) / F.nullif(F.col("k") - 1, F.lit(0)))
-    place = (
-        F.when(F.col("_total") <= F.col("k"), F.col("i"))
-        .when(F.col("k") == 1, F.floor(F.col("_total") / 2))
-        .otherwise(step)
-    )
-    places = (
-        wanted.withColumn("i", F.explode(F.sequence(F.lit(0), F.least("k", "_total").cast("int") - 1)))
-        .select("split", (place + 1).cast("bigint").alias("_rank"))
-    )
-    return ranked.join(places, ["split", "_rank"]).select("split", "film", "n_triples")
+    wanted = rows.where(F.col("split").isin(*(s for s, k in shares.items() if k > 0)))
+    ranges = Ranges(wanted, ["split"], ["n_triples", "film"])
+    totals = {key: sum(n for *_, n in sizes) for key, sizes in ranges.sizes.items()}
+    picks = ranges.at({key: spaced(n, shares[key[0]]) for key, n in totals.items()}, "_rank")
+    return picks.select("split", "film", "n_triples")
 
 
 def select_subset(index: DataFrame, total: int = SUBSET_SIZE) -> DataFrame:
