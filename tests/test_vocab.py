@@ -41,10 +41,11 @@ def test_overlapping_copies(spark):
     assert vocab.learn_merges(words, 100, 2, special=[])[1][0] == ("a", "a", 12)
 
 
-def test_a_symbol_made_twice(spark):
+@pytest.mark.parametrize("limits", [{}, {"look_ahead": 2, "most_symbols": 12, "most_listed": 3}])
+def test_a_symbol_made_twice(spark, limits):
     # 'abc' comes from a+bc and from ab+c; after the second way it is counted anew.
     words = words_of(spark, {"abcx": 9, "ab": 30, "zabc": 7, "bc": 20, "abcy": 8})
-    assert vocab.learn_merges(words, 100, 2, special=[])[1] == [
+    assert vocab.learn_merges(words, 100, 2, special=[], **limits)[1] == [
         ("a", "b", 54), ("ab", "c", 24), ("b", "c", 20), ("abc", "x", 9), ("abc", "y", 8), ("z", "abc", 7)
     ]
 
@@ -57,6 +58,60 @@ def test_width_of_a_round_changes_nothing(spark, look_ahead, most_symbols):
     assert got == plain_merges(words, 25)
 
 
+@pytest.mark.parametrize("most_listed, most_filed", [(1, 24), (3, 24), (40, 24), (10**6, 1), (7, 2)])
+def test_length_of_the_list_changes_nothing(spark, monkeypatch, most_listed, most_filed):
+    monkeypatch.setattr(vocab, "MOST_FILED", most_filed)
+    texts = ["the other then there this those aaaa aaa baaab banana", "mississippi is his kiss the thesis ababab"]
+    words = vocab.pretoken_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = vocab.learn_merges(words, 90, 1, [], 15, 3, 200, most_listed)[1]
+    assert got == plain_merges(words, 15)
+
+
+def test_rounds_read_the_words_at_their_counts(spark, sf):
+    """A word waits until the count of its best pair is reached."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    spelling = vocab.spelled(vocab.pretoken_counts(docs)).cache()
+    codes, counts = vocab.best_pairs(spelling, 10**6, 1)
+    index = vocab._Index(spark)
+    index.file(spelling, codes, counts)
+    best = dict(zip(codes.tolist(), counts.tolist(), strict=True))
+    rows = [(tuple(r["symbols"]), r["n"]) for r in spelling.collect() if len(r["symbols"]) > 1]
+    top = [max(best[(a << 32) | b] for a, b in itertools.pairwise(word)) for word, _ in rows]
+    for level in (-1, 1, 3):
+        want = sorted(r for r, n in zip(rows, top, strict=True) if n >= 8**max(level, 0))
+        assert sorted((tuple(r["symbols"]), r["n"]) for r in index.read(level).collect()) == want
+    total = index.read(-1).count()
+    high = index.read(2).count()
+    index.taken(2)
+    assert index.read(-1).count() == total - high and 0 < high < total
+    scan = index.read(1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(level" in scan
+
+
+def test_counts_follow_the_changed_words(spark):
+    counts = {"banana": 3, "bandana": 2, "anna": 5, "nab": 1}
+    spelling = vocab.spelled(words_of(spark, counts))
+    codes, n = vocab.best_pairs(spelling, 100, 1)
+    listed = vocab._Listed(codes, n, 100, 1)
+    steps = [(ord("a"), ord("n"), 0x110007), (0x110007, ord("a"), 0x110008)]
+    changed = vocab.merged_words(spelling, steps)
+    listed.change(*vocab.count_changes(changed, codes, 0x110007, 1))
+    after, m = vocab.best_pairs(changed.select("symbols", "n"), 100, 1)
+    assert listed.counts == dict(zip(after.tolist(), m.tolist(), strict=True))
+
+
+def test_estimated_size_of_runs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    spelling = vocab.spelled(vocab.pretoken_counts(docs)).cache()
+    codes, _ = vocab.best_pairs(spelling, 500, 1)
+    sizes = vocab.run_sizes(spelling, codes, [500, 50, 5])
+    for width, size in sizes.items():
+        true = vocab.runs_of(spelling, codes[:width]).agg(F.sum(F.size("symbols"))).first()[0]
+        assert size <= 1.5 * true + 200 and (true < 2000 or size >= 0.6 * true)
+    exact = vocab.run_sizes(spelling, codes, [500, 5], one_in=1)
+    assert exact[500] == vocab.runs_of(spelling, codes).agg(F.sum(F.size("symbols"))).first()[0]
+
+
 def plain_merges(words, most):
     """One merge at a time, all pairs counted again each time."""
     spelling = [(tuple(r["word"]), r["n"]) for r in words.collect()]

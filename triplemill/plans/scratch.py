@@ -20,10 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *parts: str) -> DataFrame:
     """Write the rows once and read them back: what follows sees the same rows
-    however often it runs, and survives the loss of executors."""
+    however often it runs, and survives the loss of executors. Rows may be written
+    in ``parts``, so that a filter on these columns reads only what it needs."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
