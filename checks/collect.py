@@ -37,18 +37,22 @@ def _(spark, sf):
     rows = spark_view(spark, sf, "raw_texts")
     jsonl.write_jsonl(rows.where("seq = 0").select("film", "text"), path, append=True)
     jsonl.write_jsonl(rows.where("seq = 1").select("film", "text"), path, append=True)
-    return jsonl.read_jsonl(spark, path, jsonl.RAW_TEXTS)
+    return jsonl.read_jsonl(spark, path, jsonl.RAW_TEXTS, nested=True)
 
 
-# Lines of a cache; those of some entities are cut short.
+# Two appends to a cache; lines of some entities are cut short.
 @query("cache_s3", duck_with("raw_texts") + " select film, text from (select *, row_number() over (partition by film order by seq desc, text desc) as rn from raw_texts where coalesce(text, '') <> '' and film not like '%3') where rn = 1")
 def _(spark, sf):
     path = folder(spark)
-    line = F.to_json(F.struct("film", "text", "seq"))
+    line = F.to_json(F.struct("film", "text"))
     cut = F.substr(line, F.lit(1), F.length(line) - 5)
     rows = spark_view(spark, sf, "raw_texts")
-    rows.select(F.when(F.endswith("film", F.lit("3")), cut).otherwise(line)).write.text(path)
-    return jsonl.last_cached(jsonl.read_tolerant(spark, path, "film string, text string, seq bigint"))
+    for seq in (0, 1):
+        lines = rows.where(F.col("seq") == seq).select(
+            F.when(F.endswith("film", F.lit("3")), cut).otherwise(line)
+        )
+        lines.write.text(jsonl.append_folder(path))
+    return jsonl.read_cache(spark, path)
 
 
 @query("corpus_s5", duck_with("pred_ref_label") + " select text from (select coalesce(pred, '') as text from pred_ref_label union all select coalesce(ref, '') from pred_ref_label)")
@@ -84,6 +88,25 @@ def _(spark, sf):
     return filled.select("id", "task", "input", "target")
 
 
+# Eight files of examples without ids; the number of a line is the id.
+@query("example_lines_s6", f"""with r as (select turn, {MARKED} as input, 'part-' as f,
+  case when conv_id % 3 = 1 then concat('f', turn) else (row_number() over (partition by conv_id % 8 order by conv_id, turn) - 1)::varchar end as id from conversations)
+select id, case when turn = 4 then 'given' else {INFER} end as task, input, '' as target from r""")
+def _(spark, sf):
+    path = folder(spark)
+    rows = table(spark, sf, "conversations").select(
+        (F.col("conv_id") % 8).alias("part"),
+        "conv_id",
+        "turn",
+        F.expr("case when conv_id % 3 = 1 then concat('f', turn) end").alias("film"),
+        F.expr("case when turn = 4 then 'given' end").alias("task"),
+        F.expr(MARKED).alias("input"),
+    )
+    ordered = rows.repartition(8, "part").sortWithinPartitions("part", "conv_id", "turn")
+    jsonl.write_jsonl(ordered.drop("conv_id", "turn"), path, by=("part",))
+    return jsonl.read_examples(spark, path).select("id", "task", "input", "target")
+
+
 @query("task_files_s7", TRI + "select e.task, s.split, count(*) as n, sum(length(input))::bigint as input_chars, sum(length(target))::bigint as target_chars from examples e join splits s on e.film = s.film group by all")
 def _(spark, sf):
     path = folder(spark)

@@ -206,16 +206,34 @@ def test_last_append_wins_and_a_missing_cache_is_empty(spark, tmp_path):
     assert sorted(tuple(r) for r in jsonl.read_cache(spark, path).collect()) == [("a", "newest"), ("b", "newest")]
 
 
+def test_appends_are_ordered_by_their_names(spark, tmp_path):
+    """Times of files may be equal or wrong; what other writers left comes first."""
+    path = tmp_path / "cache"
+    for text in ("b", "c", "a"):
+        jsonl.write_jsonl(spark.createDataFrame([("f", text)], "film string, text string"), str(path), append=True)
+    put(path / "other.jsonl", ['{"film": "f", "text": "z"}', '{"film": "g", "text": "y"}'])
+    for i, file in enumerate(sorted(path.rglob("*.json*"), reverse=True)):
+        os.utime(file, (1000, 1000 if i < 2 else 9000))
+    assert sorted(tuple(r) for r in jsonl.read_cache(spark, str(path)).collect()) == [("f", "a"), ("g", "y")]
+
+
 def test_line_numbers_do_not_depend_on_the_reading_tasks(spark, tmp_path):
     path = tmp_path / "text2rdf.train.jsonl"
     path.write_text("".join(f'{{"input": "{"x" * 20}", "target": "{i}"}}\n' for i in range(3000)))
+    (tmp_path / "text2rdf.val.jsonl").write_text("\n\n".join(f'{{"target": "{i}"}}' for i in range(500)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
-    try:
-        rows = jsonl.read_examples(spark, str(path)).select("id", "target").collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert len(rows) == 3000 and all(r["id"] == r["target"] for r in rows)
+    for size in ("16k", "1m", old):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = jsonl.read_examples(spark, str(tmp_path))
+            rows = found.select("id", "target").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert len(rows) == 3500 and all(r["id"] == r["target"] for r in rows)
+        # Only the table of blocks is shuffled.
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in text and text.count("Exchange hashpartitioning") <= 2
+        assert "BroadcastHashJoin" in text
 
 
 def test_manifest_lists_empty_splits(spark):

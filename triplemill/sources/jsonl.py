@@ -1,11 +1,13 @@
 """JSON-lines sources and sinks (plain or compressed by file suffix)."""
 
+import time
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triplemill.functions.text import infer_task, present
-from triplemill.operators.ranking import rank_within
+from triplemill.plans.scratch import written
 
 RAW_TRIPLES = "film string, dir string, p string, o string"
 RAW_TEXTS = "film string, text string"
@@ -14,57 +16,96 @@ EXAMPLES = "id string, task string, film string, input string, target string"
 FAILURES = "film string, title string, status int, url string"
 
 
-def read_jsonl(spark: SparkSession, path, schema: str, arrival: bool = False) -> DataFrame:
+def read_jsonl(
+    spark: SparkSession, path, schema: str, arrival: bool = False, nested: bool = False
+) -> DataFrame:
     """Read records; blank lines are skipped, a malformed line is an error.
 
-    ``arrival`` adds ``seq``, which orders records as they came: by the time the
-    file was written, then by file and place in it.
+    ``arrival`` adds ``seq``, which orders records as they came: by the append that
+    wrote the file (files of other writers first), then by the time it was written,
+    by file and by place in it. ``nested`` reads the folders of appends, too.
     """
-    return _read(spark, path, schema, "FAILFAST", arrival)
+    return _read(spark, path, schema, "FAILFAST", arrival, nested)
 
 
-def read_tolerant(spark: SparkSession, path, schema: str, arrival: bool = False) -> DataFrame:
+def read_tolerant(
+    spark: SparkSession, path, schema: str, arrival: bool = False, nested: bool = False
+) -> DataFrame:
     """Read records and leave malformed lines out."""
-    return _read(spark, path, schema, "DROPMALFORMED", arrival)
+    return _read(spark, path, schema, "DROPMALFORMED", arrival, nested)
 
 
-def _read(spark, path, schema, mode, arrival):
-    df = spark.read.schema(schema).option("mode", mode).json(path)
+def _read(spark, path, schema, mode, arrival, nested):
+    reader = spark.read.schema(schema).option("mode", mode)
+    df = (reader.option("recursiveFileLookup", "true") if nested else reader).json(path)
     if not arrival:
         return df
+    name = F.col("_metadata.file_path")
+    append = F.nullif(F.regexp_extract(name, APPENDED, 1), F.lit("")).cast("bigint")
     return df.withColumn(
         "seq",
         F.struct(
+            F.coalesce(append, F.lit(0)).alias("append"),
             F.col("_metadata.file_modification_time").alias("time"),
-            F.col("_metadata.file_path").alias("file"),
+            name.alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         ),
     )
 
 
+APPENDED = r"/append-(\d+)/[^/]*$"
+
+
+def append_folder(path: str) -> str:
+    """Folder of the next append under ``path``. Its number is the time in
+    nanoseconds, so that appends are ordered by their names, not by what a store
+    keeps of the times of files."""
+    return f"{path.rstrip('/')}/append-{time.time_ns():020d}"
+
+
 def write_jsonl(df: DataFrame, path: str, by=(), append=False, compression=None) -> None:
-    """Write records as JSON lines, with NULL fields, in a folder per ``by``."""
-    writer = df.write.mode("append" if append else "overwrite").option(
-        "ignoreNullFields", "false"
-    )
+    """Write records as JSON lines, with NULL fields, in a folder per ``by``; an
+    ``append`` is a folder of its own beside what is there."""
+    writer = df.write.mode("overwrite").option("ignoreNullFields", "false")
     if compression:
         writer = writer.option("compression", compression)
     if by:
         writer = writer.partitionBy(*by)
-    writer.json(path)
+    writer.json(append_folder(path) if append else path)
+
 
+def numbered(records: DataFrame, name="line") -> DataFrame:
+    """Number of each record in its file, from 0, however many tasks read it.
 
-def read_examples(spark: SparkSession, path, arrival: bool = True) -> DataFrame:
+    ``seq`` of ``read_jsonl`` has a rising number within each block that was read.
+    Only blocks are counted and put in order; the records are written once, so that
+    both passes see the same numbers, and are not shuffled: the table of blocks is
+    joined, which Spark broadcasts while it is small.
+    """
+    laid = written(records)
+    blocks = laid.groupBy(
+        F.col("seq.file").alias("_file"), F.col("seq.block").alias("_block")
+    ).agg(F.count("*").alias("_n"), F.min("seq.row").alias("_first"))
+    before = Window.partitionBy("_file").orderBy("_block")
+    shifts = blocks.select(
+        "_file", "_block", (F.sum("_n").over(before) - F.col("_n") - F.col("_first")).alias("_shift")
+    )
+    same = (F.col("seq.file") == F.col("_file")) & (F.col("seq.block") == F.col("_block"))
+    return (
+        laid.join(shifts, same)
+        .withColumn(name, F.col("seq.row") + F.col("_shift"))
+        .drop("_file", "_block", "_shift")
+    )
+
+
+def read_examples(
+    spark: SparkSession, path, arrival: bool = True, nested: bool = False
+) -> DataFrame:
     """Task examples with defaults: id from id, entity or line number, empty
     texts for missing ones, task from its field, file name or input."""
-    df = read_jsonl(spark, path, EXAMPLES, arrival=True).withColumn(
-        "_name", F.col("_metadata.file_path")
-    )
-    # Lines are counted per file, however many tasks read it.
-    df = rank_within(df, ["_name"], ["seq"], "_line")
-    line = (F.col("_line") - 1).cast("string")
-    out = with_defaults(df, line, F.col("_name")).drop("_name", "_line")
+    df = numbered(read_jsonl(spark, path, EXAMPLES, arrival=True, nested=nested), "_line")
+    out = with_defaults(df, F.col("_line").cast("string"), F.col("seq.file")).drop("_line")
     return out if arrival else out.drop("seq")
 
 
@@ -104,7 +145,7 @@ def read_cache(spark: SparkSession, path) -> DataFrame:
     """Last usable text per entity of a cache that may hold broken lines; a cache
     that is not there yet is empty."""
     try:
-        records = read_tolerant(spark, path, RAW_TEXTS, arrival=True)
+        records = read_tolerant(spark, path, RAW_TEXTS, arrival=True, nested=True)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
