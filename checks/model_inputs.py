@@ -244,6 +244,12 @@ def _(spark, sf):
     return batching.weighted_mix(rows).select("draw", "task", "id")
 
 
+@query("local_mix_m2")
+def _(spark, sf):
+    rows = tasks.task_examples(pairs(spark, sf)).withColumnRenamed("film", "id")
+    return batching.local_mix(rows).select("task", "id", "copy")
+
+
 def turns(spark, sf):
     return table(spark, sf, "conversations").select(
         F.concat("conv_id", F.lit("-"), "turn").alias("id"),
