@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks.scores import every, log
 from checks.views import spark_view
 from triplemill.operators import extract, pairing
-from triplemill.plans import jobs, scratch
+from triplemill.plans import jobs, publish, scratch
 from triplemill.sources import jsonl
 
 
@@ -126,6 +126,51 @@ def test_build(spark, built):
     assert stored.where("size(triples) <> n_triples or size(triples[0]) <> 3").count() == 0
 
 
+def tables(spark):
+    folder = scratch.shared_folder(spark).rstrip("/") + "/tables"
+    return set(scratch.files(spark, folder).names(folder))
+
+
+def test_jobs_leave_no_tables_behind(spark, sf, tmp_path):
+    before = tables(spark)
+    raw = spark_view(spark, sf, "raw_triples"), spark_view(spark, sf, "raw_texts")
+    pairs = jobs.build_dataset(*raw, str(tmp_path / "a"), min_triples=12, emit_tasks=False)
+    assert tables(spark) == before and pairs.count() > 0
+    assert pairs.schema["triples"].dataType.simpleString() == "array<struct<s:string,p:string,o:string>>"
+    assert pairs.where("size(triples) <> n_triples or triples[0].s is null or split is null").count() == 0
+    docs = spark.createDataFrame([("low lower new low",)], "text string")
+    jobs.train_vocabulary(docs, str(tmp_path / "v"), 20)
+    assert tables(spark) == before
+    with pytest.raises(ZeroDivisionError), scratch.dropped(spark):
+        with scratch.dropped(spark):
+            scratch.written(spark.range(3))
+        assert len(tables(spark)) == len(before) + 1
+        raise ZeroDivisionError
+    assert tables(spark) == before
+
+
+def test_folders_appear_together(spark, tmp_path):
+    out = str(tmp_path / "out")
+    def put_both(n, fails=False):
+        with publish.published(spark, out) as stage:
+            spark.range(n).write.parquet(f"{stage}/one")
+            if fails:
+                raise ZeroDivisionError
+            spark.range(n).write.parquet(f"{stage}/two")
+            assert n == 3 or not publish.is_complete(spark, out) or spark.read.parquet(f"{out}/two").count() == 3
+    def sizes():
+        return [spark.read.parquet(f"{out}/{name}").count() for name in ("one", "two")]
+    put_both(3)
+    assert sizes() == [3, 3] and publish.is_complete(spark, out)
+    with pytest.raises(ZeroDivisionError):
+        put_both(5, fails=True)
+    assert sizes() == [3, 3] and publish.is_complete(spark, out)
+    put_both(7)
+    assert sizes() == [7, 7]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["_COMPLETE", "one", "two"]
+    assert json.loads((tmp_path / "out" / "_COMPLETE").read_text()) == ["one", "two"]
+
+
 def test_subset(spark, built, tmp_path):
     out, pairs = built
     chosen = jobs.build_subset(pairs, jobs.read_tasks(spark, out), str(tmp_path / "toy"), 20)

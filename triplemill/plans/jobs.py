@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from triplemill import constants as C
 from triplemill.operators import extract, pairing, ranking, report, subset, tasks, vocab
-from triplemill.plans.scratch import written
+from triplemill.plans.publish import published
+from triplemill.plans.scratch import dropped, written
 from triplemill.sources import jsonl
 
 
@@ -22,28 +23,32 @@ def build_dataset(
     emit_tasks: bool = True,
 ) -> DataFrame:
     """Write pairs, the audit of the pairing, split lists and task examples
-    under ``out``.
+    under ``out``, together when all are done.
 
     The pairs are made once and kept as a table, and the audit is observed on the
     way; the split is a comparison of hashes with two cuts, so nothing is joined to
     apply it.
     """
+    spark = raw_triples.sparkSession
     if normalize_prefixes:
         raw_triples = pairing.compact_columns(raw_triples, "film", "p", "o")
         raw_texts = pairing.compact_columns(raw_texts, "film")
     triples = pairing.directed(raw_triples)
-    made, audit = pairing.audited_records(triples, raw_texts, min_triples, deduplicate=deduplicate)
-    pairs = written(made)
-    audit().write.mode("overwrite").json(f"{out}/audit")
-    cuts = ranking.split_cuts(pairs, ratios=ratios, seed=seed)
-    pairs = pairs.withColumn("split", ranking.split_of("film", cuts, seed))
-    jsonl.write_pairs(pairs, f"{out}/pairs")
-    jsonl.write_split_lists(pairs, f"{out}/splits")
-    if emit_tasks:
-        jsonl.write_tasks(
-            tasks.task_examples(pairs, seed=seed, max_tokens=max_tokens), f"{out}/tasks"
+    with dropped(spark), published(spark, out) as stage:
+        made, audit = pairing.audited_records(
+            triples, raw_texts, min_triples, deduplicate=deduplicate
         )
-    return pairs
+        pairs = written(made)
+        audit().write.json(f"{stage}/audit")
+        cuts = ranking.split_cuts(pairs, ratios=ratios, seed=seed)
+        pairs = pairs.withColumn("split", ranking.split_of("film", cuts, seed))
+        jsonl.write_pairs(pairs, f"{stage}/pairs")
+        jsonl.write_split_lists(pairs, f"{stage}/splits")
+        if emit_tasks:
+            jsonl.write_tasks(
+                tasks.task_examples(pairs, seed=seed, max_tokens=max_tokens), f"{stage}/tasks"
+            )
+    return jsonl.read_pairs(spark, f"{out}/pairs")
 
 
 def read_tasks(spark: SparkSession, out: str) -> DataFrame:
@@ -55,24 +60,27 @@ def read_tasks(spark: SparkSession, out: str) -> DataFrame:
 def build_subset(
     pairs: DataFrame, examples: DataFrame, out: str, total=subset.SUBSET_SIZE, source: str = ""
 ):
-    """Write the examples of an even subset and its manifest, which names the
-    ``source`` the subset was made from."""
-    chosen = written(subset.select_subset(pairs.select("film", "split", "n_triples"), total))
-    kept = written(subset.subset_examples(examples, chosen))
-    jsonl.write_tasks(kept, f"{out}/tasks")
-    counts = subset.subset_counts(kept)
-    manifest = subset.manifest_json(chosen, counts, source)
-    manifest.write.mode("overwrite").text(f"{out}/manifest")
-    return chosen
+    """Write the examples of an even subset, its entities, and its manifest, which
+    names the ``source`` the subset was made from."""
+    spark = pairs.sparkSession
+    with dropped(spark), published(spark, out) as stage:
+        chosen = written(subset.select_subset(pairs.select("film", "split", "n_triples"), total))
+        kept = written(subset.subset_examples(examples, chosen))
+        jsonl.write_tasks(kept, f"{stage}/tasks")
+        jsonl.write_jsonl(chosen, f"{stage}/entities")
+        counts = subset.subset_counts(kept)
+        subset.manifest_json(chosen, counts, source).write.text(f"{stage}/manifest")
+    return jsonl.read_jsonl(spark, f"{out}/entities", "split string, film string, n_triples int")
 
 
 def train_vocabulary(docs: DataFrame, out: str, vocab_size=C.VOCAB_SIZE, min_freq=C.MIN_FREQUENCY):
     """Learn a vocabulary from ``text`` and write its tokens and merges."""
     spark = docs.sparkSession
-    words = written(vocab.pretoken_counts(docs))
-    tokens, merges = vocab.learn_merges(words, vocab_size, min_freq)
-    vocab.token_table(spark, tokens).write.mode("overwrite").json(f"{out}/tokens")
-    vocab.merge_table(spark, merges).write.mode("overwrite").json(f"{out}/merges")
+    with dropped(spark), published(spark, out) as stage:
+        words = written(vocab.pretoken_counts(docs))
+        tokens, merges = vocab.learn_merges(words, vocab_size, min_freq)
+        vocab.token_table(spark, tokens).write.json(f"{stage}/tokens")
+        vocab.merge_table(spark, merges).write.json(f"{stage}/merges")
     return tokens, merges
 
 
@@ -98,22 +106,27 @@ def collect_texts(
     entities are written, and the coverage is returned.
     """
     spark = raw_triples.sparkSession
-    films = written(extract.first_seen(raw_triples, most))
-    cache = written(jsonl.read_cache(spark, cache_path))
-    todo = extract.to_fetch(films, cache)
-    # Repeated responses count once.
-    answers = extract.requested(responses, todo).groupBy("film").agg(F.max("text").alias("text"))
-    found = written(answers)
-    jsonl.write_jsonl(found, cache_path, append=True)
-    jsonl.write_jsonl(extract.failed(todo, found, responses), f"{out}/failures")
-    merged = extract.merge_texts(cache, found)
-    jsonl.write_jsonl(extract.requested(merged, films), f"{out}/texts")
-    return extract.coverage(films, cache, found)
+    with dropped(spark), published(spark, out) as stage:
+        films = written(extract.first_seen(raw_triples, most))
+        cache = written(jsonl.read_cache(spark, cache_path))
+        todo = extract.to_fetch(films, cache)
+        # Repeated responses count once.
+        answers = extract.requested(responses, todo).groupBy("film").agg(F.max("text").alias("text"))
+        found = written(answers)
+        jsonl.write_jsonl(found, cache_path, append=True)
+        jsonl.write_jsonl(extract.failed(todo, found, responses), f"{stage}/failures")
+        merged = extract.merge_texts(cache, found)
+        jsonl.write_jsonl(extract.requested(merged, films), f"{stage}/texts")
+        counts = extract.coverage(films, cache, found)
+        row, schema = counts.first(), counts.schema
+    return spark.createDataFrame([row], schema)
 
 
 def evaluate(rows: DataFrame, batches: DataFrame, out: str) -> DataFrame:
     """Score predictions and write the report, long and as one JSON text."""
-    rep = written(report.evaluation(rows, batches))
-    rep.write.mode("overwrite").parquet(f"{out}/rows")
-    report.report_json(rep).write.mode("overwrite").text(f"{out}/json")
-    return rep
+    spark = rows.sparkSession
+    with dropped(spark), published(spark, out) as stage:
+        rep = written(report.evaluation(rows, batches))
+        rep.write.parquet(f"{stage}/rows")
+        report.report_json(rep).write.text(f"{stage}/json")
+    return spark.read.parquet(f"{out}/rows")

@@ -2,10 +2,15 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+# Folder of the tables of the job at hand, under that of all tables.
+_job: ContextVar[str | None] = ContextVar("job", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +30,55 @@ def written(df: DataFrame, *parts: str) -> DataFrame:
     however often it runs, and survives the loss of executors. Rows may be written
     in ``parts``, so that a filter on these columns reads only what it needs."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    job = _job.get()
+    folder = f"{shared_folder(spark).rstrip('/')}/tables" + (f"/{job}" if job else "")
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def dropped(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables that are written inside when it ends, well or not. What is
+    handed out must not read them. Inside another one, the outer one drops all."""
+    if _job.get():
+        yield
+        return
+    token = _job.set(f"job-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        folder = f"{shared_folder(spark).rstrip('/')}/tables/{_job.get()}"
+        _job.reset(token)
+        files(spark, folder).remove(folder)
+
+
+class files:
+    """What a job does with files beyond reading and writing tables, through the
+    file system that Spark itself uses for the path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._system = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._system.exists(self._path(path))
+
+    def names(self, path: str) -> list[str]:
+        if not self.exists(path):
+            return []
+        return sorted(s.getPath().getName() for s in self._system.listStatus(self._path(path)))
+
+    def remove(self, path: str) -> None:
+        self._system.delete(self._path(path), True)
+
+    def rename(self, old: str, new: str) -> None:
+        if not self._system.rename(self._path(old), self._path(new)):
+            raise OSError(f"{old} could not be renamed to {new}")
+
+    def write(self, path: str, text: str) -> None:
+        stream = self._system.create(self._path(path), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()

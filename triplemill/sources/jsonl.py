@@ -172,6 +172,15 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
     write_jsonl(pairs.withColumn("triples", lists), path, ("split",))
 
 
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs with their split, triples as records again."""
+    names = ("s", "p", "o")
+    triple = F.transform(
+        "triples", lambda t: F.struct(*(F.get(t, F.lit(i)).alias(n) for i, n in enumerate(names)))
+    )
+    return read_jsonl(spark, path, PAIRS + ", split string").withColumn("triples", triple)
+
+
 def write_split_lists(pairs: DataFrame, path: str) -> None:
     """Entities per split, one line each: the list of a split grows with the
     data, so it is a folder of lines and not one JSON value."""
