@@ -327,14 +327,12 @@ def _(spark, sf):
     shape = "struct<splits:map<string,struct<tasks:map<string,struct<loss:double,num_samples:bigint>>,avg_loss:double>>>"
     splits = whole.select(F.explode(F.from_json("report", shape)["splits"]).alias("split", "v"))
     cells = splits.select("split", "v.avg_loss", F.explode("v.tasks").alias("task", "t"))
+    # Tasks that only have scores are in the report, too.
+    cells = cells.where("t.loss is not null")
     return rounded(cells.select("split", "task", "t.loss", "t.num_samples", "avg_loss"), "loss", "avg_loss")
 
 
-@query("report_metrics_s11", BY_TASK + " select split, task, task as inner_task, metric, round(value, 6)::double as value from scores")
-def _(spark, sf):
-    rows = every(spark, sf)
-    batches = rows.select("split", "task", F.length("ref").alias("loss"), F.lit(1).alias("n"))
-    whole = report.report_json(report.evaluation(rows, batches))
+def report_metrics(whole):
     shape = "struct<splits:map<string,struct<tasks:map<string,struct<metrics:map<string,map<string,double>>>>>>>"
     splits = whole.select(F.explode(F.from_json("report", shape)["splits"]).alias("split", "v"))
     cells = splits.select("split", F.explode("v.tasks").alias("task", "t"))
@@ -342,6 +340,18 @@ def _(spark, sf):
     return rounded(inner.select("split", "task", "inner_task", F.explode("m").alias("metric", "value")), "value")
 
 
+@query("report_scores_only_s11", BY_TASK + " select split, task, task as inner_task, metric, round(value, 6)::double as value from scores")
+def _(spark, sf):
+    return report_metrics(report.report_json(report.evaluation(every(spark, sf), log(spark, sf).limit(0))))
+
+
+@query("report_metrics_s11", BY_TASK + " select split, task, task as inner_task, metric, round(value, 6)::double as value from scores")
+def _(spark, sf):
+    rows = every(spark, sf)
+    batches = rows.select("split", "task", F.length("ref").alias("loss"), F.lit(1).alias("n"))
+    return report_metrics(report.report_json(report.evaluation(rows, batches)))
+
+
 # --- alignment -------------------------------------------------------------
 
 

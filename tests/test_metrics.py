@@ -256,3 +256,19 @@ def test_report_tells_data_set_from_task(spark):
     tasks = json.loads(report.report_json(rep).first()[0])["splits"]["val"]["tasks"]
     assert tasks["all"]["metrics"]["rdfcomp1"] == {"accuracy": 50.0, "samples": 2.0}
     assert tasks["bare"]["metrics"] == {"bare": {"samples": 2.0}}
+
+
+def test_report_of_scored_tasks_without_losses(spark):
+    rows = spark.createDataFrame(
+        [("val", t, f"{t}{i}", "a b", "a b") for t in ("rdf2text", "rdfcomp1") for i in range(3)],
+        "split string, task string, id string, pred string, ref string",
+    )
+    batches = spark.createDataFrame([("val", "rdf2text", 0.5, 9), ("test", "rdf2text", 1.5, 4)], "split string, task string, loss double, n bigint")
+    splits = json.loads(report.report_json(report.evaluation(rows, batches)).first()[0])["splits"]
+    tasks = splits["val"]["tasks"]
+    assert tasks["rdf2text"]["num_samples"] == 9 and tasks["rdf2text"]["loss"] == 0.5
+    assert tasks["rdfcomp1"]["num_samples"] == 3 and "loss" not in tasks["rdfcomp1"]
+    assert tasks["rdfcomp1"]["metrics"]["rdfcomp1"]["accuracy"] == 100.0
+    assert splits["val"]["avg_loss"] == 0.5 and list(splits["test"]["tasks"]) == ["rdf2text"]
+    none = json.loads(report.report_json(report.evaluation(rows, batches.limit(0))).first()[0])["splits"]
+    assert set(none["val"]["tasks"]) == {"rdf2text", "rdfcomp1"} and "avg_loss" not in none["val"]

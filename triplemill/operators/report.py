@@ -93,8 +93,9 @@ def flatten_report(rows: DataFrame) -> DataFrame:
 
 
 def report_json(rows: DataFrame) -> DataFrame:
-    """The report as one nested JSON text, of the tasks that have losses. Its
-    size is that of the metric names, tasks and splits, not of the data."""
+    """The report as one nested JSON text, of all tasks that have losses or scores.
+    A task without losses has no ``loss`` and as many samples as were scored. The
+    text is as long as the metric names, tasks and splits, not the data."""
     is_total = F.col("task").isNull()
     is_task = F.col("task").isNotNull() & F.col("inner").isNull()
     inner = (
@@ -102,7 +103,10 @@ def report_json(rows: DataFrame) -> DataFrame:
         .groupBy("split", "task", "inner")
         .agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
         .groupBy("split", "task")
-        .agg(F.map_from_arrays(F.collect_list("inner"), F.collect_list("m")).alias("metrics"))
+        .agg(
+            F.map_from_arrays(F.collect_list("inner"), F.collect_list("m")).alias("metrics"),
+            F.sum(F.col("m")["samples"]).cast("bigint").alias("scored"),
+        )
     )
     tasks = (
         rows.where(is_task)
@@ -111,7 +115,8 @@ def report_json(rows: DataFrame) -> DataFrame:
             F.max(F.when(F.col("metric") == "loss", F.col("value"))).alias("loss"),
             F.max(F.when(F.col("metric") == "num_samples", F.col("value"))).cast("bigint").alias("num_samples"),
         )
-        .join(inner, ["split", "task"], "left")
+        .join(inner, ["split", "task"], "full")
+        .withColumn("num_samples", F.coalesce("num_samples", "scored"))
         # A task without scored rows still says how many it has.
         .withColumn(
             "metrics",
@@ -138,7 +143,7 @@ def report_json(rows: DataFrame) -> DataFrame:
             F.max(F.when(F.col("metric") == "num_samples", F.col("value"))).cast("bigint").alias("num_samples"),
         )
     )
-    whole = totals.join(tasks, "split").agg(
+    whole = totals.join(tasks, "split", "full").agg(
         F.map_from_arrays(
             F.collect_list("split"),
             F.collect_list(F.struct("tasks", "avg_loss", "num_samples")),
