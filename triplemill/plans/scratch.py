@@ -1,16 +1,16 @@
 """Intermediate tables in the folder the cluster shares."""
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
-# Folder of the tables of the job at hand, under that of all tables.
-_job: ContextVar[str | None] = ContextVar("job", default=None)
+# Folder of the tables of a thread's job, under that of all tables.
+_jobs: dict[int, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +30,7 @@ def written(df: DataFrame, *parts: str) -> DataFrame:
     however often it runs, and survives the loss of executors. Rows may be written
     in ``parts``, so that a filter on these columns reads only what it needs."""
     spark = df.sparkSession
-    job = _job.get()
+    job = _jobs.get(threading.get_ident())
     folder = f"{shared_folder(spark).rstrip('/')}/tables" + (f"/{job}" if job else "")
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.partitionBy(*parts).parquet(path)
@@ -41,15 +41,15 @@ def written(df: DataFrame, *parts: str) -> DataFrame:
 def dropped(spark: SparkSession) -> Iterator[None]:
     """Drop the tables that are written inside when it ends, well or not. What is
     handed out must not read them. Inside another one, the outer one drops all."""
-    if _job.get():
+    thread = threading.get_ident()
+    if thread in _jobs:
         yield
         return
-    token = _job.set(f"job-{uuid.uuid4().hex}")
+    _jobs[thread] = f"job-{uuid.uuid4().hex}"
     try:
         yield
     finally:
-        folder = f"{shared_folder(spark).rstrip('/')}/tables/{_job.get()}"
-        _job.reset(token)
+        folder = f"{shared_folder(spark).rstrip('/')}/tables/{_jobs.pop(thread)}"
         files(spark, folder).remove(folder)
 
 
