@@ -685,6 +685,31 @@ def test_mixing(odd, documents):
     assert mixing.taken_words(odd.limit(0)).count() == 0
 
 
+def test_rows_are_mixed_each_for_itself(spark):
+    """Rows without an id, with one id and equal ones: each is in the result."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 900))) for _ in range(40)]
+    rows = [(None, t, "s") for t in texts[:15]] + [(1, t, "s") for t in texts[15:25]] + [(None, t, None) for t in texts[25:]]
+    rows += [(7, texts[0], "s")] * 6 + [(None, texts[3], "s")] * 4 + [(1, None, "s"), (1, "", "s"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.taken_words(df, shard_words=2_000).collect()
+    sizes = sorted((repr(i), len((t or "").split())) for i, t, _ in rows)
+    assert sorted((repr(r["doc_id"]), r["size"]) for r in got) == sizes
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert all(sum(w["words"] for w in r["shards"]) == r["taken"] for r in got)
+    assert len({w["shard"] for r in got for w in r["shards"]}) > 5
+    whole = sum(n for _, n in sizes)
+    assert abs(sum(r["taken"] for r in got) - 1.5 * whole) <= 2
+    mix = mixing.mixed_texts(df, shard_words=2_000).collect()
+    assert sum(r["words"] for r in mix) == sum(r["taken"] for r in got)
+    own = collections.defaultdict(list)
+    for i, t, _ in rows:
+        own[i].append((t or "").split())
+    for r in mix:
+        low = r["block"] * mixing.BLOCK
+        assert r["text"].split() in [w[low : low + r["words"]] for w in own[r["doc_id"]]]
+
+
 def test_mixed_texts(odd, documents):
     for df in (odd, documents):
         words = collections.defaultdict(list)
@@ -710,6 +735,22 @@ def test_splitting_tree():
     assert big.sum() == 10**9 and abs(big[0] / 10**9 - 0.8) < 1e-3
 
 
+def test_draws_beyond_the_generator(monkeypatch):
+    """By inversion as by numpy, and at sizes numpy does not take."""
+    monkeypatch.setattr(mixing, "NUMPY_MOST", 1)
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((30, 10, 12), (5, 200, 50), (1, 1, 1), (400, 3, 390), (7, 9, 16), (50, 50, 0)):
+        own = [mixing.hypergeometric(rng, good, bad, n) for _ in range(20_000)]
+        other = rng.hypergeometric(good, bad, n, 20_000)
+        assert min(own) >= max(0, n - bad) and max(own) <= min(good, n)
+        a, b = (np.bincount(x, minlength=n + 1) for x in (own, other))
+        assert np.abs(a - b).max() < 6 * np.sqrt(a.max() + 1)
+    good, bad, n = 3 * 10**12, 10**12, 2 * 10**12
+    own = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(300)], np.float64)
+    spread = (n * 0.75 * 0.25 * (good + bad - n) / (good + bad - 1)) ** 0.5
+    assert abs(own.mean() - 0.75 * n) < 5 * spread / 300**0.5 and 0.85 < own.std() / spread < 1.15
+
+
 # --- 10 ---------------------------------------------------------------------------
 
 

@@ -21,8 +21,9 @@ holds most rows is dealt over many tasks. Draws come from generators seeded by
 the node, so reruns agree.
 
 A null text has size 0, and nothing is taken of it; a null source is the last
-source; rows with the same id and source are one document of their joint size;
-an empty table gives an empty result. Other columns are not read.
+source; every row is a document of its own, also those without an id or with one
+that others have, which are told apart by their text and, where that is the same,
+by number; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplemill.llm.common import blocks as text_blocks
@@ -49,18 +50,34 @@ SEED = 17
 SUBTREE = 512
 # Places of a source's order that are looked up together.
 CELL = 64
-# Beyond so many blocks numpy draws no hypergeometric numbers; a rounded normal
-# number of the same mean and variance is taken instead.
-EXACT = 10**9
+# Numpy draws hypergeometric numbers from fewer than so many of a kind.
+NUMPY_MOST = 10**9
+# Standard deviations from the mean beyond which probabilities are below 1e-30.
+SPREAD = 12
 
 
 # --- sizes and targets --------------------------------------------------------
 
 
+# What tells the rows of a document table apart.
+DOC = ("doc", "mark", "copy")
+
+
+def marked(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def sizes(docs: DataFrame, key="doc_id", text="text", source="source") -> DataFrame:
-    return docs.select(
-        F.col(key).alias("doc"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")
-    ).groupBy("doc", "source").agg(F.sum("size").alias("size"))
+    """One row per document: id, mark of the text, number among equal ones, source,
+    size."""
+    rows = docs.select(
+        F.col(key).alias("doc"),
+        F.col(source).alias("source"),
+        marked(F.col(text)).alias("mark"),
+        n_words(F.col(text)).alias("size"),
+    )
+    copies = rows.groupBy("doc", "mark", "source", "size").agg(F.count("*").alias("n"))
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
 
 
 def targets(base: DataFrame, weights=WEIGHTS, total=TOTAL, most=MOST) -> DataFrame:
@@ -99,21 +116,41 @@ def targets(base: DataFrame, weights=WEIGHTS, total=TOTAL, most=MOST) -> DataFra
 # --- the tree -----------------------------------------------------------------
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``good`` are among ``n`` drawn from ``good + bad`` without
+    replacement, for numbers of any size.
+
+    Beyond numpy's range the number is found by inversion: neighbouring
+    probabilities have a simple ratio, so they follow from the most likely number
+    up and down, as far as they count at all.
+    """
+    if not good or not n:
+        return 0
+    if not bad:
+        return n
+    if max(good, bad) < NUMPY_MOST:
+        return int(rng.hypergeometric(good, bad, n))
+    whole = good + bad
+    mean = n * good / whole
+    reach = SPREAD * (mean * (bad / whole) * ((whole - n) / max(1, whole - 1))) ** 0.5 + SPREAD
+    low, high = max(0, n - bad, int(mean - reach)), min(good, n, int(mean + reach) + 1)
+    middle = min(max((n + 1) * (good + 1) // (whole + 2), low), high)
+    up = np.arange(middle, high, dtype=np.float64)
+    down = np.arange(middle, low, -1, dtype=np.float64)
+    above = np.cumprod((good - up) / (up + 1) * ((n - up) / (bad - n + up + 1)))
+    below = np.cumprod(down / (good - down + 1) * ((bad - n + down) / (n - down + 1)))
+    total = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return low + int(np.searchsorted(total, rng.random() * total[-1], side="right"))
+
+
 def draw(rng: np.random.Generator, colours: np.ndarray, n: int) -> np.ndarray:
     """How many of each colour are among ``n`` drawn without replacement."""
     out, left, rest = np.zeros_like(colours), n, int(colours.sum())
     for i, good in enumerate(map(int, colours)):
-        bad = rest - good
         if not left:
             break
-        if rest <= EXACT:
-            k = int(rng.hypergeometric(good, bad, left)) if good and bad else (left if good else 0)
-        else:
-            share = good / rest
-            spread = (left * share * (1 - share) * (rest - left) / (rest - 1)) ** 0.5
-            k = round(left * share + rng.standard_normal() * spread)
-            k = min(max(k, left - bad, 0), good, left)
-        out[i], left, rest = k, left - k, bad
+        out[i] = hypergeometric(rng, good, rest - good, left)
+        left, rest = left - int(out[i]), rest - good
     return out
 
 
@@ -161,9 +198,9 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 def block_table(base: DataFrame, block: int = BLOCK) -> DataFrame:
     count = F.ceil(F.col("size") / block).cast("bigint")
     return base.where("size > 0").select(
-        "sid", "doc", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("block")
+        "sid", *DOC, "size", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("block")
     ).select(
-        "sid", "doc", "block", F.least(F.lit(block), F.col("size") - F.col("block") * block).alias("words")
+        "sid", *DOC, "block", F.least(F.lit(block), F.col("size") - F.col("block") * block).alias("words")
     )
 
 
@@ -189,7 +226,7 @@ def mixture(
     whole = whole.withColumn("rounds", F.floor(F.col("take") / F.col("source_size")).cast("bigint"))
     whole = whole.withColumn("rest", F.col("take") - F.col("rounds") * F.col("source_size"))
     cut = block_table(base, block).withColumn("h", F.xxhash64(F.lit(seed), "doc", "block"))
-    ordered = running(cut, ["sid"], ["h", "doc", "block"], "words").drop("h")
+    ordered = running(cut, ["sid"], ["h", *DOC, "block"], "words").drop("h")
     ordered = ordered.join(whole.select("sid", "rounds", "rest"), "sid")
     last = F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - F.col("before"))).cast("bigint")
     ordered = written(ordered.withColumn("last", last).drop("before", "rest"))
@@ -218,7 +255,7 @@ def mixture(
     )
     taken = ordered.select(
         "sid",
-        "doc",
+        *DOC,
         "block",
         "rank",
         F.explode(
@@ -233,7 +270,7 @@ def mixture(
                 ).otherwise(F.array().cast("array<struct<round:int,words:bigint>>")),
             )
         ).alias("t"),
-    ).select("sid", "doc", "block", "rank", "t.round", "t.words")
+    ).select("sid", *DOC, "block", "rank", "t.round", "t.words")
     placed = (
         taken.join(quotas.select("sid", "m"), "sid")
         .withColumn("index", F.col("round") * F.col("m") + F.col("rank"))
@@ -245,24 +282,38 @@ def mixture(
         F.xxhash64(F.lit(seed + 1), "sid", "index"), "sid", "index"
     )
     mix = placed.withColumn("place", F.row_number().over(shuffled)).select(
-        "shard", "place", "sid", "doc", "block", "round", "words"
+        "shard", "place", "sid", *DOC, "block", "round", "words"
     )
     return base.join(goal.drop("source"), "sid"), mix
 
 
+def of_same(*names: str) -> Column:
+    """Condition that the columns agree with those named ``its_...``, null with null."""
+    out = F.lit(True)
+    for name in names:
+        out = out & F.col(name).eqNullSafe(F.col(f"its_{name}"))
+    return out
+
+
 def taken_words(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
-    """One row per document: key, size, source_size, target, taken."""
+    """One row per document: key, size, source_size, target, taken, and ``shards``,
+    how many of the words taken each shard has."""
     base, mix = mixture(docs, key, **settings)
-    sums = mix.groupBy("sid", "doc").agg(F.sum("words").alias("taken")).withColumnsRenamed(
-        {"sid": "its_sid", "doc": "its_doc"}
+    own = ["sid", *DOC]
+    sums = (
+        mix.groupBy(*own, "shard")
+        .agg(F.sum("words").cast("bigint").alias("words"))
+        .groupBy(*own)
+        .agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("shards"))
+        .withColumnsRenamed({c: f"its_{c}" for c in own})
     )
-    same = (F.col("sid") == F.col("its_sid")) & F.col("doc").eqNullSafe(F.col("its_doc"))
-    return base.join(sums, same, "left").select(
+    return base.join(sums, of_same(*own), "left").select(
         F.col("doc").alias(key),
         "size",
         "source_size",
         "target",
         F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+        F.coalesce("shards", F.array().cast("array<struct<shard:bigint,words:bigint>>")).alias("shards"),
     )
 
 
@@ -270,30 +321,24 @@ def mixed_texts(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, **settings
 ) -> DataFrame:
     """The mix with its texts: shard, place, key, source, block, round, words,
-    text (from the block's first word to its last, as it stands in the document).
-
-    Words of rows with the same id and source are counted on from row to row, in
-    the order of their texts."""
+    text (from the block's first word to its last, as it stands in the document)."""
     base, mix = mixture(docs, key, text, source, block=block, **settings)
-    wanted = mix.groupBy("sid", "doc").agg(
+    wanted = mix.groupBy("sid", "doc", "mark").agg(
         F.collect_list(F.struct("shard", "place", "block", "round", "words")).alias("wanted")
     )
     own = docs.select(
-        tag(F.col(source)).alias("its_sid"), F.col(key).alias("its_doc"), F.col(source).alias("source"), F.col(text).alias("text")
+        tag(F.col(source)).alias("its_sid"),
+        F.col(key).alias("its_doc"),
+        marked(F.col(text)).alias("its_mark"),
+        F.col(source).alias("source"),
+        F.col(text).alias("text"),
     )
-    same = (F.col("sid") == F.col("its_sid")) & F.col("doc").eqNullSafe(F.col("its_doc"))
-    # One row a document unless ids repeat.
-    joined = (
-        own.join(wanted, same)
-        .groupBy("sid", "doc")
-        .agg(
-            F.first("source").alias("source"),
-            F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"),
-            F.first("wanted").alias("wanted"),
+    if base.where("copy > 1").count():
+        # Equal rows are one text, of which all their blocks are cut.
+        own = own.groupBy("its_sid", "its_doc", "its_mark").agg(
+            F.first("source").alias("source"), F.first("text").alias("text")
         )
-        if _repeats(base, own)
-        else own.join(wanted, same)
-    ).select("doc", "source", "text", "wanted")
+    joined = own.join(wanted, of_same("sid", "doc", "mark")).select("doc", "source", "text", "wanted")
     kinds = {c: joined.schema[c].dataType.simpleString() for c in ("doc", "source")}
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +370,3 @@ def mixed_texts(
         "shard", "place", F.col("doc").alias(key), F.col("source").alias(source), "block", "round", "words", "text"
     )
 
-
-def _repeats(base: DataFrame, own: DataFrame) -> bool:
-    """Whether some id and source has more than one row."""
-    return base.count() < own.count()
