@@ -44,27 +44,61 @@ class Shard:
         self.text, self.offset = self.text[order], self.offset[order]
 
 
+def joined(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and longer suffixes of shards put end to end."""
+    base = np.cumsum([0, *(len(s.last) for s in shards)])
+    last = np.concatenate([s.last for s in shards])
+    longer = np.concatenate([s.longer + b for s, b in zip(shards, base, strict=False)])
+    return last, longer.astype(np.int32)
+
+
+def refined(now, block, last, longer):
+    """One round: the suffixes one character longer, in order, their blocks, and
+    where a block begins."""
+    letter = last[now]
+    order = np.argsort(letter, kind="stable")
+    now, block, letter = longer[now[order]], block[order], letter[order]
+    begins = np.ones(len(now), bool)
+    begins[1:] = (letter[1:] != letter[:-1]) | (block[1:] != block[:-1])
+    return now, np.cumsum(begins, dtype=np.int32), begins
+
+
 def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave by the first ``depth`` characters, as ranks in the shards put
     end to end, and the common prefix of each suffix with the one before, up to
     ``depth`` (-1 for the first)."""
-    base = np.cumsum([0, *(len(s.last) for s in shards)])
-    last = np.concatenate([s.last for s in shards])
-    longer = np.concatenate([s.longer + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
-    now = np.arange(len(last), dtype=np.int32)
-    block = np.zeros(len(last), np.int32)
+    last, longer = joined(shards)
+    now, block = np.arange(len(last), dtype=np.int32), np.zeros(len(last), np.int32)
     common = np.full(len(last), depth, np.int16)
-    common[:1] = -1
     for k in range(1, depth + 1):
-        letter = last[now]
-        order = np.argsort(letter, kind="stable")
-        now, block, letter = longer[now[order]], block[order], letter[order]
-        edge = (letter[1:] != letter[:-1]) | (block[1:] != block[:-1])
-        common[1:][edge & (common[1:] == depth)] = k - 1
-        block = np.concatenate([[0], np.cumsum(edge)]).astype(np.int32)
+        now, block, begins = refined(now, block, last, longer)
+        common[begins & (common == depth)] = k - 1
+    common[:1] = -1
     return now, common
 
 
+def shared(shards: list[Shard], depth: int, start: np.ndarray):
+    """The same for the suffixes that grow out of the ranks ``start`` by ``depth``
+    characters only: their interleave, where an interval begins, and, as (ranks
+    after k rounds, k), those taken out on the way. A suffix that shares its first k
+    characters with no other is alone, and so is what grows out of it."""
+    last, longer = joined(shards)
+    now, block = start.astype(np.int32), np.zeros(len(start), np.int32)
+    begins, alone = np.ones(len(start), bool), []
+    for k in range(1, depth + 1):
+        now, block, begins = refined(now, block, last, longer)
+        if k % STEP == 0 and k < depth:
+            single = begins & np.append(begins[1:], True)
+            if single.any():
+                alone.append((now[single], k))
+                now, block = now[~single], block[~single]
+    return now, begins, alone
+
+
+# Rounds after which suffixes that are alone are taken out.
+STEP = 4
+
+
 def least_sharing(texts: list[bytes], values: np.ndarray, depth: int, shard: int = 128):
     """For each text and offset with ``depth`` bytes from there on: the least
     value of all texts that have the same ``depth`` bytes anywhere. Returned as
@@ -77,11 +111,13 @@ def least_sharing(texts: list[bytes], values: np.ndarray, depth: int, shard: int
         shards.append(made)
         owner.append(own[made.text])
         offset.append(made.offset)
-    now, common = merged(shards, depth)
-    owner, offset = np.concatenate(owner)[now], np.concatenate(offset)[now]
-    size = np.array([len(t) for t in texts])
-    whole = offset + depth <= size[owner]
-    interval = np.cumsum(common < depth) - 1
-    value = np.where(whole, values[owner], np.iinfo(np.int64).max)
-    least = np.minimum.reduceat(value, np.flatnonzero(common < depth))
-    return owner[whole], offset[whole], least[interval[whole]]
+    owner, offset = np.concatenate(owner), np.concatenate(offset)
+    # A string of ``depth`` bytes grows, byte by byte, out of the suffix behind it.
+    now, begins, alone = shared(shards, depth, np.flatnonzero(offset >= depth))
+    found = [(owner[ranks], offset[ranks] - (depth - k), values[owner[ranks]]) for ranks, k in alone]
+    if len(now):
+        least = np.minimum.reduceat(values[owner[now]], np.flatnonzero(begins))
+        found.append((owner[now], offset[now], least[np.cumsum(begins) - 1]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))

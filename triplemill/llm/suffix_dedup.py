@@ -320,6 +320,11 @@ def least_ids(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out[group]
 
 
+def pairs_numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each different pair, in the order of the pairs."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
 def contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Contexts of the places of each document (id, mark, text, places). Those
     that a smaller id has whole, among the rows met together, are given as
@@ -337,7 +342,9 @@ def contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
     for rows, raw, at in blocks(batches, "text"):
         places = rows.column(3)
         doc = np.repeat(np.arange(rows.num_rows), pc.list_value_length(places).to_numpy())
-        doc, place = np.unique(np.stack([doc, pc.list_flatten(places).to_numpy()]), axis=1)
+        place = pc.list_flatten(places).to_numpy()
+        wide = int(place.max(initial=0)) + 1
+        doc, place = np.divmod(np.unique(doc * wide + place), wide)
         size = np.diff(at)[doc]
         start, stop = np.maximum(place - REACH, 0), np.minimum(place + LENGTH, size)
         # A place comes from the id; another text of that id may be too short.
@@ -454,11 +461,12 @@ def merged_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         nonlocal parts, frequent, limit
         entries = Entries.joined(parts)
         sample = entries.shared(entries.low, entries.high)
-        _, group = np.unique(np.stack([sample, entries.codes().view(np.uint64)]), axis=1, return_inverse=True)
+        group = pairs_numbered(np.unique(sample, return_inverse=True)[1], entries.codes())
         later = entries.id > least_ids(group, entries.id)
         yield given(runs(*(x[later] for x in (entries.id, entries.mark, entries.start, entries.start + entries.size))))
         keep = np.flatnonzero(~later)
-        names, count = np.unique(np.unique(np.stack([sample[keep], group[keep].astype(np.uint64)]), axis=1)[0], return_counts=True)
+        _, one = np.unique(group[keep], return_index=True)
+        names, count = np.unique(sample[keep[one]], return_counts=True)
         frequent = np.union1d(frequent, names[count > HOT])
         split = np.isin(sample[keep], frequent) & (entries.low < entries.high)[keep]
         for half in halves(entries.pick(keep[split])):
