@@ -443,6 +443,34 @@ def test_quality_outliers_in_one_statistic(spark):
     assert kept == dict.fromkeys(planted, False) | {"short lines": True}
 
 
+def test_quality_keeps_good_documents(spark):
+    """Of the given documents labelled good, under 1 of 100 that pass the base rules
+    are rejected; of those labelled bad, nearly all."""
+    folder = "/root/testdata/sf0.1"
+    rows = quality.judged(spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    n = {(r["quality"], r["kept"]): r["count"] for r in rows.join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
+    assert n.get((1, False), 0) < 0.01 * n[1, True]
+    assert n.get((0, True), 0) < 0.02 * n[0, False]
+
+
+def test_quality_bound_follows_the_spread(spark):
+    """Skewed groups get a wider bound, normal ones and copies the plain one."""
+    rng = np.random.default_rng(4)
+    spread = np.diag([900.0] * 5)
+    groups = {
+        "normal": rng.multivariate_normal([400] * 5, spread, 2000),
+        "skewed": 400 + 30 * np.expm1(np.abs(rng.normal(size=(2000, 5)))) * rng.choice([-1, 1], (2000, 5)),
+        "copies": np.vstack([np.full((1600, 5), 400.0), rng.multivariate_normal([400] * 5, spread, 400)]),
+    }
+    rows = [(g, *map(int, r)) for g, x in groups.items() for r in np.round(x)]
+    df = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{n} bigint" for n in quality.X))
+    best = quality.robust_estimates(df)
+    bound = {r["grp"]: r["bound"] for r in quality.bounds(df, best).collect()}
+    assert quality.CUTOFF <= bound["normal"] < 1.7 * quality.CUTOFF
+    assert bound["skewed"] > 2 * quality.CUTOFF and bound["copies"] < 2000
+
+
 # --- 6 ----------------------------------------------------------------------------
 
 

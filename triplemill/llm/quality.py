@@ -17,6 +17,10 @@ its group by the Mahalanobis distance is rejected.
 * Variances get a floor per statistic, the error of measuring it in a short
   document. Without one, a statistic that is zero for most documents would make any
   other value an outlier. Each statistic alone can reject a document.
+* The statistics of clean text are skewed, so the normal quantile would reject too
+  many. The bound of a group follows the spread of its own distances, from their
+  median to their ``BULK`` quantile (interval counts again), and is never below the
+  normal one. Up to 15 of 100 documents of a group may be outliers.
 * Groups under ``MIN_GROUP`` documents are pooled by language, and what is still
   smaller in one remainder.
 
@@ -55,9 +59,17 @@ PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 # share / P(chi2 with P+2 degrees < its SHARE quantile for P degrees): makes the
 # covariance of the inner SHARE that of the whole, for five normal statistics.
 CONSISTENT = 1.412
-# Distances squared beyond this are outliers: the 0.999 quantile of chi2 with 5
-# degrees, so 1 of 1,000 normal documents is rejected wrongly, with floors fewer.
+# Distances squared beyond this are outliers at least: the 0.999 quantile of chi2
+# with 5 degrees, so 1 of 1,000 normal documents is rejected wrongly, with floors
+# fewer.
 CUTOFF = 20.515
+BULK = 0.85
+# On the log scale the 0.999 quantile of chi2 with 5 degrees (20.515) is this many
+# times as far above the 0.85 quantile (8.115) as that is above the median (4.351).
+TAIL = 1.488
+# Doublings from the median to the BULK quantile that count at most: where most
+# documents are copies of one, the median says nothing about the rest.
+WIDEST = 3.0
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -300,6 +312,23 @@ def robust_estimates(inner: DataFrame) -> DataFrame:
     )
 
 
+def bounds(inner: DataFrame, best: DataFrame) -> DataFrame:
+    """Distance squared beyond which a document of a group is an outlier."""
+    interval = F.floor(F.log2(distance() / CONSISTENT + 1e-6) * 16).cast("int")
+    counts = (
+        inner.join(best, "grp").select("grp", interval.alias("bin")).groupBy("grp", "bin").agg(F.count("*").alias("n"))
+    )
+    whole = Window.partitionBy("grp")
+    ranked = counts.withColumn("up", F.sum("n").over(whole.orderBy("bin"))).withColumn(
+        "total", F.sum("n").over(whole)
+    )
+    at = lambda q: (F.min(F.when(F.col("up") >= F.col("total") * q, F.col("bin"))) + 0.5) / 16
+    quantiles = ranked.groupBy("grp").agg(at(0.5).alias("half"), at(BULK).alias("bulk"))
+    wide = F.least(F.col("bulk") - F.col("half"), F.lit(WIDEST))
+    own = F.pow(F.lit(2.0), F.col("bulk") + TAIL * wide)
+    return written(quantiles.select("grp", F.greatest(F.lit(CUTOFF), own).alias("bound")).coalesce(1))
+
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -318,12 +347,14 @@ def judged(docs: DataFrame, key: str = "doc_id", text="text", lang="lang", sourc
     )
     rows = written(counts.select("key", "lang", "source", *COUNTS, failed.alias("failed"), *vector()))
     rows = with_groups(rows)
-    best = robust_estimates(rows.where("not failed").select("grp", *X))
+    inner = rows.where("not failed").select("grp", *X)
+    best = robust_estimates(inner)
+    best = best.join(bounds(inner, best), "grp")
     far = F.when(~F.col("failed"), distance() / CONSISTENT)
     return rows.join(best, "grp", "left").select(
         F.col("key").alias(key),
         *COUNTS,
         F.col("failed").alias("base_failed"),
         far.alias("distance"),
-        (~F.col("failed") & F.coalesce(far <= CUTOFF, F.lit(True))).alias("kept"),
+        (~F.col("failed") & F.coalesce(far <= F.col("bound"), F.lit(True))).alias("kept"),
     )
