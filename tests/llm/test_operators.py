@@ -676,44 +676,78 @@ def test_texts_of_one_word(spark):
 
 
 def plain_line_dedup(rows):
-    first = {}
+    """Texts without the later places of pairs of lines and of long lines, by a
+    dictionary of all of them."""
+    docs = {}
     for i, t in rows:
-        for a, _, piece in line_dedup.found(t):
-            at = (i is None, i or 0, xxhash.xxh64_intdigest((t or "").encode()), a)
-            first[piece] = min(first.get(piece, at), at)
-    return first
+        raw = (t or "").encode()
+        mark = xxhash.xxh64_intdigest(raw, 42)
+        docs[i is None, i or 0, mark - (mark >> 63 << 64)] = raw.split(b"\n")
+    met, out = {}, {}
+    for place, lines in sorted(docs.items()):
+        full, gone = [k for k, x in enumerate(lines) if x.split()], set()
+        for n, k in enumerate(full):
+            spans = [(full[n - 1], k + 1)] if n else []
+            spans += [(k, k + 1)] if len(lines[k].split()) > line_dedup.LONG else []
+            for a, b in spans:
+                piece = b"\n".join(lines[a:b])
+                if piece in met:
+                    gone |= set(range(a, b))
+                met.setdefault(piece, place)
+        out[place[1] if not place[0] else None, b"\n".join(lines)] = b"\n".join(
+            x for k, x in enumerate(lines) if k not in gone
+        )
+    return out
 
 
 def test_line_dedup(spark, odd, documents):
     names = odd.columns
-    for df in (odd, documents):
+    passages = [["p%d line %d" % (k, i) for i in range(k % 9 + 2)] for k in range(30)]
+    rng = random.Random(15)
+    many = []
+    for d in range(120):
+        lines = sum((rng.choice(passages)[rng.randrange(3) :] + [""] * rng.randrange(2) for _ in range(4)), [])
+        many.append((rng.randrange(90) or None, "\n".join(lines + [f"own {d}"] * rng.randrange(3)), "en", "s"))
+    mixed = spark.createDataFrame([(*t, 0, "k", 1, 2) for t in many], SCHEMA).repartition(7)
+    for df in (odd, documents, mixed):
         done = line_dedup.deduplicated(df, report="report")
         assert done.columns == [*df.columns, "report"] and done.count() == df.count()
-        left = {}
-        for r in done.collect():
-            left.setdefault(r["doc_id"], []).append(r)
-        once = plain_line_dedup(texts_of(df))
-        for i, t in texts_of(df):
-            if t is None:
-                assert all(r["text"] is None for r in left[i])
-                continue
-            keep, lines = [], t.split("\n")
-            for a, b in line_dedup.chunks([x.encode() for x in lines]):
-                piece = "\n".join(lines[a:b]).encode()
-                if b - a < 2 or once[piece][1:2] == (i or 0,):
-                    keep += lines[a:b]
-            assert any(r["text"] == "\n".join(keep) for r in left[i])
+        want = plain_line_dedup(texts_of(df))
+        left = collections.Counter((r["doc_id"], r["text"]) for r in done.collect())
+        assert left == collections.Counter(
+            (i, None if t is None else want[i, t.encode()].decode()) for i, t in texts_of(df)
+        )
     assert line_dedup.deduplicated(odd.limit(0)).columns == names
     assert line_dedup.digests(odd.limit(0)).count() == 0
 
 
 def test_line_chunks_resynchronise():
     rng = random.Random(12)
-    lines = [f"line {rng.random()}".encode() for _ in range(200)]
-    plain = {tuple(lines[a:b]) for a, b in line_dedup.chunks(lines)}
-    moved = [b"new", b"lines", *lines]
-    shifted = {tuple(moved[a:b]) for a, b in line_dedup.chunks(moved)}
-    assert len(plain & shifted) >= len(plain) - 1
+    lines = [f"line {rng.random()}" for _ in range(200)]
+
+    def chunks(lines):
+        own = line_dedup.Cut("\n".join(lines))
+        assert [a for a, _ in own.chunks[1:]] == [b for _, b in own.chunks[:-1]]
+        assert sorted(sum(own.inner + own.seams, [])) == list(range(len(own.pairs)))
+        return {tuple(lines[a:b]) for a, b in own.chunks}
+
+    plain, shifted = chunks(lines), chunks(["new", "lines", *lines])
+    assert 20 < len(plain) < 100 and len(plain & shifted) >= len(plain) - 1
+
+
+def test_repeated_chunks_leave_only_their_seams(spark):
+    """A passage that repeats is met as chunks; pairs of its later places are not."""
+    lines = [f"line {i}" for i in range(400)]
+    rows = [(d, "\n".join([f"begin {d}", *lines, f"end {d}"])) for d in range(6)]
+    docs = spark.createDataFrame(rows, "key bigint, text string").selectExpr("key", "xxhash64(text) mark", "text")
+    found = {r["key"]: r["places"] for r in line_dedup.repeats(docs).collect()}
+    n_chunks = len(line_dedup.Cut("\n".join(lines)).chunks)
+    for d, places in found.items():
+        chunks = [p for p in places if p["kind"] == line_dedup.CHUNK]
+        pairs = [p for p in places if p["kind"] == line_dedup.PAIR]
+        assert all(p["later"] == (d > 0) for p in places)
+        assert len(chunks) > 0.5 * n_chunks
+        assert d == 0 or len(pairs) < 200
 
 
 def plain_runs(texts):
@@ -744,7 +778,7 @@ def test_line_dedup_removes_whole_runs(spark):
     texts += [texts[0], ["a"] * 4, ["b", "c"], ["z", "b"], ["b", "c", "z", "b"]]
     rows = [(d, "\n".join(lines)) for d, lines in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = dict(texts_of(line_dedup.deduplicated(df, pieces=line_dedup.runs)))
+    got = dict(texts_of(line_dedup.deduplicated(df)))
     assert [got[d] for d in range(len(texts))] == plain_runs(texts)
     kept = {x for t in got.values() for x in t.split("\n")}
     assert {x for lines in texts for x in lines} == kept - {""}
@@ -752,7 +786,7 @@ def test_line_dedup_removes_whole_runs(spark):
     assert sums == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in got.items()}
     blank = [(1, "a\n\nb\nc"), (2, "x\na\n\nb\ny"), (3, "p\n\nq"), (4, "r\n\ns")]
     df = spark.createDataFrame(blank, "doc_id bigint, text string")
-    got = dict(texts_of(line_dedup.deduplicated(df, pieces=line_dedup.runs)))
+    got = dict(texts_of(line_dedup.deduplicated(df)))
     assert got == {1: "a\n\nb\nc", 2: "x\ny", 3: "p\n\nq", 4: "r\n\ns"}
 
 

@@ -197,9 +197,11 @@ def running(
 ONE_IN = 2_000
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
-    """Inner join of ``rows`` with ``table`` (one row per key, ``count`` saying
-    how many of ``rows`` have the key), when some keys are very frequent.
+def look_up(
+    rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner"
+) -> DataFrame:
+    """Join (inner or left) of ``rows`` with ``table`` (one row per key, ``count``
+    saying how many of ``rows`` have the key), when some keys are very frequent.
 
     Frequent keys, at most ONE_IN of them by definition, are broadcast with
     their entries; the others are shuffled, none with more than 1 / ONE_IN of
@@ -207,11 +209,11 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFram
     """
     total = table.agg(F.sum(count)).first()[0] or 0
     if not total:
-        return rows.join(table.drop(count), key)
+        return rows.join(table.drop(count), key, how)
     hot = table.where(F.col(count) * ONE_IN >= F.lit(total))
     rest = table.where(F.col(count) * ONE_IN < F.lit(total)).drop(count)
     if hot.isEmpty():
-        return rows.join(rest, key)
+        return rows.join(rest, key, how)
     names = F.broadcast(hot.select(key))
     frequent = rows.join(F.broadcast(hot.drop(count)), key)
-    return frequent.unionByName(rows.join(names, key, "left_anti").join(rest, key))
+    return frequent.unionByName(rows.join(names, key, "left_anti").join(rest, key, how))

@@ -2,25 +2,29 @@
 
 A passage is a run of two or more lines that hold words, with the blank lines
 between them, or one line of more than ``LONG`` words; shorter single lines stay.
-It is found by its pieces (``runs``): every line with the next one, and every long
-line alone. A run of lines is shared exactly if all its pieces are, so the lines
-that go are those of every run, in its full length, that an earlier place has
-(least id, then place), whatever stands around it: no boundary has to agree. By
-the same order each line that goes stays somewhere. Where a line repeats within
-its own run (a, a, a), the first stays.
-
-Pieces are met by a 128-bit hash, of narrow rows that are added up before they
-are shuffled; what repeats is then compared byte by byte: per hash the least and
-the greatest text are taken (also added up before the shuffle), and a hash that
-stands for different texts is left alone. Texts are shuffled once, to be joined
-with the places of their repeated pieces. A piece that is very frequent is looked
+The lines that go are those of every run, in its full length, that an earlier place
+has (least id, then place), whatever stands around it. By the same order each line
+that goes stays somewhere. Where a line repeats within its own run (a, a, a), the
+first stays.
+
+Lines are cut into content-defined chunks: a hash that rolls over the hashes of
+``ROLL`` lines ends a chunk after each line where it is divisible by ``MEAN``, so
+chunks of a shared passage agree whatever stands before it. Chunks of two lines and
+more that repeat go but for their first place. A chunk that has no copy may still
+have a part in common with another, at its ends or as a short passage that holds no
+boundary. So what is left, first places and the seams between chunks too, is met in
+the least chunks there are, each line with the next one and each long line alone:
+a run of lines is shared exactly if all its pairs are. The chunks take whole
+passages and copies out beforehand; that changes no result, for the first place of
+each pair is in a first place of its chunk.
+
+Chunks and pairs are met by a 128-bit hash, of narrow rows that are added up before
+they are shuffled; what repeats is then compared byte by byte: per hash the least
+and the greatest text are taken (also added up before the shuffle), and a hash that
+stands for different texts is left alone. Texts are shuffled once, to be joined with
+the places of what repeats in them. A chunk or pair that is very frequent is looked
 up apart.
 
-``found`` cuts content-defined chunks instead, each line in one piece: a hash that
-rolls over the hashes of ``ROLL`` lines ends a chunk after each line where it is
-divisible by ``MEAN``. That needs fewer rows, but meets a passage only where a
-whole chunk lies in it; no query uses it.
-
 A null text has no lines and stays null; a document of which everything goes
 stays with an empty text; rows with equal id and text are one document, all of
 them stay or lose the same; an empty table gives an empty result. Other columns
@@ -29,7 +33,7 @@ are carried along unread.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -44,56 +48,82 @@ ROLL = 2
 MEAN = 4
 LONG = 50  # words; a line of more is a passage by itself
 
-# First line, end and bytes of each piece of a text, in order.
-Pieces = Callable[[str | None], Iterator[tuple[int, int, bytes]]]
-
-
-def chunks(lines: list[bytes]) -> Iterator[tuple[int, int]]:
-    """First line and end of each chunk."""
-    begin, last = 0, [0] * ROLL
-    for i, line in enumerate(lines):
-        last = [*last[1:], xxhash.xxh64_intdigest(line, ROLL)]
-        rolled = sum(h * (2 * k + 3) for k, h in enumerate(last)) % 2**64
-        if (rolled >> 20) % MEAN == 0 or i + 1 == len(lines):
-            yield begin, i + 1
-            begin = i + 1
-
-
-def found(text: str | None) -> Iterator[tuple[int, int, bytes]]:
-    """Chunks of two lines and more, with their bytes."""
-    lines = (text or "").encode().split(b"\n")
-    for a, b in chunks(lines):
-        if b - a > 1:
-            yield a, b, b"\n".join(lines[a:b])
-
-
-def runs(text: str | None) -> Iterator[tuple[int, int, bytes]]:
-    """Each line that holds words with the next one, and alone if it is long."""
-    lines = (text or "").encode().split(b"\n")
-    before = -1
-    for i, line in enumerate(lines):
-        n = len(line.split())
-        if not n:
-            continue
-        if before >= 0:
-            yield before, i + 1, b"\n".join(lines[before : i + 1])
-        if n > LONG:
-            yield i, i + 1, line
-        before = i
-
-
-def places(docs: DataFrame, pieces: Pieces = found) -> DataFrame:
-    """``key, mark, begin, h`` of each piece of ``key, mark, text``; ``begin`` is
-    its number in the text."""
-
-    def cut(batches):
+CHUNK, PAIR = 0, 1
+
+
+class Cut:
+    """Chunks and pairs of a text, as (first line, end) in their order.
+
+    ``chunks`` has all of them, also of one line; ``inner`` and ``seams`` have, per
+    chunk, the numbers of the pairs (and long lines) that lie in it, and of those
+    that run into the next one or are all that a chunk of one line has.
+    """
+
+    def __init__(self, text: str | None):
+        self.lines = (text or "").encode().split(b"\n")
+        full = [i for i, line in enumerate(self.lines) if line.strip(b" \t\n\x0b\x0c\r")]
+        self.chunks: list[tuple[int, int]] = []
+        self.pairs: list[tuple[int, int]] = []
+        self.inner: list[list[int]] = []
+        self.seams: list[list[int]] = []
+        begin, last, own = 0, [0] * ROLL, []
+        for j, i in enumerate(full):
+            line = self.lines[i]
+            if j:
+                # A pair with the line before: a seam of the last chunk, or inner.
+                (own if j > begin else self.seams[-1]).append(len(self.pairs))
+                self.pairs.append((full[j - 1], i + 1))
+            if len(line.split()) > LONG:
+                own.append(len(self.pairs))
+                self.pairs.append((i, i + 1))
+            last = [*last[1:], xxhash.xxh64_intdigest(line, ROLL)]
+            rolled = sum(h * (2 * k + 3) for k, h in enumerate(last)) % 2**64
+            if (rolled >> 20) % MEAN == 0 or j + 1 == len(full):
+                alone = j == begin
+                self.chunks.append((full[begin], i + 1))
+                self.inner.append([] if alone else own)
+                self.seams.append(own if alone else [])
+                begin, own = j + 1, []
+
+    def bytes_of(self, kind: int, number: int) -> bytes:
+        a, b = self.span(kind, number)
+        return b"\n".join(self.lines[a:b])
+
+    def span(self, kind: int, number: int) -> tuple[int, int]:
+        return (self.chunks if kind == CHUNK else self.pairs)[number]
+
+
+PIECES = "array<struct<begin: bigint, h: binary>>"
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """One row per chunk of ``key, mark, text``: its number ``begin``, its hash
+    ``h`` (null for one line), and number and hash of its ``inner`` pairs and
+    ``seams``."""
+
+    def listed(found: list[list[tuple[int, bytes]]]) -> pa.Array:
+        flat = [piece for some in found for piece in some]
+        ends = [0]
+        for some in found:
+            ends.append(ends[-1] + len(some))
+        pieces = pa.StructArray.from_arrays(
+            [pa.array([k for k, _ in flat], pa.int64()), pa.array([h for _, h in flat], pa.binary())],
+            names=["begin", "h"],
+        )
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, begin, hashes = [], [], []
+            row, begin, hashes, inner, seams = [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
-                for k, (_, _, piece) in enumerate(pieces(text.as_py())):
+                own = Cut(text.as_py())
+                pairs = [xxhash.xxh3_128_digest(own.bytes_of(PAIR, k)) for k in range(len(own.pairs))]
+                for c, (within, between) in enumerate(zip(own.inner, own.seams, strict=True)):
                     row.append(i)
-                    begin.append(k)
-                    hashes.append(xxhash.xxh3_128_digest(piece))
+                    begin.append(c)
+                    hashes.append(xxhash.xxh3_128_digest(own.bytes_of(CHUNK, c)) if within else None)
+                    inner.append([(k, pairs[k]) for k in within])
+                    seams.append([(k, pairs[k]) for k in between])
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -101,12 +131,16 @@ def places(docs: DataFrame, pieces: Pieces = found) -> DataFrame:
                     batch.column(1).take(at),
                     pa.array(begin, pa.int64()),
                     pa.array(hashes, pa.binary()),
+                    listed(inner),
+                    listed(seams),
                 ],
-                names=["key", "mark", "begin", "h"],
+                names=["key", "mark", "begin", "h", "inner", "seams"],
             )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(cut, f"key {kind}, mark bigint, begin bigint, h binary")
+    return docs.mapInArrow(
+        cut, f"key {kind}, mark bigint, begin bigint, h binary, inner {PIECES}, seams {PIECES}"
+    )
 
 
 def place() -> Column:
@@ -114,34 +148,52 @@ def place() -> Column:
     return F.struct(F.col("key").isNull().alias("none"), "key", "mark", "begin")
 
 
-def repeats(docs: DataFrame, pieces: Pieces = found) -> DataFrame:
-    """Per document the places of pieces that repeat: ``key, mark, places`` with
-    structs of number, hash, and whether it is a later one."""
-    at = written(places(docs, pieces))
-    first = written(
-        at.groupBy("h").agg(F.count("*").alias("n"), F.min(place()).alias("first")).where("n > 1")
+def first_places(rows: DataFrame) -> DataFrame:
+    """``h, n, first`` of what has more than one place."""
+    return written(
+        rows.groupBy("h").agg(F.count("*").alias("n"), F.min(place()).alias("first")).where("n > 1")
+    )
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Per document what repeats in it: ``key, mark, places`` with structs of kind,
+    number, hash, and whether it is a later place."""
+    at = written(places(docs))
+    alone = at.where("h is null").withColumns({"repeated": F.lit(False), "later": F.lit(False)})
+    several = at.where("h is not null")
+    known = look_up(several, first_places(several), "h", "n", "left").withColumns(
+        {
+            "repeated": F.col("first").isNotNull(),
+            "later": F.coalesce(place() != F.col("first"), F.lit(False)),
+        }
     )
-    later = look_up(at, first, "h", "n").withColumn("later", place() != F.col("first"))
+    # Of a later place only the seams are left to be looked at.
+    left = F.when(F.col("later"), F.col("seams")).otherwise(F.concat("inner", "seams"))
+    chunks = written(
+        known.drop("first").unionByName(alone).select("key", "mark", "begin", "h", "repeated", "later", left.alias("pieces"))
+    )
+    pairs = chunks.select("key", "mark", F.explode("pieces").alias("piece")).select("key", "mark", "piece.*")
+    later = look_up(pairs, first_places(pairs), "h", "n").withColumn("later", place() != F.col("first"))
+    found = chunks.where("repeated").select("key", "mark", F.lit(CHUNK).alias("kind"), "begin", "h", "later")
+    found = found.unionByName(later.select("key", "mark", F.lit(PAIR).alias("kind"), "begin", "h", "later"))
     # As long as the document has pieces; repeated rows give a place more than once.
-    return later.groupBy("key", "mark").agg(
-        F.collect_set(F.struct("begin", "h", "later")).alias("places")
+    return found.groupBy("key", "mark").agg(
+        F.collect_set(F.struct("kind", "begin", "h", "later")).alias("places")
     )
 
 
-def unlike(rows: DataFrame, pieces: Pieces = found) -> list[bytes]:
+def unlike(rows: DataFrame) -> list[bytes]:
     """Hashes that stand for different texts. None in practice: the chance is
     the square of the number of pieces in 2^128."""
 
-    def repeated(batches):
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                starts = {p["begin"]: p["h"] for p in wanted.as_py()}
-                own = enumerate(pieces(text.as_py()))
-                met = [(starts[k], piece) for k, (_, _, piece) in own if k in starts]
-                if met:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, pa.binary()) for x in zip(*met, strict=True)], names=["h", "piece"]
-                    )
+                own = Cut(text.as_py())
+                met = [(p["h"], own.bytes_of(p["kind"], p["begin"])) for p in wanted.as_py()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.binary()) for x in zip(*met, strict=True)], names=["h", "piece"]
+                )
 
     compared = (
         rows.select("text", "places")
@@ -153,14 +205,13 @@ def unlike(rows: DataFrame, pieces: Pieces = found) -> list[bytes]:
     return [bytes(r["h"]) for r in compared.where("a <> b").select("h").collect()]
 
 
+DONE = "text string, n_lines bigint, n_removed bigint, n_chunks bigint"
+
+
 def deduplicated(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    report: str | None = None,
-    pieces: Pieces = found,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", report: str | None = None
 ) -> DataFrame:
-    """All rows and columns, the text without repeated pieces; if asked for, a
+    """All rows and columns, the text without repeated passages; if asked for, a
     column ``report``, a struct of n_lines, n_removed (lines) and n_chunks (stretches
     of lines removed)."""
     others = [c for c in docs.columns if c not in (key, text)]
@@ -171,29 +222,38 @@ def deduplicated(
         F.col(text).alias("text"),
         held.alias("others"),
     )
-    wanted = repeats(rows.select("key", "mark", "text"), pieces).withColumnsRenamed(
+    wanted = repeats(rows.select("key", "mark", "text")).withColumnsRenamed(
         {"key": "its_key", "mark": "its_mark"}
     )
     same = F.col("key").eqNullSafe(F.col("its_key")) & (F.col("mark") == F.col("its_mark"))
     joined = written(rows.join(wanted, same, "left").drop("its_key", "its_mark", "mark"))
-    left_alone = set(unlike(joined, pieces))
+    left_alone = set(unlike(joined))
 
-    @F.udf("struct<text: string, n_lines: bigint, n_removed: bigint, n_chunks: bigint>", useArrow=True)
-    def without(text, wanted):
+    def cleaned(text: str | None, wanted: list[dict] | None) -> tuple:
         if text is None:
             return None, 0, 0, 0
+        later = [p for p in wanted or () if p["later"] and bytes(p["h"]) not in left_alone]
         lines = text.split("\n")
-        cut = {p["begin"] for p in wanted or () if p["later"] and bytes(p["h"]) not in left_alone}
-        if not cut:
+        if not later:
             return text, len(lines), 0, 0
-        gone = [False] * len(lines)
-        for k, (a, b, _) in enumerate(pieces(text)):
-            if k in cut:
-                gone[a:b] = [True] * (b - a)
+        own, gone = Cut(text), [False] * len(lines)
+        for p in later:
+            a, b = own.span(p["kind"], p["begin"])
+            gone[a:b] = [True] * (b - a)
         keep = [line for line, off in zip(lines, gone, strict=True) if not off]
         n_chunks = sum(off and not before for before, off in zip([False, *gone], gone))
         return "\n".join(keep), len(lines), sum(gone), n_chunks
 
+    @F.arrow_udf(f"struct<{DONE}>")
+    def without(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+        done = [cleaned(t.as_py(), w.as_py()) for t, w in zip(texts, wanted, strict=True)]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        names = [part.split()[0] for part in DONE.split(", ")]
+        columns = list(zip(*done, strict=True)) or [()] * len(names)
+        return pa.StructArray.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names
+        )
+
     done = joined.withColumn("done", without("text", "places"))
     back = [
         F.col("key").alias(c) if c == key
@@ -208,7 +268,7 @@ def deduplicated(
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_lines, n_removed, n_chunks, kept_sha256."""
-    done = deduplicated(docs.select(key, text), key, text, "report", runs)
+    done = deduplicated(docs.select(key, text), key, text, "report")
     return done.select(
         key, "report.*", F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("kept_sha256")
     )
