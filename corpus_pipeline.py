@@ -1,8 +1,9 @@
 """From raw documents to a mixed training set, one operator a stage.
 
 Each stage works on what the one before kept; all but the last return the columns
-of ``documents``. A document is known by its id: rows with one id stay or go
-together. Rows without an id cannot be told apart by it and stay or go as a group.
+of ``documents``. A document is known by its id and its text, so a decision on one
+concerns no other, even where ids are null or repeat. Rows with the same id and text
+are judged alike; near-dedup keeps one of them.
 """
 
 from __future__ import annotations
@@ -16,16 +17,27 @@ from triplemill.llm import decontamination, line_dedup, mixing, quality, simhash
 from triplemill.llm.common import read
 from triplemill.plans.scratch import written
 
+ROW = "_row"
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose id is (left_semi) or is not (left_anti) among ``ids``."""
-    ids = ids.select(F.col("doc_id").alias("its_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("its_id")), how)
+
+def _known(docs: DataFrame) -> DataFrame:
+    """Documents with what they are known by: ``row``, a null id last."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", mark.alias("mark"))
+    return docs.withColumn(ROW, row)
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents that are not among ``rows`` (their ``row`` column)."""
+    gone = rows.select(*(F.col(ROW)[name].alias(f"its_{name}") for name in ("doc_id", "mark"))).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("its_doc_id")) & (F.col(f"{ROW}.mark") == F.col("its_mark"))
+    return docs.join(gone, same, "left_anti").drop(ROW)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers."""
-    return _only(docs, quality.judged(docs).where("not kept"), "left_anti")
+    known = _known(docs)
+    return _without(known, quality.judged(known, ROW).where("not kept"))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +48,17 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates."""
-    groups = simhash.near_texts(docs)
-    return _only(docs, groups.where("doc_id <> component_id"), "left_anti")
+    known = _known(docs)
+    groups = written(simhash.near_texts(known, ROW))
+    kept = _without(known, groups.where(f"{ROW} <> component_id"))
+    equal = groups.groupBy(ROW).agg(F.count("*").alias("n")).where("n > 1")
+    return kept if equal.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    leaks = decontamination.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    return _only(docs, leaks, "left_anti")
+    known = _known(docs)
+    return _without(known, decontamination.contaminated(known, read(spark, sf_dir, "benchmark"), ROW))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
