@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from triplemill.llm import (
+    anchors,
     bwt,
     chat,
     components,
@@ -493,7 +494,7 @@ def plain_removed(rows, length=50):
     return sorted(out, key=repr)
 
 
-def test_suffix_dedup(spark, odd, documents, monkeypatch):
+def test_suffix_dedup(spark, odd, documents):
     rng = random.Random(9)
     shared = "".join(rng.choices("abcdef ", k=90))
     made = []
@@ -507,6 +508,28 @@ def test_suffix_dedup(spark, odd, documents, monkeypatch):
     assert suffix_dedup.digests(odd.limit(0)).count() == 0
 
 
+def test_suffix_dedup_over_many_buckets(spark, documents, monkeypatch):
+    """As in one bucket, also where a sample has more contexts than are merged."""
+    rng = random.Random(14)
+    grams = ["".join(rng.choices("abcdefgh", k=anchors.SIZE)) for _ in range(20_000)]
+    common = min(grams, key=lambda g: int(anchors.grams(np.frombuffer(g.encode(), np.uint8))[0]))
+    n = suffix_dedup.HOT + 900
+    around = ["".join(rng.choices("ijkl", k=30)) for _ in range(60)]
+    made = []
+    for i in range(n):
+        left = "".join(rng.choices("mnop", k=20)) + rng.choice(around)[10:] if i % 3 else rng.choice(around)
+        right = "".join(rng.choices("qrst", k=30)) if i % 2 else rng.choice(around)
+        made.append((i if i % 7 else None, left + common + right))
+    hot = spark.createDataFrame(made, "doc_id bigint, text string")
+    assert len({t for _, t in made}) > suffix_dedup.HOT
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 30_000)
+    for df in (documents, hot):
+        want = plain_removed(texts_of(df))
+        assert rows_of(suffix_dedup.digests(df), *names) == want
+        assert sum(r[2] for r in want) > 0
+
+
 def test_halved_contexts_share_what_they_shared():
     rng = random.Random(10)
     texts = ["".join(rng.choices("ab", k=30)) + "q" * 20 + "".join(rng.choices("ab", k=30)) for _ in range(20)]
