@@ -332,6 +332,29 @@ def test_url_scores_against_dictionaries(spark, sf):
     assert all(abs(score(urls[r["page_id"]]) - r["score"]) < 1e-4 for r in got)
 
 
+def test_url_verdicts_on_a_table(spark):
+    """Pages without a rule are judged by one threshold, and none has fewer errors on
+    the ruled pages held back."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    got = url_filter.judged(pages).collect()
+    urls = {r["page_id"]: r["url"] for r in pages.collect()}
+    marks = {r["url"]: r["m"] for r in pages.select("url", F.pmod(F.xxhash64("url"), F.lit(url_filter.HELD_OUT)).alias("m")).collect()}
+    step = lambda r: int(np.floor(r["score"] * url_filter.STEP + 1e-9))
+    free = [(step(r), r["verdict"] == "allow") for r in got if r["rule"] is None]
+    low, high = max((s for s, ok in free if not ok), default=None), min((s for s, ok in free if ok), default=None)
+    assert free and (low is None or high is None or low <= high)
+    held = [(step(r), r["verdict"] == "allow") for r in got if r["rule"] and not marks[urls[r["page_id"]]]]
+    n_good = sum(ok for _, ok in held)
+    n_bad = len(held) - n_good
+
+    def errors(cut):
+        return sum(s < cut for s, ok in held if ok) * n_bad + sum(s >= cut for s, ok in held if not ok) * n_good
+
+    cuts = sorted({s for s, _ in held} | {s + 1 for s, _ in held})
+    own = [c for c in cuts if (low is None or c > low - 1) and (high is None or c <= high + 1)]
+    assert held and min(map(errors, own), default=0) == min(map(errors, cuts))
+
+
 def test_url_threshold_separates(spark):
     df = spark.createDataFrame([(True, 5), (True, 6), (True, 2), (False, 1), (False, 3)], "allowed boolean, step int")
     assert url_filter.threshold(df) in (2, 4, 5)
