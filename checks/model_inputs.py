@@ -114,6 +114,19 @@ def _(spark, sf):
     )
 
 
+# By a table of encoded words: their characters' code points, which SQL knows, too.
+@query("encode_by_words_f11", f"""with t as (select doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '{WORD}+|{SYMBOL}+'), '') as words from documents)
+select doc_id, array_to_string(list_transform(string_split(words, ''), lambda c: unicode(c)), ' ') as ids, length(words)::int as n from t where words <> ''
+union all select doc_id, '', 0 from t where words = ''""")
+def _(spark, sf):
+    docs = documents(spark, sf)
+    words = vocab.pretoken_counts(docs)
+    chars = F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))
+    encoded = words.withColumn("ids", F.transform(chars, F.ascii))
+    coded = vocab.encode_by_words(docs, encoded, "doc_id")
+    return coded.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), F.size("ids").alias("n"))
+
+
 @query("encoded_examples_p11_f10")
 def _(spark, sf):
     # Learned on the corpus of all examples, as in training.

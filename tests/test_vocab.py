@@ -187,6 +187,18 @@ def test_same_ids_as_the_library(spark, corpus, library, learned):
         assert r["ids"] == library.encode(r["text"]).ids, r["text"][:80]
 
 
+@pytest.mark.parametrize("hot_words", [20_000, 50, 1])
+def test_same_ids_by_words(spark, corpus, learned, monkeypatch, hot_words):
+    monkeypatch.setattr(vocab, "HOT_WORDS", hot_words)
+    docs = corpus.withColumn("key", F.when(F.monotonically_increasing_id() > 0, F.monotonically_increasing_id()))
+    docs = docs.unionByName(spark.createDataFrame([(None, -1), ("", -2)], "text string, key bigint")).cache()
+    encoder = vocab.word_encoder(spark, *learned)
+    words = vocab.encoded_words(vocab.pretoken_counts(docs, C.SPECIAL_TOKENS), encoder)
+    got = {r["key"]: r["ids"] for r in vocab.encode_by_words(docs, words, "key", special=C.SPECIAL_TOKENS).collect()}
+    want = docs.select("key", vocab.encode_text(encoder, F.col("text")).alias("ids")).collect()
+    assert got == {r["key"]: r["ids"] for r in want} and len(want) > 200
+
+
 def test_pad_is_needed(spark):
     with pytest.raises(ValueError):
         vocab.token_ids(["<unk>", "a"])
