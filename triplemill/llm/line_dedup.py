@@ -54,9 +54,10 @@ CHUNK, PAIR = 0, 1
 class Cut:
     """Chunks and pairs of a text, as (first line, end) in their order.
 
-    ``chunks`` has all of them, also of one line; ``inner`` and ``seams`` have, per
-    chunk, the numbers of the pairs (and long lines) that lie in it, and of those
-    that run into the next one or are all that a chunk of one line has.
+    ``chunks`` has all of them, also of one line. ``pairs`` (and long lines) are
+    numbered; each chunk in turn has those that lie in it, of which there are
+    ``inner``, and then ``seams``, that run into the next one or are all that a chunk
+    of one line has.
     """
 
     def __init__(self, text: str | None):
@@ -64,26 +65,29 @@ class Cut:
         full = [i for i, line in enumerate(self.lines) if line.strip(b" \t\n\x0b\x0c\r")]
         self.chunks: list[tuple[int, int]] = []
         self.pairs: list[tuple[int, int]] = []
-        self.inner: list[list[int]] = []
-        self.seams: list[list[int]] = []
-        begin, last, own = 0, [0] * ROLL, []
+        self.inner: list[int] = []
+        self.seams: list[int] = []
+        begin, last, own = 0, [0] * ROLL, 0
         for j, i in enumerate(full):
             line = self.lines[i]
             if j:
                 # A pair with the line before: a seam of the last chunk, or inner.
-                (own if j > begin else self.seams[-1]).append(len(self.pairs))
+                if j > begin:
+                    own += 1
+                else:
+                    self.seams[-1] += 1
                 self.pairs.append((full[j - 1], i + 1))
             if len(line.split()) > LONG:
-                own.append(len(self.pairs))
+                own += 1
                 self.pairs.append((i, i + 1))
             last = [*last[1:], xxhash.xxh64_intdigest(line, ROLL)]
             rolled = sum(h * (2 * k + 3) for k, h in enumerate(last)) % 2**64
             if (rolled >> 20) % MEAN == 0 or j + 1 == len(full):
                 alone = j == begin
                 self.chunks.append((full[begin], i + 1))
-                self.inner.append([] if alone else own)
-                self.seams.append(own if alone else [])
-                begin, own = j + 1, []
+                self.inner.append(0 if alone else own)
+                self.seams.append(own if alone else 0)
+                begin, own = j + 1, 0
 
     def bytes_of(self, kind: int, number: int) -> bytes:
         a, b = self.span(kind, number)
@@ -93,53 +97,41 @@ class Cut:
         return (self.chunks if kind == CHUNK else self.pairs)[number]
 
 
-PIECES = "array<struct<begin: bigint, h: binary>>"
+HASH = 16
 
 
 def places(docs: DataFrame) -> DataFrame:
     """One row per chunk of ``key, mark, text``: its number ``begin``, its hash
-    ``h`` (null for one line), and number and hash of its ``inner`` pairs and
-    ``seams``."""
-
-    def listed(found: list[list[tuple[int, bytes]]]) -> pa.Array:
-        flat = [piece for some in found for piece in some]
-        ends = [0]
-        for some in found:
-            ends.append(ends[-1] + len(some))
-        pieces = pa.StructArray.from_arrays(
-            [pa.array([k for k, _ in flat], pa.int64()), pa.array([h for _, h in flat], pa.binary())],
-            names=["begin", "h"],
-        )
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)
+    ``h`` (null for one line), the number of its ``first`` pair, how many are
+    ``inner``, and the hashes of these and of its seams end to end."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, begin, hashes, inner, seams = [], [], [], [], []
+            row, found = [], []
             for i, text in enumerate(batch.column(2)):
-                own = Cut(text.as_py())
-                pairs = [xxhash.xxh3_128_digest(own.bytes_of(PAIR, k)) for k in range(len(own.pairs))]
-                for c, (within, between) in enumerate(zip(own.inner, own.seams, strict=True)):
+                own, first = Cut(text.as_py()), 0
+                pairs = b"".join(xxhash.xxh3_128_digest(own.bytes_of(PAIR, k)) for k in range(len(own.pairs)))
+                for c, (inner, seams) in enumerate(zip(own.inner, own.seams, strict=True)):
                     row.append(i)
-                    begin.append(c)
-                    hashes.append(xxhash.xxh3_128_digest(own.bytes_of(CHUNK, c)) if within else None)
-                    inner.append([(k, pairs[k]) for k in within])
-                    seams.append([(k, pairs[k]) for k in between])
+                    whole = xxhash.xxh3_128_digest(own.bytes_of(CHUNK, c)) if inner else None
+                    last = first + inner + seams
+                    found.append((c, whole, first, inner, pairs[first * HASH : last * HASH]))
+                    first = last
             at = pa.array(row, pa.int64())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+            columns = list(zip(*found, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(at),
                     batch.column(1).take(at),
-                    pa.array(begin, pa.int64()),
-                    pa.array(hashes, pa.binary()),
-                    listed(inner),
-                    listed(seams),
+                    *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)),
                 ],
-                names=["key", "mark", "begin", "h", "inner", "seams"],
+                names=["key", "mark", "begin", "h", "first", "inner", "pairs"],
             )
 
     kind = docs.schema["key"].dataType.simpleString()
     return docs.mapInArrow(
-        cut, f"key {kind}, mark bigint, begin bigint, h binary, inner {PIECES}, seams {PIECES}"
+        cut, f"key {kind}, mark bigint, begin bigint, h binary, first bigint, inner int, pairs binary"
     )
 
 
@@ -149,9 +141,9 @@ def place() -> Column:
 
 
 def first_places(rows: DataFrame) -> DataFrame:
-    """``h, n, first`` of what has more than one place."""
+    """``h, n, least`` of what has more than one place."""
     return written(
-        rows.groupBy("h").agg(F.count("*").alias("n"), F.min(place()).alias("first")).where("n > 1")
+        rows.groupBy("h").agg(F.count("*").alias("n"), F.min(place()).alias("least")).where("n > 1")
     )
 
 
@@ -163,18 +155,35 @@ def repeats(docs: DataFrame) -> DataFrame:
     several = at.where("h is not null")
     known = look_up(several, first_places(several), "h", "n", "left").withColumns(
         {
-            "repeated": F.col("first").isNotNull(),
-            "later": F.coalesce(place() != F.col("first"), F.lit(False)),
+            "repeated": F.col("least").isNotNull(),
+            "later": F.coalesce(place() != F.col("least"), F.lit(False)),
         }
     )
     # Of a later place only the seams are left to be looked at.
-    left = F.when(F.col("later"), F.col("seams")).otherwise(F.concat("inner", "seams"))
-    chunks = written(
-        known.drop("first").unionByName(alone).select("key", "mark", "begin", "h", "repeated", "later", left.alias("pieces"))
+    gone = F.when(F.col("later"), F.col("inner")).otherwise(0)
+    both = known.drop("least").unionByName(alone).select(
+        "key",
+        "mark",
+        "begin",
+        F.when(F.col("repeated"), F.col("h")).alias("h"),
+        "later",
+        (F.col("first") + gone).alias("first"),
+        F.substr("pairs", gone * HASH + 1).alias("pairs"),
+    )
+    chunks = written(both.where("h is not null or length(pairs) > 0"))
+    number = F.explode(F.sequence(F.lit(0), (F.length("pairs") / HASH).cast("int") - 1)).alias("i")
+    pairs = (
+        chunks.where("length(pairs) > 0")
+        .select("key", "mark", "first", "pairs", number)
+        .select(
+            "key",
+            "mark",
+            (F.col("first") + F.col("i")).alias("begin"),
+            F.substr("pairs", F.col("i") * HASH + 1, F.lit(HASH)).alias("h"),
+        )
     )
-    pairs = chunks.select("key", "mark", F.explode("pieces").alias("piece")).select("key", "mark", "piece.*")
-    later = look_up(pairs, first_places(pairs), "h", "n").withColumn("later", place() != F.col("first"))
-    found = chunks.where("repeated").select("key", "mark", F.lit(CHUNK).alias("kind"), "begin", "h", "later")
+    later = look_up(pairs, first_places(pairs), "h", "n").withColumn("later", place() != F.col("least"))
+    found = chunks.where("h is not null").select("key", "mark", F.lit(CHUNK).alias("kind"), "begin", "h", "later")
     found = found.unionByName(later.select("key", "mark", F.lit(PAIR).alias("kind"), "begin", "h", "later"))
     # As long as the document has pieces; repeated rows give a place more than once.
     return found.groupBy("key", "mark").agg(
