@@ -210,7 +210,7 @@ def test_pairing_shuffles_triples_once(spark, sf):
 def test_triples_without_text_are_not_shuffled(spark, sf):
     """One exchange of triples, and only of those whose entity may have a text."""
     tri, txt = triples_of(spark, sf), texts_of(spark, sf).where("film rlike '[0-4]$'")
-    wanted, hot, left_out = pairing.wanted_triples(tri, txt)
+    wanted, hot, left_out, _ = pairing.wanted_triples(tri, txt)
     with_text = tri.join(txt.select("film").distinct(), "film", "left_semi")
     assert hot is None and with_text.count() <= wanted.count() < 0.8 * tri.count()
     assert with_text.exceptAll(wanted).count() == 0
@@ -225,7 +225,7 @@ def test_audit_is_observed_in_one_pass(spark, sf):
     tri, txt = triples_of(spark, sf), texts_of(spark, sf).where("film rlike '[0-4]$'")
     want = pairing.pairing_audit(pairing.pair_flags(tri, txt, 25)).first()
     for hot_rows in (10**6, 28):
-        made, audit = pairing.audited_records(tri, txt, 25, hot_rows)
+        made, audit, _ = pairing.audited_records(tri, txt, 25, hot_rows)
         if hot_rows > 28:
             # Triples, and texts: nothing is shuffled twice for the audit.
             assert plan(made).count("Exchange hashpartitioning") == 2
@@ -241,10 +241,10 @@ def test_audit_of_odd_entities(spark):
     for texts in ([("a", "t", 0), ("b", "t", 0), ("z", "t", 0), (None, "t", 0), ("c", " ", 1)], []):
         table = spark.createDataFrame(texts, TEXT)
         tri = pairing.directed(raw)
-        made, audit = pairing.audited_records(tri, table, 3)
+        made, audit, _ = pairing.audited_records(tri, table, 3)
         assert written(made).count() == len(texts[:1])
         assert audit().first() == pairing.pairing_audit(pairing.pair_flags(tri, table, 3)).first()
-    made, audit = pairing.audited_records(tri.limit(0), table, 3)
+    made, audit, _ = pairing.audited_records(tri.limit(0), table, 3)
     assert written(made).count() == 0 and tuple(audit().first()) == (0, 0, 0)
 
 

@@ -149,6 +149,48 @@ def test_jobs_leave_no_tables_behind(spark, sf, tmp_path):
     assert tables(spark) == before
 
 
+@pytest.mark.parametrize("max_tokens", [None, 400])
+def test_entities_in_parts_are_the_same(spark, tmp_path, max_tokens):
+    """Put end to end, what is written in parts equals the rows of whole entities."""
+    sf = "/root/testdata/sf0.01"  # its entities have up to 41 distinct triples
+    raw = spark_view(spark, sf, "raw_triples"), spark_view(spark, sf, "raw_texts").where("film rlike '[0-6]$'")
+    outs = [str(tmp_path / name) for name in ("whole", "parts")]
+    jobs.build_dataset(*raw, outs[0], min_triples=25, max_tokens=max_tokens)
+    jobs.build_dataset(*raw, outs[1], min_triples=25, max_tokens=max_tokens, long_rows=30)
+    assert not (tmp_path / "whole" / "pairs_in_parts").exists()
+    ordered = lambda df: sorted(map(tuple, df.collect()), key=repr)
+
+    def read(kind, name, schema):
+        path = f"{outs[kind == 'parts']}/{name}"
+        return jsonl.read_jsonl(spark, path, schema)
+
+    audits = [spark.read.json(f"{out}/audit").first() for out in outs]
+    assert audits[0] == audits[1] and audits[0]["no_text"] > 0
+    lists = "film string, split string"
+    assert ordered(read("whole", "splits", lists)) == ordered(read("parts", "splits", lists))
+
+    pairs = "film string, split string, text string, n_triples int, triples array<array<string>>"
+    own = read("parts", "pairs_in_parts", pairs + ", part int")
+    assert own.agg(F.max("part")).first()[0] >= 1 and own.where("size(triples) > 30").count() == 0
+    whole = own.groupBy("film", "split").agg(
+        F.max("text").alias("text"),
+        F.max("n_triples").alias("n_triples"),
+        F.flatten(F.sort_array(F.collect_list(F.struct("part", "triples")))["triples"]).alias("triples"),
+    )
+    both = whole.unionByName(read("parts", "pairs", pairs))
+    assert 0 < whole.count() < both.count()
+    assert ordered(both.select(*whole.columns)) == ordered(read("whole", "pairs", pairs).select(*whole.columns))
+
+    tasks = "film string, task string, split string, input string, target string"
+    pieces = read("parts", "tasks_in_parts", tasks + ", part int")
+    end_to_end = lambda c: F.array_join(F.sort_array(F.collect_list(F.struct("part", c)))[c], "").alias(c)
+    joined = pieces.groupBy("film", "task", "split").agg(end_to_end("input"), end_to_end("target"))
+    names = joined.columns
+    both = joined.unionByName(read("parts", "tasks", tasks)).select(*names)
+    assert ordered(both) == ordered(read("whole", "tasks", tasks).select(*names))
+    assert joined.select("task").distinct().count() == 4
+
+
 def test_folders_appear_together(spark, tmp_path):
     out = str(tmp_path / "out")
     def put_both(n, fails=False):

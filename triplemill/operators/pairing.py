@@ -1,6 +1,7 @@
 """Pair the triples of an entity with its text."""
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from triplemill.constants import MIN_TRIPLES
 from triplemill.functions.rdf import compact_iri
 from triplemill.functions.text import present, strip
 from triplemill.operators.keyfilter import KeyFilter
-from triplemill.operators.ranking import CHUNK, HOT_ROWS, gather, hot_keys
+from triplemill.operators.ranking import CHUNK, HOT_ROWS, gather, hot_keys, rank_within
 from triplemill.plans.scratch import written
 
 ARRIVAL = ["seq", "p", "o", "s"]
@@ -101,15 +102,25 @@ def _by_film(triples: DataFrame, hot: DataFrame | None, chunk: int, deduplicate:
     return gather(rows, ["film"], ARRIVAL, ARRIVAL, hot, chunk)
 
 
+class Wanted(NamedTuple):
+    """Triples of entities that may have a text, those of their entities that are
+    hot or long (None if there are none), and how many entities are left out."""
+
+    rows: DataFrame
+    hot: DataFrame | None
+    left_out: int
+    long: DataFrame | None
+
+
 def wanted_triples(
-    triples: DataFrame, texts: DataFrame, hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame | None, int]:
-    """Triples of entities that may have a text, their hot entities, and how many
-    entities are left out.
+    triples: DataFrame, texts: DataFrame, hot_rows: int = HOT_ROWS, long_rows: int | None = None
+) -> Wanted:
+    """Hold back the triples of entities without a text.
 
     A filter of the texts' keys is broadcast, so triples without a text are neither
     shuffled nor collected. One pass over the entity column, added up before its
-    shuffle, finds the hot entities and counts those without a text.
+    shuffle, finds the entities that are hot, or too long for one row, and counts
+    those without a text.
     """
     marked = KeyFilter(texts.select("film"), "film").marked(triples, "film", "_may")
     sizes = marked.groupBy("film").agg(F.count("*").alias("_n"), F.max("_may").alias("_may"))
@@ -117,10 +128,14 @@ def wanted_triples(
         F.max(F.when(F.col("_may"), F.col("_n"))).alias("most"),
         F.count_if(~F.col("_may")).alias("left_out"),
     ).first()
-    hot = None
-    if (found["most"] or 0) > hot_rows:
-        hot = written(sizes.where(F.col("_may") & (F.col("_n") > hot_rows)).select("film"))
-    return marked.where("_may").drop("_may"), hot, found["left_out"]
+
+    def beyond(rows: int | None) -> DataFrame | None:
+        if rows is None or (found["most"] or 0) <= rows:
+            return None
+        return written(sizes.where(F.col("_may") & (F.col("_n") > rows)).select("film"))
+
+    rows = marked.where("_may").drop("_may")
+    return Wanted(rows, beyond(hot_rows), found["left_out"], beyond(long_rows))
 
 
 def _records(rows: DataFrame) -> DataFrame:
@@ -144,11 +159,23 @@ def pair_records(
     deduplicate: bool = True,
 ) -> DataFrame:
     """Canonical pairs: ``film, text, triples, n_triples``."""
-    wanted, hot, _ = wanted_triples(triples, texts, hot_rows)
-    grouped = _by_film(wanted, hot, chunk, deduplicate).where(F.size("items") >= min_triples)
+    wanted = wanted_triples(triples, texts, hot_rows)
+    grouped = _by_film(wanted.rows, wanted.hot, chunk, deduplicate).where(
+        F.size("items") >= min_triples
+    )
     return _records(grouped.join(last_texts(texts), "film"))
 
 
+class Audited(NamedTuple):
+    """Pairs, a function that gives the audit once they have been written, and the
+    triples of the entities kept that are too long for one row (None if there are
+    none), with ``text`` and ``n_triples``."""
+
+    pairs: DataFrame
+    audit: Callable[[], DataFrame]
+    long: DataFrame | None
+
+
 def audited_records(
     triples: DataFrame,
     texts: DataFrame,
@@ -156,15 +183,24 @@ def audited_records(
     hot_rows: int = HOT_ROWS,
     chunk: int = CHUNK,
     deduplicate: bool = True,
-) -> tuple[DataFrame, Callable[[], DataFrame]]:
-    """The same pairs, and a function that gives the audit of the pairing once
-    they have been written.
+    long_rows: int | None = None,
+) -> Audited:
+    """The same pairs, with the audit of the pairing. Entities with more than
+    ``long_rows`` triples stay in long form.
 
     The outcomes are observed in the very rows that are written, in the tasks of
     the writing stage, each of which counts once; the triples are not read, shuffled
     or de-duplicated for them again.
     """
-    wanted, hot, left_out = wanted_triples(triples, texts, hot_rows)
+    wanted = wanted_triples(triples, texts, hot_rows, long_rows)
+    rows, long, flags = wanted.rows, None, None
+    if wanted.long is not None:
+        apart = rows.join(wanted.long, "film", "left_semi")
+        apart = written(distinct_triples(apart) if deduplicate else apart)
+        flags = written(pair_flags(apart, texts, min_triples, deduplicate=False))
+        kept = flags.where("outcome = 'kept'").select("film", "text", "n_triples")
+        long = apart.join(kept, "film")
+        rows = rows.join(wanted.long, "film", "left_anti")
     outcome = (
         F.when(F.col("text").isNull(), "no_text")
         .when(F.size("items") < min_triples, "few_triples")
@@ -172,16 +208,48 @@ def audited_records(
     )
     seen = Observation()
     every = (
-        _by_film(wanted, hot, chunk, deduplicate)
+        _by_film(rows, wanted.hot, chunk, deduplicate)
         .join(last_texts(texts), "film", "left")
         .withColumn("outcome", outcome)
         .observe(seen, *(F.count_if(F.col("outcome") == name).alias(name) for name in OUTCOMES))
     )
 
     def audit() -> DataFrame:
-        counts = seen.get
-        counts["no_text"] += left_out
+        counts = dict(seen.get)
+        counts["no_text"] += wanted.left_out
+        if flags is not None:
+            of_long = pairing_audit(flags).first()
+            counts = {name: counts[name] + of_long[name] for name in OUTCOMES}
         schema = ", ".join(f"{name} bigint" for name in OUTCOMES)
         return triples.sparkSession.createDataFrame([[counts[name] for name in OUTCOMES]], schema)
 
-    return _records(every.where("outcome = 'kept'")), audit
+    return Audited(_records(every.where("outcome = 'kept'")), audit, long)
+
+
+def pair_parts(long: DataFrame, part_rows: int) -> DataFrame:
+    """Pairs of long entities in parts: ``film, part, text, triples, n_triples``.
+
+    A part has ``part_rows`` triples in arrival order; the first one has the text,
+    and each the number of triples of the whole entity.
+    """
+    ranked = rank_within(long, ["film"], ARRIVAL, "_rank").withColumn(
+        "part", F.floor((F.col("_rank") - 1) / part_rows).cast("bigint")
+    )
+    item = F.struct("_rank", "s", "p", "o")
+    return (
+        ranked.groupBy("film", "part")
+        .agg(
+            F.max(F.when(F.col("part") == 0, F.col("text"))).alias("text"),
+            F.sort_array(F.collect_list(item)).alias("items"),
+            F.max("n_triples").cast("int").alias("n_triples"),
+        )
+        .select(
+            "film",
+            "part",
+            "text",
+            F.transform(
+                "items", lambda t: F.struct(t["s"].alias("s"), t["p"].alias("p"), t["o"].alias("o"))
+            ).alias("triples"),
+            "n_triples",
+        )
+    )

@@ -9,6 +9,7 @@ from triplemill.functions.rdf import fragment, linearize, mask_first, mask_objec
 from triplemill.functions.text import strip, tokens
 from triplemill.operators.pairing import ARRIVAL
 from triplemill.operators.ranking import CHUNK, rank_within, seeded_hash
+from triplemill.plans.scratch import written
 
 
 def random_triple(triples, film, seed: int):
@@ -151,3 +152,92 @@ def context_flags(triples: DataFrame) -> DataFrame:
         .withColumn("in_context", F.col("pos") <= cut_size(F.col("n")))
         .drop("n")
     )
+
+
+def _in_order(lines: DataFrame, name: str, marker: str | None = None) -> DataFrame:
+    """Parts of lines as pieces that need only be put end to end; the last one is
+    followed by the marker."""
+    last = lines.groupBy("film").agg(F.max("part").alias("_last"))
+    piece = F.concat(F.when(F.col("part") > 0, " ").otherwise(""), F.col("line"))
+    if marker is not None:
+        end = F.when(F.col("part") == F.col("_last"), f" {marker}").otherwise("")
+        piece = F.concat(piece, end)
+    return lines.join(last, "film").select("film", "part", piece.alias(name))
+
+
+def _whole(rows: DataFrame, value, name: str) -> DataFrame:
+    """One value of an entity as its only piece."""
+    return rows.select("film", F.lit(0).cast("bigint").alias("part"), value.alias(name))
+
+
+def _sides(task: str, given: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pieces of both sides of a task, empty where the other one has more."""
+    both = given.join(wanted, ["film", "part"], "full")
+    return both.select(
+        "film",
+        "part",
+        F.lit(task).alias("task"),
+        F.coalesce("input", F.lit("")).alias("input"),
+        F.coalesce("target", F.lit("")).alias("target"),
+    )
+
+
+def task_parts(
+    long: DataFrame,
+    tasks=C.TASKS,
+    seed: int = C.SPLIT_SEED,
+    mask: str = C.MASK,
+    max_tokens: int | None = None,
+    part_rows: int = CHUNK,
+) -> DataFrame:
+    """``film, part, task, input, target`` of entities too long for one row, from
+    their triples with ``text``.
+
+    Both sides of an example, put end to end in the order of ``part``, are what
+    ``task_examples`` makes; no row has more than ``part_rows`` triples. The masked
+    text is looked for inside each part. With ``max_tokens`` examples longer than
+    that on either side are left out.
+    """
+    texts = long.groupBy("film").agg(F.max("text").alias("text"))
+    triples = long.select("film", "s", "p", "o", "seq")
+    text = strip(F.col("text"))
+    marker = C.TASK_MARKERS
+    lines = written(line_parts(triples, ["film"], part_rows))
+    made = []
+    if "text2rdf" in tasks:
+        given = _whole(texts, F.concat(text, F.lit(f" {marker['text2rdf']}")), "input")
+        made.append(_sides("text2rdf", given, _in_order(lines, "target")))
+    if "rdf2text" in tasks:
+        given = _in_order(lines, "input", marker["rdf2text"])
+        made.append(_sides("rdf2text", given, _whole(texts, text, "target")))
+    if "rdfcomp1" in tasks:
+        chosen = random_triples(triples, seed).select("film", F.col("o").alias("_o"))
+        named = lines.join(chosen, "film")
+        first = named.where(F.instr("line", F.col("_o")) > 0).groupBy("film").agg(F.min("part").alias("_first"))
+        here = F.col("part") == F.col("_first")
+        hidden = named.join(first, "film", "left").select(
+            "film",
+            "part",
+            F.when(here, mask_first(F.col("line"), F.col("_o"), mask)).otherwise(F.col("line")).alias("line"),
+        )
+        given = _in_order(hidden, "input", marker["rdfcomp1"])
+        made.append(_sides("rdfcomp1", given, _whole(chosen, F.col("_o"), "target")))
+    if "rdfcomp2" in tasks:
+        flags = context_flags(triples)
+        halves = written(line_parts(flags, ["film", "in_context"], part_rows))
+        given = _in_order(halves.where("in_context"), "input", marker["rdfcomp2"])
+        made.append(_sides("rdfcomp2", given, _in_order(halves.where("not in_context"), "target")))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    if max_tokens is None:
+        return out
+    # Pieces end between tokens, so their numbers add up.
+    out = written(out)
+    size = lambda side: F.sum(F.size(tokens(F.col(side))))
+    short = (
+        out.groupBy("film", "task")
+        .agg(size("input").alias("_x"), size("target").alias("_y"))
+        .where((F.col("_x") <= max_tokens) & (F.col("_y") <= max_tokens))
+    )
+    return out.join(short.select("film", "task"), ["film", "task"], "left_semi")

@@ -9,6 +9,10 @@ from triplemill.plans.publish import published
 from triplemill.plans.scratch import dropped, written
 from triplemill.sources import jsonl
 
+# Triples of an entity that one row may hold: with 300 bytes each, half of what a
+# value can.
+LONG_ROWS = 3_000_000
+
 
 def build_dataset(
     raw_triples: DataFrame,
@@ -21,6 +25,7 @@ def build_dataset(
     normalize_prefixes: bool = False,
     max_tokens: int | None = None,
     emit_tasks: bool = True,
+    long_rows: int = LONG_ROWS,
 ) -> DataFrame:
     """Write pairs, the audit of the pairing, split lists and task examples
     under ``out``, together when all are done.
@@ -28,6 +33,11 @@ def build_dataset(
     The pairs are made once and kept as a table, and the audit is observed on the
     way; the split is a comparison of hashes with two cuts, so nothing is joined to
     apply it.
+
+    Pairs are rows of whole entities. Those of entities with more than ``long_rows``
+    triples, which one value could not hold, are written as ``pairs_in_parts`` and
+    ``tasks_in_parts``: rows of ``part`` 0, 1 ... that are to be put end to end. They
+    are in the split lists and the audit; the pairs returned are the others.
     """
     spark = raw_triples.sparkSession
     if normalize_prefixes:
@@ -35,19 +45,33 @@ def build_dataset(
         raw_texts = pairing.compact_columns(raw_texts, "film")
     triples = pairing.directed(raw_triples)
     with dropped(spark), published(spark, out) as stage:
-        made, audit = pairing.audited_records(
-            triples, raw_texts, min_triples, deduplicate=deduplicate
+        made = pairing.audited_records(
+            triples, raw_texts, min_triples, deduplicate=deduplicate, long_rows=long_rows
         )
-        pairs = written(made)
-        audit().write.json(f"{stage}/audit")
-        cuts = ranking.split_cuts(pairs, ratios=ratios, seed=seed)
-        pairs = pairs.withColumn("split", ranking.split_of("film", cuts, seed))
+        pairs = written(made.pairs)
+        made.audit().write.json(f"{stage}/audit")
+        films = pairs.select("film")
+        long = None if made.long is None else written(made.long)
+        if long is not None:
+            films = films.unionByName(long.select("film").distinct())
+        cuts = ranking.split_cuts(films, ratios=ratios, seed=seed)
+        split = ranking.split_of("film", cuts, seed)
+        pairs = pairs.withColumn("split", split)
         jsonl.write_pairs(pairs, f"{stage}/pairs")
-        jsonl.write_split_lists(pairs, f"{stage}/splits")
+        jsonl.write_split_lists(films.withColumn("split", split), f"{stage}/splits")
         if emit_tasks:
             jsonl.write_tasks(
                 tasks.task_examples(pairs, seed=seed, max_tokens=max_tokens), f"{stage}/tasks"
             )
+        if long is not None:
+            part_rows = min(long_rows, ranking.CHUNK)
+            parts = pairing.pair_parts(long, part_rows).withColumn("split", split)
+            jsonl.write_pairs(parts, f"{stage}/pairs_in_parts")
+            if emit_tasks:
+                pieces = tasks.task_parts(
+                    long, seed=seed, max_tokens=max_tokens, part_rows=part_rows
+                )
+                jsonl.write_tasks(pieces.withColumn("split", split), f"{stage}/tasks_in_parts")
     return jsonl.read_pairs(spark, f"{out}/pairs")
 
 

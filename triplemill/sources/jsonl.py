@@ -162,12 +162,15 @@ def last_cached(records: DataFrame) -> DataFrame:
 
 
 def write_tasks(examples: DataFrame, path: str) -> None:
-    """Task examples in a folder per task and split."""
-    write_jsonl(examples.select("task", "split", "film", "input", "target"), path, ("task", "split"))
+    """Task examples in a folder per task and split; pieces with their ``part``."""
+    part = [c for c in ("part",) if c in examples.columns]
+    names = ["task", "split", "film", *part, "input", "target"]
+    write_jsonl(examples.select(*names), path, ("task", "split"))
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
-    """Canonical pairs in a folder per split, triples as three-element lists."""
+    """Canonical pairs in a folder per split, triples as three-element lists; those
+    of long entities have a row per ``part``."""
     lists = F.transform("triples", lambda t: F.array(t["s"], t["p"], t["o"]))
     write_jsonl(pairs.withColumn("triples", lists), path, ("split",))
 
