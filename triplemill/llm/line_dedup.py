@@ -37,9 +37,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from triplemill.llm.common import look_up
 from triplemill.plans.scratch import written
@@ -60,8 +61,9 @@ class Cut:
     of one line has.
     """
 
-    def __init__(self, text: str | None):
-        self.lines = (text or "").encode().split(b"\n")
+    def __init__(self, text: str | bytes | None):
+        raw = text if isinstance(text, bytes) else (text or "").encode()
+        self.lines = raw.split(b"\n")
         full = [i for i, line in enumerate(self.lines) if line.strip(b" \t\n\x0b\x0c\r")]
         self.chunks: list[tuple[int, int]] = []
         self.pairs: list[tuple[int, int]] = []
@@ -197,16 +199,16 @@ def unlike(rows: DataFrame) -> list[bytes]:
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                own = Cut(text.as_py())
+            for data, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                own = Cut(zstandard.decompress(data.as_py()))
                 met = [(p["h"], own.bytes_of(p["kind"], p["begin"])) for p in wanted.as_py()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, pa.binary()) for x in zip(*met, strict=True)], names=["h", "piece"]
                 )
 
     compared = (
-        rows.select("text", "places")
-        .where("places is not null")
+        rows.select("data", "places")
+        .where("places is not null and data is not null")
         .mapInArrow(repeated, "h binary, piece binary")
         .groupBy("h")
         .agg(F.min("piece").alias("a"), F.max("piece").alias("b"))
@@ -214,6 +216,27 @@ def unlike(rows: DataFrame) -> list[bytes]:
     return [bytes(r["h"]) for r in compared.where("a <> b").select("h").collect()]
 
 
+def pressed(rows: DataFrame) -> DataFrame:
+    """``key, mark, data, others`` of ``key, mark, text, others``: the text goes
+    compressed through the shuffle, and lies so in the table behind it."""
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
+                texts = some.column(2).to_pylist()
+                data = [None if t is None else zstandard.compress(t.encode(), 3) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(data, pa.binary()), some.column(3)],
+                    names=["key", "mark", "data", "others"],
+                )
+
+    fields = [
+        StructField("data", BinaryType()) if f.name == "text" else f for f in rows.schema.fields
+    ]
+    return rows.mapInArrow(press, StructType(fields))
+
+
 DONE = "text string, n_lines bigint, n_removed bigint, n_chunks bigint"
 
 
@@ -235,12 +258,13 @@ def deduplicated(
         {"key": "its_key", "mark": "its_mark"}
     )
     same = F.col("key").eqNullSafe(F.col("its_key")) & (F.col("mark") == F.col("its_mark"))
-    joined = written(rows.join(wanted, same, "left").drop("its_key", "its_mark", "mark"))
+    joined = written(pressed(rows).join(wanted, same, "left").drop("its_key", "its_mark", "mark"))
     left_alone = set(unlike(joined))
 
-    def cleaned(text: str | None, wanted: list[dict] | None) -> tuple:
-        if text is None:
+    def cleaned(data: bytes | None, wanted: list[dict] | None) -> tuple:
+        if data is None:
             return None, 0, 0, 0
+        text = zstandard.decompress(data).decode()
         later = [p for p in wanted or () if p["later"] and bytes(p["h"]) not in left_alone]
         lines = text.split("\n")
         if not later:
@@ -254,8 +278,8 @@ def deduplicated(
         return "\n".join(keep), len(lines), sum(gone), n_chunks
 
     @F.arrow_udf(f"struct<{DONE}>")
-    def without(texts: pa.Array, wanted: pa.Array) -> pa.Array:
-        done = [cleaned(t.as_py(), w.as_py()) for t, w in zip(texts, wanted, strict=True)]
+    def without(data: pa.Array, wanted: pa.Array) -> pa.Array:
+        done = [cleaned(d.as_py(), w.as_py()) for d, w in zip(data, wanted, strict=True)]
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         names = [part.split()[0] for part in DONE.split(", ")]
         columns = list(zip(*done, strict=True)) or [()] * len(names)
@@ -263,7 +287,7 @@ def deduplicated(
             [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names
         )
 
-    done = joined.withColumn("done", without("text", "places"))
+    done = joined.withColumn("done", without("data", "places"))
     back = [
         F.col("key").alias(c) if c == key
         else F.col("done.text").cast(StringType()).alias(c) if c == text
