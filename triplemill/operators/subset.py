@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from triplemill import constants as C
 from triplemill.functions.text import present
 from triplemill.operators.ranking import Ranges
+from triplemill.plans.scratch import written
 
 SUBSET_SIZE = 20
 HELD_OUT_MIN = 4
@@ -125,10 +126,11 @@ def evenly_spaced(index: DataFrame, shares: dict[str, int]) -> DataFrame:
     """Pick the given number per split, evenly along ``(n_triples, film)``.
 
     Only ranges that hold a pick are sorted, and nothing but their keys is moved.
+    The keys are written once, since they are read for the counts and for the picks.
     """
     rows = by_size(index).select("split", "film", "n_triples")
     wanted = rows.where(F.col("split").isin(*(s for s, k in shares.items() if k > 0)))
-    ranges = Ranges(wanted, ["split"], ["n_triples", "film"])
+    ranges = Ranges(written(wanted), ["split"], ["n_triples", "film"])
     totals = {key: sum(n for *_, n in sizes) for key, sizes in ranges.sizes.items()}
     picks = ranges.at({key: spaced(n, shares[key[0]]) for key, n in totals.items()}, "_rank")
     return picks.select("split", "film", "n_triples")
