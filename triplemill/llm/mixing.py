@@ -31,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,16 +172,20 @@ NODES = "sid string, low bigint, high bigint, quota bigint"
 
 
 def grown(nodes: DataFrame, seed: int, stop: int) -> DataFrame:
-    def expand(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sid")
-        ids, quotas = group["sid"].to_numpy(), group["quota"].to_numpy(np.int64)
+    def expand(group: pa.Table) -> pa.Table:
+        group = group.sort_by("sid")
+        ids, quotas = group.column("sid"), group.column("quota").to_numpy()
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         found = [
-            pd.DataFrame({"sid": ids, "low": a, "high": b, "quota": q})
-            for a, b, q in grow(quotas, int(group["low"].iloc[0]), int(group["high"].iloc[0]), seed, stop)
+            pa.table(
+                [ids, pa.array(np.full(len(q), a)), pa.array(np.full(len(q), b)), pa.array(q)],
+                names=["sid", "low", "high", "quota"],
+            )
+            for a, b, q in grow(quotas, low, high, seed, stop)
         ]
-        return pd.concat(found)
+        return pa.concat_tables(found)
 
-    return nodes.groupBy("low", "high").applyInPandas(expand, NODES)
+    return nodes.groupBy("low", "high").applyInArrow(expand, NODES)
 
 
 def shard_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
