@@ -217,8 +217,12 @@ def _(spark, sf):
 
 @query("continuation_parts_b4", TRI + ", fl as (select *, pos <= greatest(1, trunc(0.6::double * n)::int) as in_context from (select *, row_number() over (partition by film order by seq, p, o, s) as pos, count(*) over (partition by film) as n from dis) where n >= 2) select film, in_context, string_agg(concat('<SOT> <SUBJ> ', s, ' <PRED> ', p, ' <OBJ> ', o, ' <EOT>'), ' ' order by p, o, seq, s) as line from fl group by film, in_context")
 def _(spark, sf):
-    flagged = tasks.context_flags(pairing.distinct_triples(triples(spark, sf)))
-    return tasks.line_parts(flagged, ("film", "in_context")).drop("part")
+    # One layout by entity serves all steps, unless an entity is hot.
+    rows = triples(spark, sf)
+    hot = ranking.hot_keys(rows, ["film"])
+    laid = ranking.laid_by(rows, ["film"], hot, rows.count())
+    flagged = tasks.context_flags(pairing.distinct_triples(laid), hot)
+    return tasks.line_parts(flagged, ("film", "in_context"), hot=hot).drop("part")
 
 
 def _task_query(name, task):

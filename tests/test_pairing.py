@@ -261,3 +261,30 @@ def test_key_filter(spark):
         assert (True, False) not in n and n[True, True] == 200_002
         assert n.get((False, True), 0) <= let_through * 200_000
     assert KeyFilter(keys.limit(0), "key").marked(rows, "key", "may").where("may").count() == 0
+
+
+def test_filter_blocks_are_words(spark):
+    keys = spark.range(1000).selectExpr("concat('k', id) as key")
+    rows = KeyFilter(keys, "key", 4).table.collect()
+    # As many bits as keys have, less those that meet.
+    assert [len(r["_bitmap"]) for r in rows] == [512]
+    assert 1900 < sum(int(w & (2**64 - 1)).bit_count() for r in rows for w in r["_bitmap"]) <= 2000
+
+
+def test_one_layout_serves_flags_and_parts(spark):
+    rows = spark.createDataFrame(
+        [(f, f, "p", str(i), i) for f in ("a", "b") for i in range(5)] + [("c", "c", "p", "o", 0), (None, "d", "p", "o", 0)] * 2,
+        "film string, s string, p string, o string, seq bigint",
+    )
+    made = {}
+    for name, hot in (("none", None), ("hot", spark.createDataFrame([("b",)], "film string"))):
+        laid = ranking.laid_by(rows, ["film"], hot, rows.count())
+        flags = tasks.context_flags(pairing.distinct_triples(laid), hot)
+        parts = tasks.line_parts(flags, ("film", "in_context"), 2, hot)
+        if hot is None:
+            assert parts._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        made[name] = sorted(parts.collect())
+    assert made["none"] == made["hot"]
+    assert [(r["film"], r["in_context"], r["part"]) for r in made["none"]] == [
+        (f, c, p) for f in ("a", "b") for c, p in ((False, 0), (True, 0), (True, 1))
+    ]

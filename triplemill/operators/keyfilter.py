@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from triplemill.plans.scratch import written
 
-# Spark's bitmaps have this many bits, 4 KB.
+# A block's bits, 4 KB, are words of 64 bits.
 BLOCK_BITS = 32_768
+WORDS = BLOCK_BITS // 64
 BITS_PER_KEY = 8
 # 64 MB at most. With more than 64 million keys the filter lets more rows through
 # that have no key; it never holds one back that has.
@@ -25,10 +26,15 @@ class KeyFilter:
         h = F.xxhash64(key)
         bits = keys.select(
             self._block(h).alias("_block"), F.explode(F.array(*self._bits(h))).alias("_bit")
+        ).select("_block", F.shiftright("_bit", 6).alias("_word"), self._mask("_bit").alias("_set"))
+        every = keys.sparkSession.range(self.blocks * WORDS).select(
+            F.shiftright("id", 9).alias("_block"),
+            F.col("id").bitwiseAND(WORDS - 1).alias("_word"),
+            F.lit(0).cast("bigint").alias("_set"),
         )
-        self.table = written(
-            bits.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
-        )
+        words = bits.unionByName(every).groupBy("_block", "_word").agg(F.bit_or("_set").alias("_set"))
+        whole = F.sort_array(F.collect_list(F.struct("_word", "_set")))["_set"]
+        self.table = written(words.groupBy("_block").agg(whole.alias("_bitmap")))
 
     def _block(self, h: Column) -> Column:
         return F.pmod(h, F.lit(self.blocks))
@@ -38,14 +44,19 @@ class KeyFilter:
             F.shiftrightunsigned(h, shift).bitwiseAND(BLOCK_BITS - 1) for shift in (34, 49)
         )
 
+    def _mask(self, bit: str) -> Column:
+        # The last bit is the sign of a number; a shift cannot be that long.
+        place = F.col(bit).bitwiseAND(63)
+        powers = F.array(*(F.lit(2**i if i < 63 else -(2**63)).cast("bigint") for i in range(64)))
+        return F.get(powers, place.cast("int"))
+
     def marked(self, rows: DataFrame, key: str, name: str) -> DataFrame:
         """Rows with whether their key may be in the table; if not, it is not."""
         h = F.xxhash64(key)
 
         def is_set(bit: Column) -> Column:
-            byte = F.substr(F.col("_bitmap"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
-            value = F.conv(F.hex(byte), 16, 10).cast("int")
-            return F.getbit(value, bit.bitwiseAND(7).cast("int")) == 1
+            word = F.get("_bitmap", F.shiftright(bit, 6).cast("int"))
+            return F.getbit(word, bit.bitwiseAND(63).cast("int")) == 1
 
         first, second = (is_set(bit) for bit in self._bits(h))
         return (

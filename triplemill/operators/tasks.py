@@ -1,6 +1,6 @@
 """The four sequence-to-sequence datasets made from pairs."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplemill import constants as C
@@ -8,7 +8,7 @@ from triplemill.functions.arrays import SEP, bind
 from triplemill.functions.rdf import fragment, linearize, mask_first, mask_object
 from triplemill.functions.text import strip, tokens
 from triplemill.operators.pairing import ARRIVAL
-from triplemill.operators.ranking import CHUNK, rank_within, seeded_hash
+from triplemill.operators.ranking import CHUNK, hot_keys, ranked_rows, seeded_hash
 from triplemill.plans.scratch import written
 
 
@@ -121,13 +121,22 @@ def task_examples(
 # also serve entities whose line would not fit into one value.
 
 
-def line_parts(triples: DataFrame, keys=("film",), chunk: int = CHUNK) -> DataFrame:
+# The hot keys are not known yet.
+COUNTED = "counted"
+
+
+def line_parts(
+    triples: DataFrame, keys=("film",), chunk: int = CHUNK, hot: DataFrame | None | str = COUNTED
+) -> DataFrame:
     """Linearised triples per key as ordered parts of at most ``chunk`` triples.
 
-    The parts of a key, joined by a space, are its line.
+    The parts of a key, joined by a space, are its line. The ``hot`` keys, which may
+    be told by some of the columns, are counted unless they are given (None: none).
     """
     keys = list(keys)
-    ranked = rank_within(triples, keys, ["p", "o", "seq", "s"], "_rank")
+    if isinstance(hot, str):
+        hot = hot_keys(triples, keys)
+    ranked = ranked_rows(triples, keys, ["p", "o", "seq", "s"], "_rank", hot)
     items = F.sort_array(F.collect_list(F.struct("_rank", "s", "p", "o")))
     return (
         ranked.withColumn("part", F.floor((F.col("_rank") - 1) / chunk))
@@ -142,13 +151,21 @@ def random_triples(triples: DataFrame, seed: int = C.SPLIT_SEED) -> DataFrame:
     return triples.groupBy("film").agg(F.min(keyed).alias("t")).select("film", "t.s", "t.p", "t.o")
 
 
-def context_flags(triples: DataFrame) -> DataFrame:
+def context_flags(triples: DataFrame, hot: DataFrame | None | str = COUNTED) -> DataFrame:
     """Triples with their place in arrival order and whether they belong to the
-    context of the continuation; entities with one triple are left out."""
-    sizes = triples.groupBy("film").agg(F.count("*").cast("int").alias("n"))
-    ranked = rank_within(triples, ["film"], ARRIVAL, "pos")
+    context of the continuation; entities with one triple are left out. The ``hot``
+    entities are counted unless they are given (None: none)."""
+    if isinstance(hot, str):
+        hot = hot_keys(triples, ["film"])
+    ranked = ranked_rows(triples, ["film"], ARRIVAL, "pos", hot)
+    if hot is None:
+        size = F.count("*").over(Window.partitionBy("film")).cast("int")
+        sized = ranked.withColumn("n", size).where("film is not null and n >= 2")
+    else:
+        sizes = triples.groupBy("film").agg(F.count("*").cast("int").alias("n"))
+        sized = ranked.join(sizes.where("n >= 2"), "film")
     return (
-        ranked.join(sizes.where("n >= 2"), "film")
+        sized
         .withColumn("in_context", F.col("pos") <= cut_size(F.col("n")))
         .drop("n")
     )
