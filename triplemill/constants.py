@@ -80,6 +80,11 @@ METEOR_GAMMA = 0.5
 # and four separators.
 BLANK = r"(?U:[\s\x1c-\x1f])"
 NOT_BLANK = r"(?U:[^\s\x1c-\x1f])"
+# The same characters, one by one.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Runs of word characters, and runs of other visible characters (Unicode).
 PRETOKEN = r"(?U:\w+|[^\w\s]+)"

@@ -10,7 +10,7 @@ from triplemill.functions.arrays import indexes
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{C.BLANK}+|{C.BLANK}+$", "")
+    return F.btrim(x, F.lit(C.BLANKS))
 
 
 def present(x: Column) -> Column:
