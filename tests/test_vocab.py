@@ -4,6 +4,8 @@ import itertools
 import json
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -228,3 +230,37 @@ def test_a_very_long_word(spark):
     words = words_of(spark, {"ab": 3, "c" * 3000: 1})
     merges = vocab.learn_merges(words, 100, 1, [], max_merges=2, most_symbols=50)[1]
     assert merges == [("c", "c", 2999), ("cc", "cc", 1499)]
+
+
+def test_distinct_words_are_asked_once():
+    asked = []
+
+    def of(word):
+        asked.append(word)
+        return [len(word)] * 2 if word != "c" else []
+
+    words = pa.array(["a", "bb", "a", "c", "bb"])
+    found = vocab._each_word(words, of, pa.int32())
+    assert found.to_pylist() == [[1, 1], [2, 2], [1, 1], [], [2, 2]]
+    assert asked == ["a", "bb", "c"]
+    texts = pa.array([["a", "bb"], [], ["a", "c"], ["bb"]])
+    ids = vocab._lists(texts, found.flatten(), pc.list_value_length(found))
+    assert ids.to_pylist() == [[1, 1, 2, 2], [], [1, 1], [2, 2]]
+
+
+def test_decoder(spark):
+    names = vocab.token_table(spark, ["<pad>", "a", "bc"])
+    rows = spark.createDataFrame([([[1, 2], [], [2, 9]],), (None,)], "x array<array<int>>")
+    got = [r["t"] for r in rows.select(vocab.word_decoder(names)("x").alias("t")).collect()]
+    assert got == [[["a", "bc"], [], ["bc"]], None]
+    merged = spark.createDataFrame([([[1, 3], [2]],), ([[5, 4]],)], "x array<array<int>>")
+    assert [r["m"] for r in merged.select(vocab.in_place_order(F.col("x")).alias("m")).collect()] == [[1, 2, 3], [5, 4]]
+
+
+def test_places_are_not_shuffled_to_encode_by_words(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (None, "b zz"), (3, "zz q")], "key int, text string")
+    words = spark.createDataFrame([("a", 60_000, [1, 2]), ("b", 1, [3]), ("zz", 2, [4])], "word string, n bigint, ids array<int>")
+    coded = vocab.encode_by_words(docs, words, "key")
+    got = {r["key"]: r["ids"] for r in coded.collect()}
+    assert got == {1: [1, 2, 3, 1, 2], 2: [], None: [3, 4], 3: [4]}
+    assert "posexplode" not in coded._jdf.queryExecution().optimizedPlan().toString()
